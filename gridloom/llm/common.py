@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm.kernels import slices
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -41,3 +46,16 @@ def shuffle_width(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // bytes_each, 1 << 20), 1)
+
+
+def keep_rows(docs: DataFrame, judge: Callable[[pa.RecordBatch], np.ndarray], slice_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Whole rows for which `judge` (of a batch of doc_id and text) is true; nothing is shuffled."""
+    names = docs.columns
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col, slice_bytes):
+                pair = pa.RecordBatch.from_arrays([part.column(names.index(id_col)), part.column(names.index(text_col)).fill_null("")], names=["doc_id", "text"])
+                yield part.filter(pa.array(judge(pair)))
+
+    return docs.mapInArrow(chosen, docs.schema)

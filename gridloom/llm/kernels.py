@@ -70,9 +70,9 @@ def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordB
         at = to
 
 
-def spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of words (runs of bytes other than space and 9 to 13) and each row's first word."""
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
+def spans(data: np.ndarray, offs: np.ndarray, blank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of words (runs of bytes other than space and 9 to 13, or not `blank`) and each row's first word."""
+    blank = (data == 32) | ((data >= 9) & (data <= 13)) if blank is None else blank
     edge = np.zeros(len(data) + 1, bool)
     edge[offs] = True
     before = np.ones(len(data) + 1, bool)

@@ -7,15 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.common import read_table
+from gridloom.llm.decontamination import decontaminate
 from gridloom.llm.exact_dedup import exact_dedup
+from gridloom.llm.lm_scoring import lm_scores
 from gridloom.llm.near_dedup import near_duplicates
+from gridloom.llm.packing import pack_documents
+from gridloom.llm.pii import find_pii
 from gridloom.llm.sharding import shard_documents
 from gridloom.llm.substring_dedup import substring_dedup
 from gridloom.llm.token_counts import token_counts
+from gridloom.llm.toxicity import toxicity
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(read_table(spark, sf_dir, "documents"))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(read_table(spark, sf_dir, "documents"))
+    return substring_dedup(read_table(spark, sf_dir, "documents")).drop("n_factors", "longest_factor")
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +51,14 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -43,6 +68,16 @@ LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefgh
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_substring_dedup": """
+            WITH t AS (SELECT doc_id, [w FOR w IN regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+') IF w <> ''] AS ws FROM documents),
+                 p AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w FROM t),
+                 g AS (SELECT doc_id, i, array_to_string(t.ws[i : i + 12], ' ') AS k FROM p JOIN t USING (doc_id) WHERE i + 12 <= len(t.ws)),
+                 m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS least FROM g),
+                 hit AS (SELECT DISTINCT doc_id, i + o AS i FROM m, (SELECT unnest(range(13)) AS o) WHERE least < doc_id),
+                 k AS (SELECT p.doc_id, count(*) AS n_removed FROM p JOIN hit USING (doc_id, i) GROUP BY 1),
+                 s AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS kept FROM p ANTI JOIN hit USING (doc_id, i) GROUP BY 1)
+            SELECT t.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+            FROM t LEFT JOIN k USING (doc_id) LEFT JOIN s USING (doc_id)""",
         "op5_exact_dedup": f"""
             WITH t AS (SELECT doc_id, {LOWERED} AS norm FROM documents),
                  g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
