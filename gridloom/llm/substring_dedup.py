@@ -33,8 +33,8 @@ SLICE = 4 << 20
 U64 = np.uint64
 PACK = "bucket long, own boolean, docs binary, tags binary, row binary, start binary, size binary, anchor binary, window binary"
 PACK_ARROW = pa.schema([("bucket", pa.int64()), ("own", pa.bool_()), *((k, pa.binary()) for k in ("docs", "tags", "row", "start", "size", "anchor", "window"))])
-FOUND = "doc_id long, tag long, found binary"
-FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("found", pa.binary())])
+FOUND = "doc_id long, tag long, run long"
+FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("run", pa.int64())])
 
 
 def windows(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -97,7 +97,7 @@ def pack_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
 
 
 def look_up(table: pa.Table) -> pa.Table:
-    """Answers one bucket: for each document the runs of windows (first, how many) found in a smaller document."""
+    """Answers one bucket: the runs of windows (first and how many, in one number) found in a smaller document."""
     docs, tags, starts, sizes, owner = [], [], [], [], []
     keys, asked, base = [], [], 0
     own_runs = []
@@ -127,23 +127,20 @@ def look_up(table: pa.Table) -> pa.Table:
             runs = [*runs, np.stack([who[new], where[new], np.diff(np.append(new, len(who)))])]
     if not runs:
         return FOUND_ARROW.empty_table()
-    run = np.concatenate(runs, axis=1)
-    run = run[:, np.argsort(run[0], kind="stable")]
-    heads = K.group_starts(run[0])
-    tails = [*heads[1:], run.shape[1]]
-    return pa.table({"doc_id": docs[run[0, heads]], "tag": tags[run[0, heads]], "found": [np.ascontiguousarray(run[1:, a:b].T.astype(np.uint32)).tobytes() for a, b in zip(heads, tails, strict=True)]}, schema=FOUND_ARROW)
+    who, first, size = np.concatenate(runs, axis=1)
+    return pa.table({"doc_id": docs[who], "tag": tags[who], "run": first << 32 | size}, schema=FOUND_ARROW)
 
 
-def parse(text: str, found: list[bytes] | None) -> tuple[int, int, int, int, str]:
+def parse(text: str, found: np.ndarray) -> tuple[int, int, int, int, str]:
     """Words, removed words, factors, longest factor, and the digest of what is kept."""
     words = text.encode("utf-8", "surrogatepass").split()
-    if not found:
+    if not len(found):
         return len(words), 0, 0, 0, hashlib.sha256(b" ".join(words)).hexdigest()
-    runs = np.concatenate([np.frombuffer(x, np.uint32) for x in found]).astype(np.int64).reshape(-1, 2)
-    runs = runs[np.argsort(runs[:, 0])]
-    last = np.maximum.accumulate(runs[:, 0] + runs[:, 1] + WINDOW - 1)
-    fresh = np.flatnonzero(np.concatenate(([True], runs[1:, 0] > last[:-1])))
-    begin, end = runs[fresh, 0], last[np.append(fresh[1:] - 1, len(last) - 1)]
+    runs = np.sort(found)
+    first = runs >> 32
+    last = np.maximum.accumulate(first + (runs & 0xFFFFFFFF) + WINDOW - 1)
+    fresh = np.flatnonzero(np.concatenate(([True], first[1:] > last[:-1])))
+    begin, end = first[fresh], last[np.append(fresh[1:] - 1, len(last) - 1)]
     kept, at = [], 0
     for b, e in zip(begin.tolist(), end.tolist(), strict=True):
         kept += words[at:b]
@@ -154,7 +151,10 @@ def parse(text: str, found: list[bytes] | None) -> tuple[int, int, int, int, str
 
 def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        done = [parse(t, f) for t, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        found = batch.column(2)
+        values, offs = found.values.to_numpy(zero_copy_only=False), found.offsets.to_numpy(zero_copy_only=False)
+        none = found.is_null().to_numpy(zero_copy_only=False)
+        done = [parse(t, values[:0] if none[k] else values[offs[k] : offs[k + 1]]) for k, t in enumerate(batch.column(1).to_pylist())]
         cols = list(zip(*done, strict=True)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, [*[pa.int64()] * 4, pa.string()], strict=True))], names=["doc_id", "n_words", "n_removed", "n_factors", "longest_factor", "kept_sha256"])
 
@@ -166,6 +166,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = shuffle_width(docs)
     index = rows.where("doc_id is not null").mapInArrow(lambda it: pack_rows(it, buckets), PACK)
     found = index.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(look_up, FOUND)
-    found = found.groupBy("doc_id", "tag").agg(F.collect_list("found").alias("found"))
+    found = found.groupBy("doc_id", "tag").agg(F.collect_list("run").alias("found"))
     joined = rows.join(found, ["doc_id", "tag"], "left").select("doc_id", "text", "found")
     return joined.mapInArrow(rewrite, "doc_id long, n_words long, n_removed long, n_factors long, longest_factor long, kept_sha256 string")
