@@ -6,11 +6,13 @@ threshold shares no band with probability (1 - 0.75^5)^40 = 2e-5. Signatures of
 batches of `BATCH` hashes; a pair goes as soon as the posterior probability (uniform prior on similarity) that it
 reaches the threshold is below `MISS`. Survivors are checked exactly, on the full shingle sets of the whole texts.
 
-Buckets of up to `SMALL` documents yield all their pairs. A larger one yields a star on its smallest document;
-afterwards, its members that ended in other components than the rest are compared with all members outside their
-own component (pairs inside one component can't change it), block by block, so no link between components is lost.
+Buckets of up to `SMALL` documents yield all their pairs. Of a larger one, every `STAR_BANDS`-th band yields a star
+on its smallest document, of which a document keeps the `CENTRES` smallest. Afterwards large buckets that hold more
+than one component are compared again: members with all members outside their own component (pairs inside one can't
+change it), block by block. Rounds that pass on the `NEAREST` candidates of a document in each other component go
+on until they find nothing; then one passes on all, so no link between components is lost.
 Band entries travel packed, one row for each slice of the input and bucket; of more than `SMALL` equal bands in a
-slice, only the slice's smallest document asks the others, as a star, the rest are entered for the later comparison.
+slice only the smallest document's goes on. What is broadcast is a bitmap of `2**SIEVE_BITS` bits.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; fewer than five words make one
 shingle of the whole sequence; repeated rows are copies of each other; empty input, empty output.
@@ -32,7 +34,7 @@ from gridloom.llm.components import connected_components
 
 SHINGLE, BANDS, ROWS, BATCH, MISS = 5, 40, 5, 25, 1e-6
 THRESHOLD = (75, 100)
-SMALL, BLOCK = 24, 1500
+SMALL, BLOCK, STAR_BANDS, CENTRES, NEAREST, SIEVE_BITS = 24, 1500, 5, 3, 2, 20
 SLICE = 1 << 20
 U64 = np.uint64
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -96,28 +98,28 @@ def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 PACK = "bucket long, docs binary, keys binary, large binary"
 PACK_ARROW = pa.schema([("bucket", pa.int64()), ("docs", pa.binary()), ("keys", pa.binary()), ("large", pa.binary())])
-PAIRS = "a long, b long, key long"
-PAIRS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
+PAIRS = "a long, b long, kind int"
+PAIRS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("kind", pa.int32())])
 
 
 def band_keys(signs: np.ndarray) -> np.ndarray:
-    """[rows, bands]: a 64-bit hash of each band, the band's number included."""
+    """[rows, bands]: a hash of each band, the band's number in the low 6 bits."""
     out = np.empty((len(signs), BANDS), U64)
     for b in range(BANDS):
         x = np.full(len(signs), K.GRAM[63 - b])
         for r in range(ROWS):
             x = K.mix(x + signs[:, b * ROWS + r].astype(U64) * K.GRAM[r])
-        out[:, b] = x
+        out[:, b] = (x & ~U64(63)) | U64(b)
     return out
 
 
-def star_or_pairs(docs: np.ndarray, keys: np.ndarray, forced: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Pairs inside runs of equal keys (keys sorted, docs ascending in a run); members of runs over SMALL apart.
+def star_or_pairs(docs: np.ndarray, keys: np.ndarray, forced: np.ndarray) -> tuple[list[tuple[int, int, int]], list[int]]:
+    """Pairs (a, b, star) inside runs of equal keys (keys sorted, docs ascending in a run), and keys of large runs.
 
-    forced: entries of runs that are large elsewhere; all their members are entered for the later comparison.
+    forced: entries of runs that are large elsewhere.
     """
-    pairs: list[tuple[int, int]] = []
-    large: list[tuple[int, int]] = []
+    pairs: set[tuple[int, int, int]] = set()
+    large: list[int] = []
     heads = K.group_starts(keys)
     tails = np.append(heads[1:], len(keys))
     elsewhere = np.maximum.reduceat(forced, heads) if len(heads) else forced
@@ -126,11 +128,12 @@ def star_or_pairs(docs: np.ndarray, keys: np.ndarray, forced: np.ndarray) -> tup
         ids = np.unique(docs[a:b]).tolist()
         if more or len(ids) > SMALL:
             key = int(keys[a : a + 1].view(np.int64)[0])
-            pairs += [(ids[0], x) for x in ids[1:]]
-            large += [(x, key) for x in ids]
+            if (key & 63) % STAR_BANDS == 0:
+                pairs.update((ids[0], x, 1) for x in ids[1:])
+            large.append(key)
         else:
-            pairs += [(x, y) for i, x in enumerate(ids) for y in ids[i + 1 :]]
-    return pairs, large
+            pairs.update((x, y, 0) for i, x in enumerate(ids) for y in ids[i + 1 :])
+    return sorted(pairs), large
 
 
 def pack_bands(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -151,11 +154,9 @@ def pack_bands(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.R
             first[heads] = True
             rows = []
             if big.any():
-                pairs, large = star_or_pairs(docs[big], keys[big], np.ones(int(big.sum()), bool))
-                for kind, found in ((-1, sorted(set(pairs))), (-2, large)):
-                    if found:
-                        x = np.array(found, np.int64)
-                        rows.append({"bucket": kind - 2 * (int(ids[0]) % 64 if len(ids) else 0), "docs": x[:, 0].tobytes(), "keys": x[:, 1].tobytes(), "large": b""})
+                stars, large = star_or_pairs(docs[big], keys[big], np.ones(int(big.sum()), bool))
+                x = np.array([(a, b) for a, b, _ in stars] or np.zeros((0, 2)), np.int64)
+                rows.append({"bucket": -1 - int(ids[0]) % buckets, "docs": x.tobytes(), "keys": np.array(large, np.int64).tobytes(), "large": b""})
             send = first | ~big
             keys, docs, big = keys[send], docs[send], big[send]
             bucket = (keys % U64(buckets)).astype(np.int64)
@@ -166,21 +167,19 @@ def pack_bands(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.R
 
 
 def candidates_of(table: pa.Table) -> pa.Table:
-    """key is null in a candidate pair; in an entry of a large bucket b is null."""
+    """kind 0: a pair, 1: an edge of a star, 2: the key (in a) of a large bucket."""
     packs = list(zip(*(table.column(k).to_pylist() for k in ("bucket", "docs", "keys", "large")), strict=True))
     if packs[0][0] < 0:
-        kind = -packs[0][0] % 2
-        docs, keys = (np.concatenate([np.frombuffer(p[k], np.int64) for p in packs]) for k in (1, 2))
-        pairs, large = (list(zip(docs.tolist(), keys.tolist(), strict=True)), []) if kind else ([], list(zip(docs.tolist(), keys.tolist(), strict=True)))
-        pairs = sorted(set(pairs))
+        stars = np.unique(np.concatenate([np.frombuffer(p[1], np.int64).reshape(-1, 2) for p in packs]), axis=0)
+        pairs, large = [(a, b, 1) for a, b in stars.tolist()], np.concatenate([np.frombuffer(p[2], np.int64) for p in packs]).tolist()
     else:
         docs, keys = np.concatenate([K.widen(p[1]) for p in packs]), np.concatenate([np.frombuffer(p[2], U64) for p in packs])
-        large = np.concatenate([np.frombuffer(p[3], bool) for p in packs])
+        forced = np.concatenate([np.frombuffer(p[3], bool) for p in packs])
         order = np.lexsort((docs, keys))
-        pairs, large = star_or_pairs(docs[order], keys[order], large[order])
-        pairs = sorted(set(pairs))
-    a = [x for x, _ in pairs] + [x for x, _ in large]
-    return pa.table({"a": a, "b": [y for _, y in pairs] + [None] * len(large), "key": [None] * len(pairs) + [y for _, y in large]}, schema=PAIRS_ARROW)
+        pairs, large = star_or_pairs(docs[order], keys[order], forced[order])
+    large = sorted(set(large))
+    a = [p[0] for p in pairs] + large
+    return pa.table({"a": a, "b": [p[1] for p in pairs] + [None] * len(large), "kind": [p[2] for p in pairs] + [2] * len(large)}, schema=PAIRS_ARROW)
 
 
 # -- verification -------------------------------------------------------------------------------------------------
@@ -254,30 +253,66 @@ def verified(pairs: DataFrame, sketches: DataFrame, rows: DataFrame) -> DataFram
     return full.mapInArrow(linked, "a long, b long")
 
 
-def across(table: pa.Table) -> pa.Table:
-    """Plausible pairs between components in one tile of a large bucket: the tile's rows of block i against those of block j."""
+def across(table: pa.Table, most: int) -> pa.Table:
+    """Plausible pairs between components in one tile of a large bucket; of each document and other component the `most` likeliest (0: all)."""
     side = np.array(table.column("side").to_pylist())
     ids, comp = (np.array(table.column(k).to_pylist(), np.int64) for k in ("doc_id", "component"))
     signs = matrix(table.column("signature").combine_chunks())
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    a, b = [], []
+    found: list[tuple[int, int]] = []
     for i in left.tolist():
         other = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (side[i] != 2))]
         hit = other[plausible(np.broadcast_to(signs[i], (len(other), signs.shape[1])), signs[other])]
-        a += [int(ids[i])] * len(hit)
-        b += ids[hit].tolist()
-    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())}) if a else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        if most and len(hit) > most:
+            order = np.lexsort((-(signs[hit] == signs[i]).sum(1), comp[hit]))
+            hit = hit[order]
+            place = np.arange(len(hit)) - np.repeat(heads := K.group_starts(comp[hit]), np.diff(np.append(heads, len(hit))))
+            hit = hit[place < most]
+        found += [(min(int(ids[i]), j), max(int(ids[i]), j)) for j in ids[hit].tolist()]
+    found = sorted(set(found))
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+
+def sieve(keys: DataFrame) -> np.ndarray:
+    """A bitmap of the keys' hashes: at most 2**SIEVE_BITS rows come to the driver, whatever the input."""
+    out = np.zeros(1 << SIEVE_BITS, bool)
+    got = keys.select(F.shiftright("key", 6).bitwiseAND((1 << SIEVE_BITS) - 1).cast("int").alias("slot")).distinct().toPandas()["slot"].to_numpy()
+    out[got.astype(np.int64)] = True
+    return out
 
 
-def residual_pairs(entries: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
+def sifted(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, whole: bool) -> Iterator[pa.RecordBatch]:
+    """Entries of sieved keys (key, doc_id, component), or for each slice only the key's least and largest component."""
+    for batch in batches:
+        ids, comp = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
+        keys = band_keys(matrix(batch.column(1)))
+        hit = np.argwhere(bitmap[((keys >> U64(6)) & U64((1 << SIEVE_BITS) - 1)).astype(np.int64)])
+        key, ids, comp = keys[hit[:, 0], hit[:, 1]].view(np.int64), ids[hit[:, 0]], comp[hit[:, 0]]
+        if whole:
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(comp)], names=["key", "doc_id", "component"])
+            continue
+        order = np.lexsort((comp, key))
+        heads = K.group_starts(key[order])
+        tails = np.append(heads[1:], len(key)) - 1
+        yield pa.RecordBatch.from_arrays([pa.array(key[order][heads]), pa.array(comp[order][heads]), pa.array(comp[order][tails[: len(heads)]])], names=["key", "lo", "hi"])
+
+
+def residual_pairs(large: DataFrame, labels: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
     """Plausible pairs between components inside large buckets, compared tile by tile."""
-    named = entries.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    dealt = named.join(mixed.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    named = sketches.join(labels, "doc_id", "left").select("doc_id", "signature", F.coalesce("component", "doc_id").alias("component"))
+    first = sieve(large)
+    held = named.mapInArrow(lambda it: sifted(it, first, False), "key long, lo long, hi long")
+    mixed = scratch_table(held.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").join(large, "key", "left_semi").select("key"), "mixed")
+    second = sieve(mixed)
+    if not second.any():
+        return mixed.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
+    entries = scratch_table(named.mapInArrow(lambda it: sifted(it, second, True), "key long, doc_id long, component long").join(mixed, "key", "left_semi"), "entries")
+    sizes = entries.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = entries.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
     tiles = dealt.withColumn("tile", F.explode(others)).withColumn("side", F.when(F.col("tile.i") == F.col("tile.j"), 2).when(F.col("block") == F.col("tile.i"), 0).otherwise(1))
     with_signs = tiles.join(sketches.select("doc_id", "signature"), "doc_id").select("key", "tile", "side", "doc_id", "component", "signature")
-    return with_signs.groupBy("key", "tile").applyInArrow(across, "a long, b long").distinct()
+    return with_signs.groupBy("key", "tile").applyInArrow(lambda t: across(t, most), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -293,12 +328,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = own.mapInArrow(lambda it: pack_bands(it, buckets), PACK).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(candidates_of, PAIRS)
     found = scratch_table(banded, "candidates")
     unique = rows.dropDuplicates(["doc_id"]) if rows.groupBy("doc_id").count().where("count > 1").limit(1).count() else rows
-    links = scratch_table(verified(found.where("b is not null").select("a", "b").distinct(), own, unique), "links")
+    stars = found.where("kind = 1").groupBy("b").agg(F.slice(F.sort_array(F.collect_set("a")), 1, CENTRES).alias("a")).select(F.explode("a").alias("a"), "b")
+    pairs = found.where("kind = 0").select("a", "b").unionByName(stars).distinct()
+    links = scratch_table(verified(pairs, own, unique), "links")
     labels = connected_components(links)
-    entries = found.where("key is not null").select(F.col("a").alias("doc_id"), "key").distinct()
-    extra = scratch_table(residual_pairs(entries, labels, own), "residual")
-    if extra.limit(1).count():
-        more = verified(extra, own, unique)
-        labels = connected_components(scratch_table(links.unionByName(more), "links"))
+    large = scratch_table(found.where("kind = 2").select(F.col("a").alias("key")).distinct(), "large")
+    most = NEAREST if large.limit(1).count() else -1
+    while most >= 0:
+        extra = scratch_table(residual_pairs(large, labels, own, most), "residual")
+        more = scratch_table(verified(extra, own, unique), "links") if extra.limit(1).count() else extra
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            labels = connected_components(links)
+            most = NEAREST
+        else:
+            most = 0 if most and extra.limit(1).count() else -1
     named = members.join(labels.select(F.col("doc_id").alias("class_id"), "component"), "class_id", "left")
     return named.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
