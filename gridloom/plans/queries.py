@@ -81,7 +81,7 @@ same("admissible_buckets", f"SELECT band, count(*) AS states, CAST(sum(n) AS BIG
 #: One-ply values of every candidate action in every state after the best opener.
 ONEPLY = f"""SELECT state, guess, sumsq, n, 1.0e0 * sumsq / n AS cost FROM ({G.STATS_SQL.format(alive=f"(SELECT f.answer, CAST(f.code AS VARCHAR(9)) AS state FROM fb f JOIN {BEST} o ON o.guess = f.guess)", fb="fb")}) v WHERE isc = 1 AND n > 1"""
 same("oneply_topk", f"SELECT state, guess, sumsq, CAST(rn AS BIGINT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY sumsq, guess) AS rn FROM ({ONEPLY}) p) q WHERE rn <= 3")
-same("decision_structure", f"SELECT state, n, CAST(sum(CASE WHEN tier = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_optimal, CAST(min(CASE WHEN tier = 2 THEN sumsq END) - min(sumsq) AS BIGINT) AS gap FROM (SELECT *, dense_rank() OVER (PARTITION BY state ORDER BY sumsq) AS tier FROM ({ONEPLY}) p) q GROUP BY state, n")
+same("decision_structure", f"SELECT state, n, CAST(sum(CASE WHEN tier = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_optimal, CAST(coalesce(min(CASE WHEN tier = 2 THEN sumsq END) - min(sumsq), -1) AS BIGINT) AS gap FROM (SELECT *, dense_rank() OVER (PARTITION BY state ORDER BY sumsq) AS tier FROM ({ONEPLY}) p) q GROUP BY state, n")
 same("preference_pairs_oneply", f"""SELECT c.state, c.guess AS chosen, r.guess AS rejected, round(r.cost - c.cost, 6) AS gap, CAST(r.rnk AS BIGINT) AS rejected_rank FROM
     (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY sumsq, guess) AS rn FROM ({ONEPLY}) p) a WHERE rn = 1) c
     JOIN (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY state ORDER BY sumsq) AS tier, rank() OVER (PARTITION BY state ORDER BY sumsq) AS rnk, row_number() OVER (PARTITION BY state ORDER BY sumsq DESC, guess) AS worst_first FROM ({ONEPLY}) p) b WHERE tier > 1 AND worst_first = 1) r ON r.state = c.state""")
