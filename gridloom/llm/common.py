@@ -42,9 +42,13 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def shuffle_width(df: DataFrame, bytes_each: int = 16 << 20) -> int:
-    """Buckets of a packed exchange: they grow with the input's bytes, and with the session's shuffle partitions."""
+    """Buckets of a packed exchange: they grow with the input's bytes, and with the session's shuffle partitions.
+
+    Plans that don't know their size say an absurdly large one (a local table, a join); then the partitions decide.
+    """
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = size if size < 1 << 50 else 0
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // bytes_each, 1 << 20), 1)
 
 
