@@ -9,8 +9,9 @@ reaches the threshold is below `MISS`. Survivors are checked exactly, on the ful
 Buckets of up to `SMALL` documents yield all their pairs. Of a larger one, every `STAR_BANDS`-th band yields a star
 on its smallest document, of which a document keeps the `CENTRES` smallest. Afterwards large buckets that hold more
 than one component are compared again: members with all members outside their own component (pairs inside one can't
-change it), block by block. Rounds that pass on the `NEAREST` candidates of a document in each other component go
-on until they find nothing; then one passes on all, so no link between components is lost.
+change it), tile by tile, with the same batches and, on the texts themselves, the same exact check. A tile passes on
+only links that join two of its components, so it makes fewer rows than it reads, and no link between components is
+lost. Members of a bucket's main component meet the others only. Texts travel for documents that a bitmap holds.
 Band entries travel packed, one row for each slice of the input and bucket; of more than `SMALL` equal bands in a
 slice only the smallest document's goes on. What is broadcast is a bitmap of `2**SIEVE_BITS` bits.
 
@@ -34,13 +35,13 @@ from gridloom.llm.components import connected_components
 
 SHINGLE, BANDS, ROWS, BATCH, MISS = 5, 40, 5, 25, 1e-6
 THRESHOLD = (75, 100)
-SMALL, BLOCK, STAR_BANDS, CENTRES, NEAREST, SIEVE_BITS = 24, 1500, 5, 3, 2, 20
+SMALL, BLOCK, BLOCK_BYTES, STAR_BANDS, CENTRES, SIEVE_BITS = 24, 1500, 8 << 20, 5, 3, 20
 SLICE = 1 << 20
 U64 = np.uint64
 _rng = np.random.Generator(np.random.PCG64(7))
 FACTORS = _rng.integers(0, 2**64, BANDS * ROWS, dtype=U64) | U64(1)
-SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("signature", pa.binary())])
-SKETCH_DDL = "doc_id long, n_shingles long, set_a long, set_b long, signature binary"
+SKETCH = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("signature", pa.binary())])
+SKETCH_DDL = "doc_id long, n_bytes long, n_shingles long, set_a long, set_b long, signature binary"
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +82,8 @@ def signatures(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
 def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in K.slices(batch, "text", SLICE):
-            sets, at = shingle_sets(*K.buffers(part.column(1)))
+            data, offs = K.buffers(part.column(1))
+            sets, at = shingle_sets(data, offs)
             n = np.diff(at)
             full = np.flatnonzero(n)
             sums = np.zeros((2, len(n)), U64)
@@ -91,7 +93,7 @@ def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             signs: list[bytes | None] = [None] * len(n)
             for r, s in zip(full.tolist(), signatures(sets, at), strict=True):
                 signs[r] = s.tobytes()
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(signs, pa.binary())], schema=SKETCH)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offs).astype(np.int64)), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(signs, pa.binary())], schema=SKETCH)
 
 
 # -- candidates ---------------------------------------------------------------------------------------------------
@@ -248,39 +250,66 @@ def verified(pairs: DataFrame, sketches: DataFrame, rows: DataFrame) -> DataFram
     signs = sketches.select("doc_id", "signature")
     both = pairs.join(signs.toDF("a", "sign_a"), "a").join(signs.toDF("b", "sign_b"), "b").select("a", "b", "sign_a", "sign_b")
     stay = both.mapInArrow(prune, "a long, b long")
-    texts = rows.select("doc_id", "text")
+    stay = scratch_table(stay, "plausible")
+    texts = sieved(rows.select("doc_id", "text"), stay.select(F.explode(F.array("a", "b")).alias("doc_id")))
     full = stay.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
     return full.mapInArrow(linked, "a long, b long")
 
 
-def across(table: pa.Table, most: int) -> pa.Table:
-    """Plausible pairs between components in one tile of a large bucket; of each document and other component the `most` likeliest (0: all)."""
+def forest(table: pa.Table) -> pa.Table:
+    """Links that join components in one tile of a large bucket, confirmed on full sets: fewer than it has components."""
     side = np.array(table.column("side").to_pylist())
-    ids, comp = (np.array(table.column(k).to_pylist(), np.int64) for k in ("doc_id", "component"))
+    ids, label = (np.array(table.column(k).to_pylist(), np.int64) for k in ("doc_id", "component"))
     signs = matrix(table.column("signature").combine_chunks())
+    parts = [shingle_sets(*K.buffers(part.column(0))) for batch in table.select(["text"]).combine_chunks().to_batches() for part in K.slices(batch, "text", SLICE)]
+    sets, sizes = np.concatenate([x for x, _ in parts]), np.concatenate([np.diff(at) for _, at in parts])
+    at = np.concatenate(([0], np.cumsum(sizes)))
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     found: list[tuple[int, int]] = []
     for i in left.tolist():
-        other = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (side[i] != 2))]
+        near = THRESHOLD[1] * np.minimum(sizes[right], sizes[i]) >= THRESHOLD[0] * np.maximum(sizes[right], sizes[i])
+        other = right[near & (label[right] != label[i]) & ((ids[right] > ids[i]) | (side[i] != 2))]
         hit = other[plausible(np.broadcast_to(signs[i], (len(other), signs.shape[1])), signs[other])]
-        if most and len(hit) > most:
-            order = np.lexsort((-(signs[hit] == signs[i]).sum(1), comp[hit]))
-            hit = hit[order]
-            place = np.arange(len(hit)) - np.repeat(heads := K.group_starts(comp[hit]), np.diff(np.append(heads, len(hit))))
-            hit = hit[place < most]
-        found += [(min(int(ids[i]), j), max(int(ids[i]), j)) for j in ids[hit].tolist()]
-    found = sorted(set(found))
+        if not len(hit):
+            continue
+        own, ends = sets[at[i] : at[i + 1]], np.cumsum(sizes[hit])
+        theirs = sets[np.arange(ends[-1]) + np.repeat(at[hit] - ends + sizes[hit], sizes[hit])]
+        same = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+        common = np.add.reduceat(same.astype(np.int64), ends - sizes[hit])
+        for j in hit[THRESHOLD[1] * common >= THRESHOLD[0] * (sizes[i] + sizes[hit] - common)].tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                found.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
 
-def sieve(keys: DataFrame) -> np.ndarray:
-    """A bitmap of the keys' hashes: at most 2**SIEVE_BITS rows come to the driver, whatever the input."""
+def bitmap_of(slots: DataFrame) -> np.ndarray:
+    """Which of 2**SIEVE_BITS slots occur, put together by partial aggregates; its size is fixed, whatever the input."""
     out = np.zeros(1 << SIEVE_BITS, bool)
-    got = keys.select(F.shiftright("key", 6).bitwiseAND((1 << SIEVE_BITS) - 1).cast("int").alias("slot")).distinct().toPandas()["slot"].to_numpy()
-    out[got.astype(np.int64)] = True
+    spot = F.col("slot") + 1
+    for r in slots.groupBy(F.bitmap_bucket_number(spot).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits")).collect():
+        bits = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little").astype(bool)
+        at = (r["page"] - 1) * len(bits)
+        out[at : at + len(bits)] = bits[: len(out) - at]
     return out
 
 
+def sieve(keys: DataFrame) -> np.ndarray:
+    return bitmap_of(keys.select(F.shiftright("key", 6).bitwiseAND((1 << SIEVE_BITS) - 1).alias("slot")))
+
+
+def sieved(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows (doc_id, text) without most of those that ids lacks: spares their move, the join that follows is exact."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << SIEVE_BITS)).alias("slot")
+    bitmap = bitmap_of(ids.select(slot))
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(["doc_id", "text"]).filter(pa.array(bitmap[batch.column(2).to_numpy()]))
+
+    return rows.select("doc_id", "text", slot).mapInArrow(held, "doc_id long, text string")
+
+
 def sifted(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, whole: bool) -> Iterator[pa.RecordBatch]:
     """Entries of sieved keys (key, doc_id, component), or for each slice only the key's least and largest component."""
     for batch in batches:
@@ -297,8 +326,8 @@ def sifted(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, whole: bool) -
         yield pa.RecordBatch.from_arrays([pa.array(key[order][heads]), pa.array(comp[order][heads]), pa.array(comp[order][tails[: len(heads)]])], names=["key", "lo", "hi"])
 
 
-def residual_pairs(large: DataFrame, labels: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
-    """Plausible pairs between components inside large buckets, compared tile by tile."""
+def residual_links(large: DataFrame, labels: DataFrame, sketches: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links between components inside large buckets, compared tile by tile."""
     named = sketches.join(labels, "doc_id", "left").select("doc_id", "signature", F.coalesce("component", "doc_id").alias("component"))
     first = sieve(large)
     held = named.mapInArrow(lambda it: sifted(it, first, False), "key long, lo long, hi long")
@@ -306,13 +335,21 @@ def residual_pairs(large: DataFrame, labels: DataFrame, sketches: DataFrame, mos
     second = sieve(mixed)
     if not second.any():
         return mixed.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
-    entries = scratch_table(named.mapInArrow(lambda it: sifted(it, second, True), "key long, doc_id long, component long").join(mixed, "key", "left_semi"), "entries")
-    sizes = entries.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = entries.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    hits = named.mapInArrow(lambda it: sifted(it, second, True), "key long, doc_id long, component long").join(mixed, "key", "left_semi")
+    entries = scratch_table(hits.join(sketches.select("doc_id", "n_bytes"), "doc_id"), "entries")
+    shares = entries.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("size"))
+    whole = shares.groupBy("key").agg(F.max(F.struct("n", "component", "size")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES)).cast("int")
+    cut = whole.select("key", F.col("main.component").alias("main"), blocks(F.col("main.n"), F.col("main.size")).alias("many"), blocks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("few"))
+    # members of the main component have blocks few, few + 1, ...; they meet the blocks before those only
+    is_main = F.col("component") == F.col("main")
+    block = F.when(is_main, F.col("few") + F.pmod(F.xxhash64("doc_id"), F.col("many"))).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("few"))).cast("int")
+    dealt = entries.join(cut, "key").withColumn("block", block).withColumn("last", F.when(is_main, F.col("few") - 1).otherwise(F.col("few") + F.col("many") - 1))
+    others = F.transform(F.sequence(F.lit(0), F.col("last")), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
     tiles = dealt.withColumn("tile", F.explode(others)).withColumn("side", F.when(F.col("tile.i") == F.col("tile.j"), 2).when(F.col("block") == F.col("tile.i"), 0).otherwise(1))
-    with_signs = tiles.join(sketches.select("doc_id", "signature"), "doc_id").select("key", "tile", "side", "doc_id", "component", "signature")
-    return with_signs.groupBy("key", "tile").applyInArrow(lambda t: across(t, most), "a long, b long").distinct()
+    texts = sieved(rows, entries.select("doc_id"))
+    members = tiles.join(sketches.select("doc_id", "signature"), "doc_id").join(texts, "doc_id").select("key", "tile", "side", "doc_id", "component", "signature", "text")
+    return members.groupBy("key", "tile").applyInArrow(forest, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -320,12 +357,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = text_rows(docs, id_col, text_col)
     sketches = scratch_table(rows.mapInArrow(sketch, SKETCH_DDL), "sketches")
     classes = sketches.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("class_id"))
-    members = scratch_table(sketches.drop("signature").join(classes, ["set_a", "set_b", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")), "members")
+    members = scratch_table(sketches.drop("signature", "n_bytes").join(classes, ["set_a", "set_b", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")), "members")
     heads = members.where("doc_id = class_id and n_shingles > 0").select("doc_id").distinct()
     own = sketches.where("n_shingles > 0").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    own = scratch_table(own.select("doc_id", "signature"), "signatures")
+    own = scratch_table(own.select("doc_id", "n_bytes", "signature"), "signatures")
     buckets = shuffle_width(docs)
-    banded = own.mapInArrow(lambda it: pack_bands(it, buckets), PACK).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(candidates_of, PAIRS)
+    banded = own.select("doc_id", "signature").mapInArrow(lambda it: pack_bands(it, buckets), PACK).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(candidates_of, PAIRS)
     found = scratch_table(banded, "candidates")
     unique = rows.dropDuplicates(["doc_id"]) if rows.groupBy("doc_id").count().where("count > 1").limit(1).count() else rows
     stars = found.where("kind = 1").groupBy("b").agg(F.slice(F.sort_array(F.collect_set("a")), 1, CENTRES).alias("a")).select(F.explode("a").alias("a"), "b")
@@ -333,15 +370,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = scratch_table(verified(pairs, own, unique), "links")
     labels = connected_components(links)
     large = scratch_table(found.where("kind = 2").select(F.col("a").alias("key")).distinct(), "large")
-    most = NEAREST if large.limit(1).count() else -1
-    while most >= 0:
-        extra = scratch_table(residual_pairs(large, labels, own, most), "residual")
-        more = scratch_table(verified(extra, own, unique), "links") if extra.limit(1).count() else extra
+    if large.limit(1).count():
+        more = scratch_table(residual_links(large, labels, own, unique), "links")
         if more.limit(1).count():
-            links = links.unionByName(more)
-            labels = connected_components(links)
-            most = NEAREST
-        else:
-            most = 0 if most and extra.limit(1).count() else -1
+            labels = connected_components(links.unionByName(more))
     named = members.join(labels.select(F.col("doc_id").alias("class_id"), "component"), "class_id", "left")
     return named.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
