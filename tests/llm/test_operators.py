@@ -14,6 +14,7 @@ import pytest
 from gridloom.llm.decontamination import decontaminate
 from gridloom.llm.exact_dedup import exact_dedup
 from gridloom.llm.lm_scoring import lm_scores
+from gridloom.llm import near_dedup as near
 from gridloom.llm.near_dedup import near_duplicates
 from gridloom.llm.packing import END_ID, best_fit, dearest, pack_documents, plan
 from gridloom.llm.pii import KINDS, base_spans, detector, examples, find_pii, redact
@@ -221,3 +222,45 @@ def test_lm_scoring(docs):
     got = by_id(lm_scores(docs))
     assert got[0].n_tokens == 0 and got[0].log_likelihood == 0 and got[0].mean_log_likelihood is None
     assert all(r.log_likelihood < 0 and r.n_tokens == len(TEXTS[i].split()) for i, r in got.items() if (TEXTS[i] or "").split())
+
+
+def test_near_dedup_links_components_inside_large_buckets(spark, monkeypatch):
+    """A line that many documents share puts unlike documents into the same large buckets; tiles must lose no link."""
+    own, line = random.Random(11), prose(30)
+    rows = []
+    for _ in range(90):
+        tail = [own.choice(VOCABULARY) for _ in range(8)]
+        for _ in range(own.randint(1, 5)):
+            new = list(tail)
+            new[own.randrange(8)] = own.choice(VOCABULARY)
+            rows.append((len(rows), f"{line} {' '.join(new)} {own.choice(VOCABULARY)}"))
+    monkeypatch.setattr(near, "BLOCK", 40)  # several tiles a bucket
+    docs = near.text_rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    got = by_id(near_duplicates(docs))
+    # every band counts as a large bucket here, and nothing is linked yet
+    own = docs.mapInArrow(near.sketch, near.SKETCH_DDL).select("doc_id", "n_bytes", "signature")
+    signs = np.frombuffer(b"".join(bytes(r.signature) for r in own.collect()), np.uint32).reshape(len(rows), -1)
+    large = spark.createDataFrame([(k,) for k in np.unique(near.band_keys(signs).view(np.int64)).tolist()], "key long")
+    links = near.residual_links(large, spark.createDataFrame([], "doc_id long, component long"), own, docs).collect()
+    sets = []
+    for _, t in rows:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+
+    def components(joined):
+        least, changed = list(range(len(rows))), True
+        while changed:
+            changed = False
+            for i, j in joined:
+                low = min(least[i], least[j])
+                changed |= least[i] != low or least[j] != low
+                least[i] = least[j] = low
+        return least
+
+    least = components(pairs)
+    assert {(x.b, x.a) for x in links} <= set(pairs)
+    assert components([(x.a, x.b) for x in links]) == least
+    assert [got[i].component_id for i in range(len(rows))] == least
+    assert [got[i].n_shingles for i in range(len(rows))] == [len(x) for x in sets]
+    assert len(set(least)) > 20
