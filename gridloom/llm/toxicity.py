@@ -6,7 +6,8 @@ its most toxic window, so a long text isn't diluted. Both layers are trained tog
 sample of labelled rows; a part of it calibrates the logit. For scoring, vectors and softmax fold into one number
 for each gram.
 
-Bounds: `FIT_ROWS` rows of each label, in the order of a hash of doc_id, of texts up to `FIT_CHARS` characters.
+Bounds: `FIT_ROWS` ids of each label, in the order of a hash of doc_id, of texts up to `FIT_CHARS` characters; of an
+id that stands on several rows the least text is taken.
 Scoring reads every whole text. Defined results: null and empty texts have no window and get the score of an empty
 bag; rows without labels are scored alike; without labels of both kinds every score is 0; repeated rows score alike.
 """
@@ -178,11 +179,15 @@ def held_out(doc_id: object) -> object:
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float, float, float]:
     """Fits on at most `fit_rows` rows of each label that are not held out."""
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null").where(~held_out("doc_id"))
-    rows = marks.join(text_rows(docs, id_col, text_col).where(F.length("text").between(1, FIT_CHARS)), "doc_id")
-    order = F.xxhash64("doc_id")
-    kept = [r for t in (0, 1) for r in rows.where(F.col("toxic") == t).orderBy(order, "doc_id").limit(fit_rows).collect()]
-    return fit([r["text"] for r in kept], [r["toxic"] for r in kept])
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null").where(~held_out("doc_id")).distinct()
+    rows = text_rows(docs, id_col, text_col).where(F.length("text").between(1, FIT_CHARS))
+    # ids are chosen first, so that only the chosen texts move
+    found = marks.join(rows.select("doc_id"), "doc_id", "left_semi").select("doc_id", "toxic", F.xxhash64("doc_id").alias("place"))
+    sides = [found.where(F.col("toxic") == t).orderBy("place", "doc_id").limit(fit_rows) for t in (0, 1)]
+    chosen = sorted(sides[0].unionByName(sides[1]).collect(), key=lambda r: (r["toxic"], r["place"], r["doc_id"]))
+    ids = F.broadcast(docs.sparkSession.createDataFrame([(r["doc_id"],) for r in chosen], "doc_id long").distinct())  # at most 2 * fit_rows ids
+    texts = {r["doc_id"]: r["text"] for r in rows.join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
+    return fit([texts[r["doc_id"]] for r in chosen], [r["toxic"] for r in chosen])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
