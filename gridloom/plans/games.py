@@ -21,6 +21,15 @@ RULES = {
     "hybrid": "round(h - 0.25e0 * log2(worst) - 0.25e0 * log2(1.0e0 * sumsq / n) + CASE WHEN isc = 1 THEN log2(1 + 1.0e0 / n) ELSE 0 END, 9) DESC, guess",
     "frequency": "fscore DESC, guess",
     "random": "{sha}(concat('20260817|', state, '|', guess){bits}), guess",
+    # the candidates alone once few are left
+    "adaptive_20": "CASE WHEN n <= 20 THEN -isc ELSE 0 END, round(h, 9) DESC, isc DESC, guess",
+    "adaptive_100": "CASE WHEN n <= 100 THEN -isc ELSE 0 END, round(h, 9) DESC, isc DESC, guess",
+    # an expert acts in wide states, chance among candidates elsewhere
+    "expert_above_10": "CASE WHEN n > 10 THEN -round(h, 9) ELSE -isc END, {sha}(concat('20260817|', state, '|', guess){bits}), guess",
+    # rollouts: a candidate in 0.55 of states (8c.. of a hash in hex), else any word
+    "rollout_endgame": "CASE WHEN {sha}(concat('cand|', state){bits}) < '8ccccccc' THEN -isc ELSE 0 END, {sha}(concat('20260817|', state, '|', guess){bits}), guess",
+    # rollouts: the expert in 0.7 of second turns; a candidate where at most 20 are left, and in 0.9 of other states
+    "rollout_mixed": "CASE WHEN turn_no = 2 AND {sha}(concat('expert|', state){bits}) < 'b3333333' THEN -round(h, 9) WHEN n <= 20 OR {sha}(concat('cand|', state){bits}) < 'e6666666' THEN -isc ELSE 0 END, {sha}(concat('20260821|', state, '|', guess){bits}), guess",
 }
 TIEBREAKS = {"A": "round(h, 9) DESC, isc DESC, guess", "B": "round(h, 9) DESC, guess", "C": "round(h, 9) DESC, isc DESC, guess DESC", "D": "round(h, 9) DESC, isc DESC, sumsq, guess"}
 CANDIDATES_ONLY = ("frequency", "random")
@@ -42,6 +51,7 @@ def turn_sql(turn: int, rule: str, alive: str, fb: str = "fb", scores: str = "fs
     stats = STATS_SQL.format(alive=alive, fb=fb)
     if rule == "frequency":
         stats = f"SELECT s.*, fs.fscore FROM ({stats}) s JOIN {scores} fs ON fs.guess = s.guess"
+    order = order.replace("turn_no", str(turn))
     choice = f"SELECT state, guess, n FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY {order}) AS rn FROM ({stats}) t WHERE {pool}) u WHERE rn = 1"
     return f"SELECT al.answer, {turn} AS turn, c.guess, f.code, c.n AS n_before, al.state FROM {alive} al JOIN ({choice}) c ON c.state = al.state JOIN {fb} f ON f.guess = c.guess AND f.answer = al.answer"
 

@@ -12,6 +12,7 @@ import pytest
 from gridloom.functions.feedback import code_to_pattern, feedback_code, letters, pattern_to_code
 from gridloom.functions.hashing import split_of
 from gridloom.operators.tree import action_costs
+from gridloom.plans import datasets  # noqa: F401  (registers its queries)
 from gridloom.plans.queries import ORACLES, QUERIES
 from gridloom.sources.words import normalize_words
 
@@ -81,7 +82,7 @@ def test_exact_search_against_brute_force():
     assert action_costs(pdf, 4) == {g: total(g, words, 4) for g in words}
 
 
-FAST = [n for n in ORACLES if not n.startswith(("solver_games", "tiebreak"))] + ["solver_games_expected", "solver_games_frequency"]
+FAST = [n for n in ORACLES if not n.startswith(("solver_games", "tiebreak", "policy_adaptive", "policy_expert", "policy_rollout"))] + ["solver_games_expected", "solver_games_frequency"]
 
 
 @pytest.fixture(scope="session")
