@@ -9,7 +9,8 @@ so a repeat that spans two reference blocks is not missed. All words of factors
 
 Exchange: one row for each slice of the input and bucket, with hashes and positions as packed arrays. Before it, a
 slice settles its own repeats: of equal windows only those of the slice's smallest document are asked about, so a
-passage that a third of all documents hold arrives once a slice. A window is known by 64 bits of hashes plus the bits of its bucket.
+passage that a third of all documents hold arrives once a slice. A window is known by a 64-bit hash of all its words; equal
+anchors don't weaken it.
 
 Defined results: null and empty texts have no words; rows with equal doc_id never remove each other's words; a
 repeated row gets the same result each time; a null doc_id is neither judged nor a reference.
@@ -31,8 +32,8 @@ from gridloom.llm.common import shuffle_width, text_rows
 WINDOW, GRAM = 13, 5
 SLICE = 4 << 20
 U64 = np.uint64
-PACK = "bucket long, own boolean, docs binary, tags binary, row binary, start binary, size binary, anchor binary, window binary"
-PACK_ARROW = pa.schema([("bucket", pa.int64()), ("own", pa.bool_()), *((k, pa.binary()) for k in ("docs", "tags", "row", "start", "size", "anchor", "window"))])
+PACK = "bucket long, own boolean, docs binary, tags binary, row binary, start binary, size binary, window binary"
+PACK_ARROW = pa.schema([("bucket", pa.int64()), ("own", pa.bool_()), *((k, pa.binary()) for k in ("docs", "tags", "row", "start", "size", "window"))])
 FOUND = "doc_id long, tag long, run long"
 FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("run", pa.int64())])
 
@@ -84,7 +85,7 @@ def packs(batch: pa.RecordBatch, buckets: int) -> Iterator[dict]:
         within = np.repeat(h, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         yield {
             "bucket": int(bucket[pick[0]]), "own": mine, "docs": K.narrow(ids[used]), "tags": K.narrow(tags[used]), "row": K.narrow(place), "start": K.narrow(start[h]), "size": K.narrow(n),
-            "anchor": b"" if mine else (anchor[h] >> U64(32)).astype(np.uint32).tobytes(), "window": b"" if mine else (window[within] >> U64(32)).astype(np.uint32).tobytes(),
+            "window": b"" if mine else window[within].tobytes(),
         }
 
 
@@ -110,8 +111,7 @@ def look_up(table: pa.Table) -> pa.Table:
         if r["own"]:
             own_runs.append(np.stack([at, s, n]))
             continue
-        anchor = np.frombuffer(r["anchor"], np.uint32).astype(U64)
-        keys.append((np.repeat(anchor, n) << U64(32)) | np.frombuffer(r["window"], np.uint32))
+        keys.append(np.frombuffer(r["window"], U64))
         owner.append(np.repeat(at, n))
         starts.append(np.repeat(s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
     docs, tags = np.concatenate(docs), np.concatenate(tags)

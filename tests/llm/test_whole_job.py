@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from gridloom.llm import decontamination as leaks
+from gridloom.llm import kernels as K
 from gridloom.llm.decontamination import decontaminate
+from gridloom.llm.substring_dedup import substring_dedup, windows
 
 own = random.Random(23)
 WORDS = ["".join(own.choice("abcdefghij") for _ in range(own.randint(3, 7))) for _ in range(5000)]
@@ -49,3 +54,26 @@ def test_decontamination_finds_short_items_of_common_words_like_brute_force(spar
         share = max(subsequence(i.split(), text.split()[50:80]) / len(i.split()) for i in items)
         assert got[k].contaminated == (share >= leaks.COPIED) or leaks.PARAPHRASED <= share < leaks.COPIED, k
         assert k >= 100 or got[k].contaminated
+
+
+def test_substring_dedup_tells_windows_of_one_anchor_apart_by_64_bits(spark):
+    """Different windows under one anchor whose hashes agree in their upper 32 bits are no copies."""
+    draw = np.random.Generator(np.random.PCG64(4))
+    grams = [" ".join(g) for g in draw.choice(WORDS, (100_000, 5))]
+    data, offs = K.buffers(pa.array(grams))
+    starts, ends, _ = K.spans(data, offs)
+    least = grams[int(K.grams(K.word_hashes(data, starts, ends), 5)[::5].argmin())]
+    texts = [f"{' '.join(w[:4])} {least} {' '.join(w[4:])}" for w in draw.choice(WORDS, (300_000, 8)).tolist()]
+    row, _, anchor, window = windows(*K.buffers(pa.array(texts)))
+    values, count = np.unique(anchor, return_counts=True)
+    same = row[anchor == values[count.argmax()]]
+    high = window[same] >> np.uint64(32)
+    order = np.argsort(high, kind="stable")
+    twice = np.flatnonzero(np.diff(high[order].astype(np.int64)) == 0)
+    pairs = [(texts[same[order[k]]], texts[same[order[k + 1]]]) for k in twice]
+    pairs = [p for p in pairs if p[0] != p[1]]
+    assert pairs
+    # one slice settles its own repeats with all bits, so a pair is cut into two partitions
+    rows = spark.createDataFrame([(2 * k + j, t) for k, p in enumerate(pairs) for j, t in enumerate(p)], "doc_id long, text string")
+    got = substring_dedup(rows.repartitionByRange(2 * len(pairs), "doc_id")).collect()
+    assert len(got) == 2 * len(pairs) and all(r.n_removed == 0 for r in got)
