@@ -1,10 +1,10 @@
 """Masked pseudo-likelihood with a bidirectional window network.
 
-Every token is predicted from the two tokens on either side. Words are slots of a hash (`SLOTS`); the
-`OWN` most frequent slots of the corpus are classes of their own, the others share the rest of `CLASSES` by hash.
-The network sums one vector for each neighbouring position, applies tanh, and a softmax gives the class; a slot's
-probability within its class is its share of the class's count over the whole corpus. A document's score is the sum
-of log-probabilities over all its tokens, each masked in turn.
+Every token is predicted from the two tokens on either side. Words are slots of a hash (`SLOTS`); neighbours are folded
+into `INPUTS`. The network sums one vector for each neighbouring position and applies tanh; a hierarchical softmax over
+all slots follows: slots are leaves of a Huffman tree of `ARITY` branches over the whole corpus's counts, and each inner
+node has a softmax of its own over its branches, begun at their shares of the counts. So context decides at every step
+down to the slot. A document's score is the sum of log-probabilities over all its tokens, each masked in turn.
 
 Corpus counts come from all documents. Training takes every `EVERY`-th run of tokens of every partition, so it
 grows with the corpus: each partition takes gradient steps in numpy from the same start, and parameters are averaged
@@ -16,6 +16,7 @@ an edge; repeated rows score alike (and count as often in the corpus as they occ
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +28,13 @@ from gridloom.llm import kernels as K
 from gridloom.llm.common import text_rows
 from gridloom.llm.vectors import summed
 
-SLOTS, INPUTS, CLASSES, OWN, DIM = 1 << 16, 1 << 12, 64, 40, 12
+SLOTS, INPUTS, ARITY, DIM = 1 << 16, 1 << 12, 4, 12
+NODES = (SLOTS - 1) // (ARITY - 1)
 OFFSETS = (-2, -1, 1, 2)
-EVERY, RUN, RATE, PASSES = 8, 256, 1.0, 2
+EVERY, RUN, RATE, PASSES, FLOOR = 8, 1024, 1.0, 2, 1e-5
 SLICE = 1 << 20
 EDGE = INPUTS
-SHAPES = ((len(OFFSETS), INPUTS + 1, DIM), (DIM, CLASSES), (CLASSES,))
+SHAPES = ((len(OFFSETS), INPUTS + 1, DIM), (NODES, ARITY, DIM), (NODES, ARITY))
 SIZE = sum(int(np.prod(s)) for s in SHAPES)
 
 
@@ -57,13 +59,26 @@ def corpus_counts(rows: DataFrame) -> np.ndarray:
     return summed(rows, partial, SLOTS)
 
 
-def class_table(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each slot, and log of each slot's share of its class (add-one)."""
-    classes = OWN + np.arange(SLOTS) * 2654435761 % (1 << 32) % (CLASSES - OWN)
-    top = np.lexsort((np.arange(SLOTS), -counts))[:OWN]
-    classes[top] = np.arange(OWN)
-    smooth = counts + 1
-    return classes, np.log(smooth) - np.log(np.bincount(classes, smooth, CLASSES))[classes]
+def tree(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Huffman tree of slots by count (add-one): nodes from the root [slots, depth], -1 where a path has ended, the
+    branches taken, and log of each branch's share of its node [nodes, branches]."""
+    mass = np.concatenate((counts + 1, np.zeros(NODES)))
+    parent, branch, prior = np.full(SLOTS + NODES, -1), np.zeros(SLOTS + NODES, np.int8), np.zeros((NODES, ARITY))
+    heap = [(m, k) for k, m in enumerate(mass[:SLOTS].tolist())]
+    heapq.heapify(heap)
+    for node in range(NODES):
+        taken = [heapq.heappop(heap) for _ in range(ARITY)]
+        masses, ids = (list(x) for x in zip(*taken, strict=True))
+        total = sum(masses)
+        parent[ids], branch[ids], prior[node], mass[SLOTS + node] = node, np.arange(ARITY), np.log(masses) - np.log(total), total
+        heapq.heappush(heap, (total, SLOTS + node))
+    at, nodes, kids = np.arange(SLOTS), [], []
+    while (at >= 0).any():
+        up = np.where(at >= 0, parent[at], -1)
+        nodes.append(up.astype(np.int16))
+        kids.append(branch[at])
+        at = np.where(up >= 0, SLOTS + up, -1)
+    return np.stack(nodes[-2::-1], 1), np.stack(kids[-2::-1], 1), prior
 
 
 def unpack(flat: np.ndarray) -> list[np.ndarray]:
@@ -75,8 +90,9 @@ def unpack(flat: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def start() -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(3)).normal(0, 0.05, SIZE)
+def start(prior: np.ndarray) -> np.ndarray:
+    """Small random numbers, and the shares of branches as their biases."""
+    return np.concatenate((np.random.Generator(np.random.PCG64(3)).normal(0, 0.05, SIZE - prior.size), prior.ravel()))
 
 
 def neighbours(slots: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -97,10 +113,29 @@ def hidden(inputs: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return np.tanh(h, out=h)
 
 
-def train(batches: Iterator[pa.RecordBatch], flat: np.ndarray, classes: np.ndarray) -> np.ndarray:
+def choices(slots: np.ndarray, nodes: np.ndarray, kids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The branches that lead to each token: token, node, branch, in the order of tokens."""
+    path = nodes[slots]
+    token, level = np.nonzero(path >= 0)
+    return token, path[token, level].astype(np.int64), kids[slots[token], level].astype(np.int64)
+
+
+def softmax(h: np.ndarray, token: np.ndarray, node: np.ndarray, top: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each choice: hidden state, the node's weights, probabilities of its branches."""
+    state, weights = h[token], top[node]
+    p = np.matmul(weights, state[:, :, None])[:, :, 0] + bias[node]
+    p -= p.max(1, keepdims=True)
+    np.exp(p, out=p)
+    p /= p.sum(1, keepdims=True)
+    return state, weights, p
+
+
+def train(batches: Iterator[pa.RecordBatch], flat: np.ndarray, nodes: np.ndarray, kids: np.ndarray) -> np.ndarray:
     """Gradient steps over a share of the partition's tokens; parameters and, last, tokens: both weighted by tokens."""
     vectors, top, bias = unpack(flat)
-    seen = [np.full((len(OFFSETS), INPUTS + 1), 1e-3, np.float32), np.full(top.shape, 1e-3, np.float32), np.full(bias.shape, 1e-3, np.float32)]
+    vectors = vectors.reshape(-1, DIM)
+    seen = [np.full(len(vectors), FLOOR, np.float32), np.full(top.shape, FLOOR, np.float32), np.full(bias.shape, FLOOR, np.float32)]
+    shift = np.arange(len(OFFSETS))[:, None] * (INPUTS + 1)
     n = 0
     for batch in batches:
         for part in K.slices(batch, "text", SLICE):
@@ -108,50 +143,49 @@ def train(batches: Iterator[pa.RecordBatch], flat: np.ndarray, classes: np.ndarr
             if not len(slots):
                 continue
             inputs = neighbours(slots, first)
-            target = classes[slots]
             for at in range(0, len(slots), RUN * EVERY):
-                x, y = inputs[:, at : at + RUN], target[at : at + RUN]
-                h = hidden(x, vectors)
-                logits = h @ top + bias
-                logits -= logits.max(1, keepdims=True)
-                p = np.exp(logits)
-                p /= p.sum(1, keepdims=True)
-                p[np.arange(len(y)), y] -= 1
+                x, y = inputs[:, at : at + RUN], slots[at : at + RUN]
+                h = hidden(x, vectors.reshape(SHAPES[0]))
+                token, node, kid = choices(y, nodes, kids)
+                state, weights, p = softmax(h, token, node, top, bias)
+                p[np.arange(len(p)), kid] -= 1
                 p /= len(y)
-                back = (p @ top.T) * (1 - h * h)
-                for grad, value, past in ((h.T @ p, top, seen[1]), (p.sum(0), bias, seen[2])):
-                    past += grad * grad
-                    value -= 0.1 * RATE * grad / np.sqrt(past)
-                for k in range(len(OFFSETS)):
-                    used, place = np.unique(x[k], return_inverse=True)
-                    grad = np.zeros((len(used), DIM), np.float32)
-                    np.add.at(grad, place, back)
-                    seen[0][k, used] += (grad * grad).mean(1)
-                    vectors[k, used] -= 0.1 * RATE * grad / np.sqrt(seen[0][k, used])[:, None]
+                back = np.add.reduceat(np.matmul(p[:, None, :], weights)[:, 0], K.group_starts(token)) * (1 - h * h)
+                order = np.argsort(node, kind="stable")
+                heads = K.group_starts(node[order])
+                used, p, state = node[order[heads]], p[order], state[order]
+                for grad, value, past in ((np.add.reduceat(p[:, :, None] * state[:, None, :], heads), top, seen[1]), (np.add.reduceat(p, heads), bias, seen[2])):
+                    past[used] += grad * grad
+                    value[used] -= 0.1 * RATE * grad / np.sqrt(past[used])
+                flat_x = (x + shift).ravel()
+                order = np.argsort(flat_x, kind="stable")
+                heads = K.group_starts(flat_x[order])
+                used, grad = flat_x[order[heads]], np.add.reduceat(back[order % len(y)], heads)
+                seen[0][used] += (grad * grad).mean(1)
+                vectors[used] -= 0.1 * RATE * grad / np.sqrt(seen[0][used])[:, None]
                 n += len(y)
     return np.concatenate([np.concatenate([v.ravel() for v in (vectors, top, bias)]).astype(float) * n, [n]])
 
 
-def log_probabilities(slots: np.ndarray, first: np.ndarray, flat: np.ndarray, classes: np.ndarray, share: np.ndarray) -> np.ndarray:
+def log_probabilities(slots: np.ndarray, first: np.ndarray, flat: np.ndarray, nodes: np.ndarray, kids: np.ndarray) -> np.ndarray:
     vectors, top, bias = unpack(flat)
     inputs, out = neighbours(slots, first), np.empty(len(slots))
-    for at in range(0, len(slots), 8192):
-        logits = hidden(inputs[:, at : at + 8192], vectors) @ top + bias
-        logits -= logits.max(1, keepdims=True)
-        c = classes[slots[at : at + 8192]]
-        own = logits[np.arange(len(c)), c].astype(float)
-        out[at : at + 8192] = own - np.log(np.exp(logits, out=logits).sum(1)) + share[slots[at : at + 8192]]
+    for at in range(0, len(slots), 2048):
+        token, node, kid = choices(slots[at : at + 2048], nodes, kids)
+        _, _, p = softmax(hidden(inputs[:, at : at + 2048], vectors), token, node, top, bias)
+        own = np.log(np.maximum(p[np.arange(len(p)), kid].astype(float), 1e-30))
+        out[at : at + 2048] = np.add.reduceat(own, K.group_starts(token))
     return out
 
 
 def fitted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Parameters, classes, shares."""
-    classes, share = class_table(corpus_counts(rows))
-    flat = start()
+    """Parameters; nodes and branches of each slot."""
+    nodes, kids, prior = tree(corpus_counts(rows))
+    flat = start(prior)
     for _ in range(PASSES):
-        total = summed(rows, lambda it, flat=flat: train(it, flat, classes), SIZE + 1)
+        total = summed(rows, lambda it, flat=flat: train(it, flat, nodes, kids), SIZE + 1)
         flat = total[:-1] / total[-1] if total[-1] else flat
-    return flat, classes, share
+    return flat.astype(np.float32), nodes, kids
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

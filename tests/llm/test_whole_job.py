@@ -9,6 +9,7 @@ import pyarrow as pa
 
 from gridloom.llm import decontamination as leaks
 from gridloom.llm import kernels as K
+from gridloom.llm import lm_scoring as lm
 from gridloom.llm.decontamination import decontaminate
 from gridloom.llm.substring_dedup import substring_dedup, windows
 
@@ -77,3 +78,23 @@ def test_substring_dedup_tells_windows_of_one_anchor_apart_by_64_bits(spark):
     rows = spark.createDataFrame([(2 * k + j, t) for k, p in enumerate(pairs) for j, t in enumerate(p)], "doc_id long, text string")
     got = substring_dedup(rows.repartitionByRange(2 * len(pairs), "doc_id")).collect()
     assert len(got) == 2 * len(pairs) and all(r.n_removed == 0 for r in got)
+
+
+def test_lm_scoring_predicts_rare_words_from_context(spark):
+    """Every first word has its own second word; all second words are equally frequent and of one former class."""
+    slots = lambda t: lm.tokens(pa.RecordBatch.from_arrays([pa.array([0]), pa.array([t])], names=["doc_id", "text"]))
+    second = [w for w in dict.fromkeys(WORDS) if int(slots(w)[0][0]) * 2654435761 % (1 << 32) % 24 == 7][:80]
+    first, common = [f"first{k}" for k in range(80)], WORDS[:60]
+    own.shuffle(second)
+    texts = []
+    for _ in range(120):
+        for k in own.sample(range(80), 80):
+            texts.append(f"{prose(2, common)} {first[k]} {second[k]} {prose(2, common)}")
+    rows = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(2)
+    model = lm.fitted(rows)
+    score = lambda a, b: lm.log_probabilities(*slots(f"{common[0]} {common[1]} {a} {b} {common[2]} {common[3]}"), *model)[3]
+    gain = [score(first[k], second[k]) - score(first[k], second[(k + 1) % 80]) for k in range(80)]
+    assert np.mean(gain) > 0.2 and np.mean(np.array(gain) > 0) > 0.6
+    nodes, kids, prior = lm.tree(np.arange(lm.SLOTS) % 1000)
+    total = sum(np.exp(np.where(nodes >= 0, prior[nodes, kids], 0).sum(1)))
+    assert abs(total - 1) < 1e-9  # every slot is a leaf
