@@ -6,9 +6,10 @@ all slots follows: slots are leaves of a Huffman tree of `ARITY` branches over t
 node has a softmax of its own over its branches, begun at their shares of the counts. So context decides at every step
 down to the slot. A document's score is the sum of log-probabilities over all its tokens, each masked in turn.
 
-Corpus counts come from all documents. Training takes every `EVERY`-th run of tokens of every partition, so it
-grows with the corpus: each partition takes gradient steps in numpy from the same start, and parameters are averaged
-by tokens in a tree of shuffles, `PASSES` times. Parameters have a fixed size.
+Corpus counts come from all documents. Training takes every run of tokens of every partition: each partition takes
+gradient steps in numpy from the same start, and parameters are averaged by tokens in a tree of shuffles, `PASSES`
+times. The passes share out the runs, counted on through a partition, so each token gives a gradient in one of them.
+Parameters have a fixed size.
 
 Defined results: null and empty texts have no tokens, score 0 and a null mean; a missing neighbour has the vector of
 an edge; repeated rows score alike (and count as often in the corpus as they occur).
@@ -31,7 +32,7 @@ from gridloom.llm.vectors import summed
 SLOTS, INPUTS, ARITY, DIM = 1 << 16, 1 << 12, 4, 12
 NODES = (SLOTS - 1) // (ARITY - 1)
 OFFSETS = (-2, -1, 1, 2)
-EVERY, RUN, RATE, PASSES, FLOOR = 8, 1024, 1.0, 2, 1e-5
+RUN, RATE, PASSES, FLOOR = 1024, 1.0, 2, 1e-5
 SLICE = 1 << 20
 EDGE = INPUTS
 SHAPES = ((len(OFFSETS), INPUTS + 1, DIM), (NODES, ARITY, DIM), (NODES, ARITY))
@@ -130,20 +131,23 @@ def softmax(h: np.ndarray, token: np.ndarray, node: np.ndarray, top: np.ndarray,
     return state, weights, p
 
 
-def train(batches: Iterator[pa.RecordBatch], flat: np.ndarray, nodes: np.ndarray, kids: np.ndarray) -> np.ndarray:
-    """Gradient steps over a share of the partition's tokens; parameters and, last, tokens: both weighted by tokens."""
+def train(batches: Iterator[pa.RecordBatch], flat: np.ndarray, nodes: np.ndarray, kids: np.ndarray, turn: int) -> np.ndarray:
+    """Gradient steps over the runs of the partition that are this turn's; parameters and, last, tokens: both weighted by tokens."""
     vectors, top, bias = unpack(flat)
     vectors = vectors.reshape(-1, DIM)
     seen = [np.full(len(vectors), FLOOR, np.float32), np.full(top.shape, FLOOR, np.float32), np.full(bias.shape, FLOOR, np.float32)]
     shift = np.arange(len(OFFSETS))[:, None] * (INPUTS + 1)
-    n = 0
+    n, runs = 0, 0
     for batch in batches:
         for part in K.slices(batch, "text", SLICE):
             slots, first = tokens(part)
             if not len(slots):
                 continue
             inputs = neighbours(slots, first)
-            for at in range(0, len(slots), RUN * EVERY):
+            for at in range(0, len(slots), RUN):
+                runs += 1
+                if runs % PASSES != turn:
+                    continue
                 x, y = inputs[:, at : at + RUN], slots[at : at + RUN]
                 h = hidden(x, vectors.reshape(SHAPES[0]))
                 token, node, kid = choices(y, nodes, kids)
@@ -182,8 +186,8 @@ def fitted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Parameters; nodes and branches of each slot."""
     nodes, kids, prior = tree(corpus_counts(rows))
     flat = start(prior)
-    for _ in range(PASSES):
-        total = summed(rows, lambda it, flat=flat: train(it, flat, nodes, kids), SIZE + 1)
+    for turn in range(PASSES):
+        total = summed(rows, lambda it, flat=flat, turn=turn: train(it, flat, nodes, kids, turn), SIZE + 1)
         flat = total[:-1] / total[-1] if total[-1] else flat
     return flat.astype(np.float32), nodes, kids
 

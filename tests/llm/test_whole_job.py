@@ -98,3 +98,11 @@ def test_lm_scoring_predicts_rare_words_from_context(spark):
     nodes, kids, prior = lm.tree(np.arange(lm.SLOTS) % 1000)
     total = sum(np.exp(np.where(nodes >= 0, prior[nodes, kids], 0).sum(1)))
     assert abs(total - 1) < 1e-9  # every slot is a leaf
+
+
+def test_lm_scoring_trains_on_every_token():
+    nodes, kids, prior = lm.tree(np.zeros(lm.SLOTS))
+    for texts in ([prose(20) for _ in range(30)], [prose(9000), prose(700), ""]):
+        batches = [pa.RecordBatch.from_arrays([pa.array([0]), pa.array([t])], names=["doc_id", "text"]) for t in texts]
+        seen = [lm.train(iter(batches), lm.start(prior), nodes, kids, turn)[-1] for turn in range(lm.PASSES)]
+        assert sum(seen) == sum(len(t.split()) for t in texts)
