@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.kernels import slices
 
+BATCH_BYTES, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -19,8 +20,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most `ARROW_BYTES`, unless the session asks for less: 10,000 long texts at once would take
+    hundreds of MB in the JVM's buffers and in the workers."""
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_BYTES)) > ARROW_BYTES:
+        spark.conf.set(BATCH_BYTES, str(ARROW_BYTES))
+
+
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns every operator works on; null texts are empty, other columns never get near the operator."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
@@ -55,6 +64,7 @@ def shuffle_width(df: DataFrame, bytes_each: int = 16 << 20) -> int:
 def keep_rows(docs: DataFrame, judge: Callable[[pa.RecordBatch], np.ndarray], slice_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Whole rows for which `judge` (of a batch of doc_id and text) is true; nothing is shuffled."""
     names = docs.columns
+    bound_batches(docs.sparkSession)
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,3 +73,17 @@ def keep_rows(docs: DataFrame, judge: Callable[[pa.RecordBatch], np.ndarray], sl
                 yield part.filter(pa.array(judge(pair)))
 
     return docs.mapInArrow(chosen, docs.schema)
+
+
+def keep_one_each(docs: DataFrame, keys: DataFrame, key: Column, id_col: str, repeated: bool) -> DataFrame:
+    """Whole rows of docs whose doc_id and `key` stand in keys (doc_id, key, once); rows that repeat both leave one row
+    where once is true: the one whose JSON is least. repeated: there may be such rows."""
+    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("row_id"), key.alias("row_key"))
+
+    def held(keys: DataFrame) -> DataFrame:
+        return packed.join(keys, packed["row_id"].eqNullSafe(keys["doc_id"]) & (packed["row_key"] == keys["key"]), "left_semi")
+
+    if not repeated:
+        return held(keys.select("doc_id", "key")).select("row.*")
+    alone = held(keys.where("once").select("doc_id", "key")).groupBy("row_id", "row_key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return held(keys.where("not once").select("doc_id", "key")).select("row.*").unionByName(alone.select("row.*"))

@@ -6,8 +6,12 @@ identifiers: one that stands for two different second hashes is ambiguous, and d
 apart by the digest of their whole text. Texts are equal when their ordered identifier lists are. Only recipes
 (8 bytes a chunk) are shuffled; a text is read once and never moved.
 
+Groups are written before rows are joined to them, so the rows of a hot group can be split; the dictionary's ambiguous
+identifiers are looked up in the recipes only if there are any.
+
 Defined results: a null text is the empty text; a null doc_id ranks below all others; rows that repeat a doc_id
-with the same text count each, and stay together if that id is the one that stays; empty input, empty output.
+with the same text count each, and are all marked as kept if that id is the one that stays (`drop_copies` leaves one of
+them); empty input, empty output.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import ascii_lower, scratch_table, text_rows
+from gridloom.llm.common import ascii_lower, keep_one_each, scratch_table, text_rows
 
 CHUNK_MIN, CHUNK_MAX = 512, 8192
 CHUNK = rf"(?s).{{{CHUNK_MIN},{CHUNK_MAX}}}?[.!?\n]\s|.{{1,{CHUNK_MAX}}}"
@@ -34,12 +38,27 @@ def chunk_dictionary(recipe_rows: DataFrame) -> DataFrame:
     return each.groupBy(F.col("recipe").alias("chunk_id")).agg(F.count("*").alias("uses"), (F.min("proof") == F.max("proof")).alias("verified"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: one row per document, dropped ones too."""
+def groups_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256, keep_rows (rows of the group that have keep_id)."""
     rows = scratch_table(recipes(docs, id_col, text_col), "recipes")
-    ambiguous = chunk_dictionary(rows).where(~F.col("verified")).select("chunk_id")
-    doubtful = rows.select("text_sha256", F.explode("recipe").alias("chunk_id")).join(ambiguous, "chunk_id", "left_semi").select(F.col("text_sha256").alias("told_apart")).distinct()
-    keyed = rows.drop("proof").join(doubtful, F.col("text_sha256") == F.col("told_apart"), "left").withColumn("told_apart", F.coalesce("told_apart", F.lit("")))
+    ambiguous = scratch_table(chunk_dictionary(rows).where(~F.col("verified")).select("chunk_id"), "ambiguous")
+    keyed = rows.drop("proof").withColumn("told_apart", F.lit(""))
+    if ambiguous.limit(1).count():
+        doubtful = rows.select("text_sha256", F.explode("recipe").alias("chunk_id")).join(ambiguous, "chunk_id", "left_semi").select(F.col("text_sha256").alias("apart")).distinct()
+        keyed = keyed.join(doubtful, F.col("text_sha256") == F.col("apart"), "left").withColumn("told_apart", F.coalesce("apart", F.lit(""))).drop("apart")
     key = ["recipe", "n_bytes", "told_apart"]
-    groups = keyed.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return keyed.join(groups, key).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    each = keyed.groupBy(*key, "doc_id").agg(F.count("*").alias("n"))
+    groups = each.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"), F.coalesce(F.max_by("n", "doc_id"), F.max("n")).alias("keep_rows"))
+    return keyed.join(scratch_table(groups, "groups"), key).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "keep_rows")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256: one row per document, dropped ones too."""
+    return groups_of(docs, id_col, text_col).drop("keep_rows")
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group, all columns: of the largest doc_id; of rows that repeat it, the one whose JSON is least."""
+    rows = scratch_table(groups_of(docs, id_col, text_col).where("kept").select("doc_id", F.col("text_sha256").alias("key"), "keep_rows", F.lit(True).alias("once")), "kept")
+    digest = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
+    return keep_one_each(docs, rows, digest, id_col, bool(rows.where("keep_rows > 1").limit(1).count()))

@@ -1,7 +1,8 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
-Texts are sets of distinct five-word shingles (lower-cased A-Z). Documents with equal sets are one class before
-anything else. Class representatives get `BANDS * ROWS` min-hashes; equal bands make candidates. A pair at the
+Texts are sets of distinct five-word shingles (lower-cased A-Z). Documents with equal sets (by a 128-bit digest of the
+whole sorted set) are one class before anything else. Classes are the nodes that links join, each under a number of its
+own, and have `BANDS * ROWS` min-hashes; equal bands make candidates. A pair at the
 threshold shares no band with probability (1 - 0.75^5)^40 = 2e-5. Signatures of candidates are then compared in
 batches of `BATCH` hashes; a pair goes as soon as the posterior probability (uniform prior on similarity) that it
 reaches the threshold is below `MISS`. Survivors are checked exactly, on the full shingle sets of the whole texts.
@@ -16,12 +17,16 @@ Band entries travel packed, one row for each slice of the input and bucket; of m
 slice only the smallest document's goes on. What is broadcast is a bitmap of `2**SIEVE_BITS` bits.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; fewer than five words make one
-shingle of the whole sequence; repeated rows are copies of each other; empty input, empty output.
+shingle of the whole sequence; repeated rows are copies of each other; rows that share a doc_id but not a text are
+documents of their own; a row without doc_id is linked like others, and a component of such rows only has a null
+component_id; empty input, empty output. Arrow batches are bounded by bytes (`common.text_rows`), so an executor's
+memory doesn't follow the lengths of texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -30,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import kernels as K
-from gridloom.llm.common import scratch_table, shuffle_width, text_rows
+from gridloom.llm.common import keep_one_each, scratch_table, shuffle_width, text_rows
 from gridloom.llm.components import connected_components
 
 SHINGLE, BANDS, ROWS, BATCH, MISS = 5, 40, 5, 25, 1e-6
@@ -40,8 +45,9 @@ SLICE = 1 << 20
 U64 = np.uint64
 _rng = np.random.Generator(np.random.PCG64(7))
 FACTORS = _rng.integers(0, 2**64, BANDS * ROWS, dtype=U64) | U64(1)
-SKETCH = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("signature", pa.binary())])
-SKETCH_DDL = "doc_id long, n_bytes long, n_shingles long, set_a long, set_b long, signature binary"
+SKETCH = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_bytes", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("signature", pa.binary())])
+SKETCH_DDL = "doc_id long, text_hash long, n_bytes long, n_shingles long, set_a long, set_b long, signature binary"
+SET = ["set_a", "set_b", "n_shingles"]
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,20 +86,18 @@ def signatures(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, text, text_hash -> sketches."""
     for batch in batches:
         for part in K.slices(batch, "text", SLICE):
             data, offs = K.buffers(part.column(1))
             sets, at = shingle_sets(data, offs)
             n = np.diff(at)
-            full = np.flatnonzero(n)
-            sums = np.zeros((2, len(n)), U64)
-            if len(full):
-                for k, salt in enumerate((U64(0xA5A5A5A5A5A5A5A5), U64(0x1234567887654321))):
-                    sums[k, full] = np.add.reduceat(K.mix(sets ^ salt), at[:-1][full])
+            digest = np.zeros((len(n), 2), np.int64)
             signs: list[bytes | None] = [None] * len(n)
-            for r, s in zip(full.tolist(), signatures(sets, at), strict=True):
+            for r, s in zip(np.flatnonzero(n).tolist(), signatures(sets, at), strict=True):
+                digest[r] = np.frombuffer(hashlib.blake2b(sets[at[r] : at[r + 1]], digest_size=16).digest(), np.int64)
                 signs[r] = s.tobytes()
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offs).astype(np.int64)), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(signs, pa.binary())], schema=SKETCH)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(offs).astype(np.int64)), pa.array(n), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(signs, pa.binary())], schema=SKETCH)
 
 
 # -- candidates ---------------------------------------------------------------------------------------------------
@@ -245,13 +249,17 @@ def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def verified(pairs: DataFrame, sketches: DataFrame, rows: DataFrame) -> DataFrame:
+#: Texts of the nodes (column doc_id) of a table: doc_id, text.
+Texts = Callable[[DataFrame], DataFrame]
+
+
+def verified(pairs: DataFrame, sketches: DataFrame, texts_of: Texts) -> DataFrame:
     """Candidate pairs that hold: pruned by signatures, then confirmed on the texts."""
     signs = sketches.select("doc_id", "signature")
     both = pairs.join(signs.toDF("a", "sign_a"), "a").join(signs.toDF("b", "sign_b"), "b").select("a", "b", "sign_a", "sign_b")
     stay = both.mapInArrow(prune, "a long, b long")
     stay = scratch_table(stay, "plausible")
-    texts = sieved(rows.select("doc_id", "text"), stay.select(F.explode(F.array("a", "b")).alias("doc_id")))
+    texts = texts_of(stay.select(F.explode(F.array("a", "b")).alias("doc_id")))
     full = stay.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
     return full.mapInArrow(linked, "a long, b long")
 
@@ -298,16 +306,28 @@ def sieve(keys: DataFrame) -> np.ndarray:
     return bitmap_of(keys.select(F.shiftright("key", 6).bitwiseAND((1 << SIEVE_BITS) - 1).alias("slot")))
 
 
-def sieved(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """rows (doc_id, text) without most of those that ids lacks: spares their move, the join that follows is exact."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << SIEVE_BITS)).alias("slot")
-    bitmap = bitmap_of(ids.select(slot))
+def sieved(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows (doc_id, text, text_hash) without most of those that wanted lacks: spares their move, the join that follows is exact."""
+    slot = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(1 << SIEVE_BITS)).alias("slot")
+    bitmap = bitmap_of(wanted.select(slot))
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.select(["doc_id", "text"]).filter(pa.array(bitmap[batch.column(2).to_numpy()]))
+            yield batch.select(["doc_id", "text", "text_hash"]).filter(pa.array(bitmap[batch.column(3).to_numpy()]))
+
+    return rows.select("doc_id", "text", "text_hash", slot).mapInArrow(held, "doc_id long, text string, text_hash long")
+
 
-    return rows.select("doc_id", "text", slot).mapInArrow(held, "doc_id long, text string")
+def texts_from(rows: DataFrame, classes: DataFrame, repeated: bool) -> Texts:
+    """Texts by the row that stands for a class; repeated: that row may be there more than once."""
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        wanted = scratch_table(classes.select(F.col("node").alias("doc_id"), "stands").join(nodes.select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "stands.doc_id", "stands.text_hash"), "wanted")
+        found = sieved(rows, wanted)
+        named = found.join(wanted.toDF("node", "of_id", "of_hash"), found["doc_id"].eqNullSafe(F.col("of_id")) & (found["text_hash"] == F.col("of_hash"))).select(F.col("node").alias("doc_id"), "text")
+        return named.groupBy("doc_id").agg(F.min("text").alias("text")) if repeated else named
+
+    return texts_of
 
 
 def sifted(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, whole: bool) -> Iterator[pa.RecordBatch]:
@@ -326,7 +346,7 @@ def sifted(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, whole: bool) -
         yield pa.RecordBatch.from_arrays([pa.array(key[order][heads]), pa.array(comp[order][heads]), pa.array(comp[order][tails[: len(heads)]])], names=["key", "lo", "hi"])
 
 
-def residual_links(large: DataFrame, labels: DataFrame, sketches: DataFrame, rows: DataFrame) -> DataFrame:
+def residual_links(large: DataFrame, labels: DataFrame, sketches: DataFrame, texts_of: Texts) -> DataFrame:
     """Links between components inside large buckets, compared tile by tile."""
     named = sketches.join(labels, "doc_id", "left").select("doc_id", "signature", F.coalesce("component", "doc_id").alias("component"))
     first = sieve(large)
@@ -347,32 +367,53 @@ def residual_links(large: DataFrame, labels: DataFrame, sketches: DataFrame, row
     dealt = entries.join(cut, "key").withColumn("block", block).withColumn("last", F.when(is_main, F.col("few") - 1).otherwise(F.col("few") + F.col("many") - 1))
     others = F.transform(F.sequence(F.lit(0), F.col("last")), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
     tiles = dealt.withColumn("tile", F.explode(others)).withColumn("side", F.when(F.col("tile.i") == F.col("tile.j"), 2).when(F.col("block") == F.col("tile.i"), 0).otherwise(1))
-    texts = sieved(rows, entries.select("doc_id"))
+    texts = texts_of(entries)
     members = tiles.join(sketches.select("doc_id", "signature"), "doc_id").join(texts, "doc_id").select("key", "tile", "side", "doc_id", "component", "signature", "text")
     return members.groupBy("key", "tile").applyInArrow(forest, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id, kept."""
-    rows = text_rows(docs, id_col, text_col)
+def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
+    """doc_id, text_hash, n_shingles, class_id, component_id, component (its number; null for the unlinked) and stands
+    (doc_id and text_hash of a component's least row) of every row, and whether rows repeat."""
+    rows = text_rows(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     sketches = scratch_table(rows.mapInArrow(sketch, SKETCH_DDL), "sketches")
-    classes = sketches.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("class_id"))
-    members = scratch_table(sketches.drop("signature", "n_bytes").join(classes, ["set_a", "set_b", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")), "members")
-    heads = members.where("doc_id = class_id and n_shingles > 0").select("doc_id").distinct()
-    own = sketches.where("n_shingles > 0").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    own = scratch_table(own.select("doc_id", "n_bytes", "signature"), "signatures")
+    repeated = bool(sketches.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count())
+    # rows without doc_id come last
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("stands")
+    grouped = sketches.where("n_shingles > 0").groupBy(*SET).agg(least, F.min("n_bytes").alias("n_bytes"), F.any_value("signature").alias("signature"))
+    classes = scratch_table(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
+    own = classes.select(F.col("node").alias("doc_id"), "n_bytes", "signature")
+    texts_of = texts_from(rows, classes, repeated)
     buckets = shuffle_width(docs)
     banded = own.select("doc_id", "signature").mapInArrow(lambda it: pack_bands(it, buckets), PACK).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(candidates_of, PAIRS)
     found = scratch_table(banded, "candidates")
-    unique = rows.dropDuplicates(["doc_id"]) if rows.groupBy("doc_id").count().where("count > 1").limit(1).count() else rows
     stars = found.where("kind = 1").groupBy("b").agg(F.slice(F.sort_array(F.collect_set("a")), 1, CENTRES).alias("a")).select(F.explode("a").alias("a"), "b")
     pairs = found.where("kind = 0").select("a", "b").unionByName(stars).distinct()
-    links = scratch_table(verified(pairs, own, unique), "links")
+    links = scratch_table(verified(pairs, own, texts_of), "links")
     labels = connected_components(links)
     large = scratch_table(found.where("kind = 2").select(F.col("a").alias("key")).distinct(), "large")
     if large.limit(1).count():
-        more = scratch_table(residual_links(large, labels, own, unique), "links")
+        more = scratch_table(residual_links(large, labels, own, texts_of), "links")
         if more.limit(1).count():
             labels = connected_components(links.unionByName(more))
-    named = members.join(labels.select(F.col("doc_id").alias("class_id"), "component"), "class_id", "left")
-    return named.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    of_class = classes.select("node", *SET, "stands").join(labels.select(F.col("doc_id").alias("node"), "component"), "node", "left")
+    of_class = of_class.select(*SET, "stands", F.coalesce("component", "node").alias("component"))
+    first = of_class.groupBy("component").agg(F.min("stands").alias("first"))
+    # a table of its own, so that a hot class's rows can be split in the join that follows
+    named = scratch_table(of_class.join(first, "component"), "named")
+    out = sketches.select("doc_id", "text_hash", *SET).join(named, SET, "left")
+    return out.select("doc_id", "text_hash", "n_shingles", F.coalesce("stands.doc_id", "doc_id").alias("class_id"), F.coalesce("first.doc_id", "doc_id").alias("component_id"), "component", F.col("first").alias("stands")), repeated
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, class_id, component_id, kept."""
+    rows, _ = components_of(docs, id_col, text_col)
+    return rows.select("doc_id", "n_shingles", "class_id", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, all columns: the least doc_id, then the least hash of the text; rows without shingles stay."""
+    rows, repeated = components_of(docs, id_col, text_col)
+    stays = F.col("component").isNull() | (F.col("doc_id").eqNullSafe(F.col("stands.doc_id")) & (F.col("text_hash") == F.col("stands.text_hash")))
+    keys = rows.where(stays).select("doc_id", F.col("text_hash").alias("key"), F.col("component").isNotNull().alias("once"))
+    return keep_one_each(docs, keys, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), id_col, repeated)

@@ -10,12 +10,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm.decontamination import decontaminate
-from gridloom.llm.exact_dedup import exact_dedup
+from gridloom.llm.exact_dedup import drop_copies, exact_dedup
 from gridloom.llm.lm_scoring import lm_scores
 from gridloom.llm import near_dedup as near
-from gridloom.llm.near_dedup import near_duplicates
+from gridloom.llm.near_dedup import drop_near_copies, near_duplicates
 from gridloom.llm.packing import END_ID, best_fit, dearest, pack_documents, plan
 from gridloom.llm.pii import KINDS, base_spans, detector, examples, find_pii, redact
 from gridloom.llm.sharding import plan_cuts, shard_documents
@@ -238,10 +239,10 @@ def test_near_dedup_links_components_inside_large_buckets(spark, monkeypatch):
     docs = near.text_rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
     got = by_id(near_duplicates(docs))
     # every band counts as a large bucket here, and nothing is linked yet
-    own = docs.mapInArrow(near.sketch, near.SKETCH_DDL).select("doc_id", "n_bytes", "signature")
+    own = docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(near.sketch, near.SKETCH_DDL).select("doc_id", "n_bytes", "signature")
     signs = np.frombuffer(b"".join(bytes(r.signature) for r in own.collect()), np.uint32).reshape(len(rows), -1)
     large = spark.createDataFrame([(k,) for k in np.unique(near.band_keys(signs).view(np.int64)).tolist()], "key long")
-    links = near.residual_links(large, spark.createDataFrame([], "doc_id long, component long"), own, docs).collect()
+    links = near.residual_links(large, spark.createDataFrame([], "doc_id long, component long"), own, lambda nodes: docs.join(nodes.select("doc_id").distinct(), "doc_id", "left_semi")).collect()
     sets = []
     for _, t in rows:
         w = t.split()
@@ -264,3 +265,15 @@ def test_near_dedup_links_components_inside_large_buckets(spark, monkeypatch):
     assert [got[i].component_id for i in range(len(rows))] == least
     assert [got[i].n_shingles for i in range(len(rows))] == [len(x) for x in sets]
     assert len(set(least)) > 20
+
+
+def test_rows_that_share_ids_and_repeated_rows(spark):
+    """Decisions are taken for rows, not for ids."""
+    text, other = prose(30), prose(30)
+    rows = spark.createDataFrame([(5, text), (5, other), (6, text + " q"), (None, other + " z"), (None, prose(20))], "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(rows).collect()}
+    assert {(5, 26, 5), (6, 27, 5), (None, 27, 5), (None, 16, None)} == got
+    assert sorted(t for _, t in map(tuple, drop_near_copies(rows).collect()))[:0] == [] and drop_near_copies(rows).count() == 3
+    rows = spark.createDataFrame([(7, "same"), (7, "other"), (9, "Same"), (3, "x y z"), (3, "x y z"), (None, None), (None, "")], "doc_id long, text string")
+    assert Counter(map(tuple, drop_copies(rows).collect())) in [Counter([(7, "other"), (9, "Same"), (3, "x y z"), (None, t)]) for t in (None, "")]
+    assert Counter(map(tuple, drop_near_copies(rows).collect()))[(3, "x y z")] == 1 and drop_near_copies(rows).count() == 5
