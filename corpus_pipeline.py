@@ -6,28 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.common import read_table, scratch_table
 from gridloom.llm.decontamination import drop_contaminated
-from gridloom.llm.exact_dedup import exact_dedup
-from gridloom.llm.near_dedup import near_duplicates
+from gridloom.llm.exact_dedup import drop_copies
+from gridloom.llm.near_dedup import drop_near_copies
 from gridloom.llm.packing import pack_documents
 from gridloom.llm.toxicity import drop_toxic
 
 
-def kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id a decision keeps."""
-    ids = decisions.where("kept").select("doc_id").distinct().withColumnRenamed("doc_id", "kept_id")
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["kept_id"]), "left_semi")
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_toxic(docs, read_table(spark, sf_dir, "labels"))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return kept(docs, exact_dedup(docs))
+    return drop_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return kept(docs, near_duplicates(docs))
+    return drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
