@@ -39,12 +39,22 @@ def ascii_lower(text: Column) -> Column:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of our own only where none is named (tests, one machine)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/gridloom-scratch"
+    """The shared folder the cluster names; a folder of our own only where none is named and all run in one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "/tmp/gridloom-scratch"
+    return root
 
 
-def scratch_table(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage with a table written to shared storage: a lost executor re-reads it, nothing before it runs again."""
+def scratch_table(df: DataFrame, name: str, fold: int = 1) -> DataFrame:
+    """Cuts lineage with a table written to shared storage: a lost executor re-reads it, nothing before it runs again.
+
+    fold: rows of a few numbers are written by that share of the shuffle partitions, so that no file holds next to nothing.
+    """
+    if fold > 1:
+        df = df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // fold))
     path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/gridloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,19 +7,20 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import scratch_table
 
+FOLD = 8
+
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """links (a, b) -> doc_id, component: the smallest doc_id reachable, for every document that has a link."""
+    """links (a, b) -> doc_id, component: the smallest number reachable, for every node that has a link."""
     both = links.select(F.col("a").alias("doc_id"), F.col("b").alias("near")).unionByName(links.select(F.col("b").alias("doc_id"), F.col("a").alias("near"))).distinct()
-    edges = scratch_table(both, "edges")
-    labels = scratch_table(edges.groupBy("doc_id").agg(F.min("near").alias("m")).select("doc_id", F.least("doc_id", "m").alias("component")), "labels")
+    edges = scratch_table(both, "edges", FOLD)
+    labels = edges.groupBy("doc_id").agg(F.min("near").alias("m")).select("doc_id", F.least("doc_id", "m").alias("component"))
     while True:
         heard = edges.join(labels.select(F.col("doc_id").alias("near"), "component"), "near").groupBy("doc_id").agg(F.min("component").alias("heard"))
-        nearer = labels.join(heard, "doc_id").select("doc_id", F.least("component", "heard").alias("component"), F.col("component").alias("old"))
-        jump = scratch_table(nearer, "heard")
+        jump = labels.join(heard, "doc_id").select("doc_id", F.least("component", "heard").alias("component"), F.col("component").alias("old"))
         up = jump.select(F.col("doc_id").alias("component"), F.col("component").alias("top"))
         after = jump.join(up, "component", "left").select("doc_id", F.least("component", F.coalesce("top", "component")).alias("component"), "old")
-        labels = scratch_table(after, "labels")
+        labels = scratch_table(after, "labels", FOLD)
         changed = labels.where("component <> old").limit(1).count()
         labels = labels.select("doc_id", "component")
         if not changed:

@@ -41,7 +41,7 @@ def chunk_dictionary(recipe_rows: DataFrame) -> DataFrame:
 def groups_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, keep_rows (rows of the group that have keep_id)."""
     rows = scratch_table(recipes(docs, id_col, text_col), "recipes")
-    ambiguous = scratch_table(chunk_dictionary(rows).where(~F.col("verified")).select("chunk_id"), "ambiguous")
+    ambiguous = scratch_table(chunk_dictionary(rows).where(~F.col("verified")).select("chunk_id"), "ambiguous", 8)
     keyed = rows.drop("proof").withColumn("told_apart", F.lit(""))
     if ambiguous.limit(1).count():
         doubtful = rows.select("text_sha256", F.explode("recipe").alias("chunk_id")).join(ambiguous, "chunk_id", "left_semi").select(F.col("text_sha256").alias("apart")).distinct()

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import kernels as K
 from gridloom.llm.common import keep_one_each, scratch_table, shuffle_width, text_rows
-from gridloom.llm.components import connected_components
+from gridloom.llm.components import FOLD, connected_components
 
 SHINGLE, BANDS, ROWS, BATCH, MISS = 5, 40, 5, 25, 1e-6
 THRESHOLD = (75, 100)
@@ -258,7 +258,7 @@ def verified(pairs: DataFrame, sketches: DataFrame, texts_of: Texts) -> DataFram
     signs = sketches.select("doc_id", "signature")
     both = pairs.join(signs.toDF("a", "sign_a"), "a").join(signs.toDF("b", "sign_b"), "b").select("a", "b", "sign_a", "sign_b")
     stay = both.mapInArrow(prune, "a long, b long")
-    stay = scratch_table(stay, "plausible")
+    stay = scratch_table(stay, "plausible", FOLD)
     texts = texts_of(stay.select(F.explode(F.array("a", "b")).alias("doc_id")))
     full = stay.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
     return full.mapInArrow(linked, "a long, b long")
@@ -322,7 +322,7 @@ def texts_from(rows: DataFrame, classes: DataFrame, repeated: bool) -> Texts:
     """Texts by the row that stands for a class; repeated: that row may be there more than once."""
 
     def texts_of(nodes: DataFrame) -> DataFrame:
-        wanted = scratch_table(classes.select(F.col("node").alias("doc_id"), "stands").join(nodes.select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "stands.doc_id", "stands.text_hash"), "wanted")
+        wanted = classes.select(F.col("node").alias("doc_id"), "stands").join(nodes.select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "stands.doc_id", "stands.text_hash")
         found = sieved(rows, wanted)
         named = found.join(wanted.toDF("node", "of_id", "of_hash"), found["doc_id"].eqNullSafe(F.col("of_id")) & (found["text_hash"] == F.col("of_hash"))).select(F.col("node").alias("doc_id"), "text")
         return named.groupBy("doc_id").agg(F.min("text").alias("text")) if repeated else named
@@ -351,12 +351,12 @@ def residual_links(large: DataFrame, labels: DataFrame, sketches: DataFrame, tex
     named = sketches.join(labels, "doc_id", "left").select("doc_id", "signature", F.coalesce("component", "doc_id").alias("component"))
     first = sieve(large)
     held = named.mapInArrow(lambda it: sifted(it, first, False), "key long, lo long, hi long")
-    mixed = scratch_table(held.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").join(large, "key", "left_semi").select("key"), "mixed")
+    mixed = scratch_table(held.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").join(large, "key", "left_semi").select("key"), "mixed", FOLD)
     second = sieve(mixed)
     if not second.any():
         return mixed.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
     hits = named.mapInArrow(lambda it: sifted(it, second, True), "key long, doc_id long, component long").join(mixed, "key", "left_semi")
-    entries = scratch_table(hits.join(sketches.select("doc_id", "n_bytes"), "doc_id"), "entries")
+    entries = scratch_table(hits.join(sketches.select("doc_id", "n_bytes"), "doc_id"), "entries", FOLD)
     shares = entries.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("size"))
     whole = shares.groupBy("key").agg(F.max(F.struct("n", "component", "size")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"))
     blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES)).cast("int")
@@ -386,12 +386,12 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts_of = texts_from(rows, classes, repeated)
     buckets = shuffle_width(docs)
     banded = own.select("doc_id", "signature").mapInArrow(lambda it: pack_bands(it, buckets), PACK).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(candidates_of, PAIRS)
-    found = scratch_table(banded, "candidates")
+    found = scratch_table(banded, "candidates", 4)
     stars = found.where("kind = 1").groupBy("b").agg(F.slice(F.sort_array(F.collect_set("a")), 1, CENTRES).alias("a")).select(F.explode("a").alias("a"), "b")
     pairs = found.where("kind = 0").select("a", "b").unionByName(stars).distinct()
-    links = scratch_table(verified(pairs, own, texts_of), "links")
+    links = scratch_table(verified(pairs, own, texts_of), "links", FOLD)
     labels = connected_components(links)
-    large = scratch_table(found.where("kind = 2").select(F.col("a").alias("key")).distinct(), "large")
+    large = found.where("kind = 2").select(F.col("a").alias("key")).distinct()
     if large.limit(1).count():
         more = scratch_table(residual_links(large, labels, own, texts_of), "links")
         if more.limit(1).count():
