@@ -11,13 +11,14 @@ FOLD = 8
 
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """links (a, b) -> doc_id, component: the smallest number reachable, for every node that has a link."""
-    both = links.select(F.col("a").alias("doc_id"), F.col("b").alias("near")).unionByName(links.select(F.col("b").alias("doc_id"), F.col("a").alias("near"))).distinct()
-    edges = scratch_table(both, "edges", FOLD)
-    labels = edges.groupBy("doc_id").agg(F.min("near").alias("m")).select("doc_id", F.least("doc_id", "m").alias("component"))
+    """links (a, b) -> doc_id, component: the smallest number reachable, for every node that has a link. Every node is a
+    neighbour of itself, so a round hears its own number, too."""
+    ends = [links.select(F.col(a).alias("doc_id"), F.col(b).alias("near")) for a, b in (("a", "b"), ("b", "a"), ("a", "a"), ("b", "b"))]
+    edges = scratch_table(ends[0].unionByName(ends[1]).unionByName(ends[2]).unionByName(ends[3]).distinct(), "edges", FOLD)
+    labels = edges.groupBy("doc_id").agg(F.min("near").alias("component"))
     while True:
-        heard = edges.join(labels.select(F.col("doc_id").alias("near"), "component"), "near").groupBy("doc_id").agg(F.min("component").alias("heard"))
-        jump = labels.join(heard, "doc_id").select("doc_id", F.least("component", "heard").alias("component"), F.col("component").alias("old"))
+        heard = edges.join(labels.select(F.col("doc_id").alias("near"), "component"), "near")
+        jump = heard.groupBy("doc_id").agg(F.min("component").alias("component"), F.min(F.when(F.col("near") == F.col("doc_id"), F.col("component"))).alias("old"))
         up = jump.select(F.col("doc_id").alias("component"), F.col("component").alias("top"))
         after = jump.join(up, "component", "left").select("doc_id", F.least("component", F.coalesce("top", "component")).alias("component"), "old")
         labels = scratch_table(after, "labels", FOLD)

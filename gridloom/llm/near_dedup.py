@@ -331,14 +331,14 @@ def texts_from(rows: DataFrame, classes: DataFrame, repeated: bool) -> Texts:
 
 
 def sifted(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, whole: bool) -> Iterator[pa.RecordBatch]:
-    """Entries of sieved keys (key, doc_id, component), or for each slice only the key's least and largest component."""
+    """Entries of sieved keys (key, doc_id, component, n_bytes), or for each slice only the key's least and largest component."""
     for batch in batches:
-        ids, comp = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
+        ids, comp, size = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3))
         keys = band_keys(matrix(batch.column(1)))
         hit = np.argwhere(bitmap[((keys >> U64(6)) & U64((1 << SIEVE_BITS) - 1)).astype(np.int64)])
         key, ids, comp = keys[hit[:, 0], hit[:, 1]].view(np.int64), ids[hit[:, 0]], comp[hit[:, 0]]
         if whole:
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(comp)], names=["key", "doc_id", "component"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(comp), pa.array(size[hit[:, 0]])], names=["key", "doc_id", "component", "n_bytes"])
             continue
         order = np.lexsort((comp, key))
         heads = K.group_starts(key[order])
@@ -348,15 +348,15 @@ def sifted(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, whole: bool) -
 
 def residual_links(large: DataFrame, labels: DataFrame, sketches: DataFrame, texts_of: Texts) -> DataFrame:
     """Links between components inside large buckets, compared tile by tile."""
-    named = sketches.join(labels, "doc_id", "left").select("doc_id", "signature", F.coalesce("component", "doc_id").alias("component"))
+    named = sketches.join(labels, "doc_id", "left").select("doc_id", "signature", F.coalesce("component", "doc_id").alias("component"), "n_bytes")
     first = sieve(large)
     held = named.mapInArrow(lambda it: sifted(it, first, False), "key long, lo long, hi long")
     mixed = scratch_table(held.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").join(large, "key", "left_semi").select("key"), "mixed", FOLD)
     second = sieve(mixed)
     if not second.any():
         return mixed.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
-    hits = named.mapInArrow(lambda it: sifted(it, second, True), "key long, doc_id long, component long").join(mixed, "key", "left_semi")
-    entries = scratch_table(hits.join(sketches.select("doc_id", "n_bytes"), "doc_id"), "entries", FOLD)
+    hits = named.mapInArrow(lambda it: sifted(it, second, True), "key long, doc_id long, component long, n_bytes long")
+    entries = scratch_table(hits.join(mixed, "key", "left_semi"), "entries", FOLD)
     shares = entries.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("size"))
     whole = shares.groupBy("key").agg(F.max(F.struct("n", "component", "size")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"))
     blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES)).cast("int")
