@@ -1,43 +1,223 @@
-"""Exact search of small states: total further guesses under best play, per action, by memoised recursion in a grouped function."""
+"""Search of game trees below a state, in grouped functions: a state's rows are one task's work, all states run at once.
+
+`Search` looks ahead over a pool of guesses (the candidates and the `top_k` others that split best) to a limited depth
+and ends in a greedy line, whose cost is one that can be played. `adaptive_values` solves the game in which every action
+must agree with what is known, to its end. Costs are whole numbers: guesses summed over all candidates of a state.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from gridloom.functions.feedback import ALL_RIGHT
 
-LARGEST, FAILED = 20, 7
+LARGEST, FAILED, TURNS, MOST_GUESSES = 20, 7, 6, 50_000
+#: Fixed value: the cost of what can't be finished in time.
+INFEASIBLE = 1 << 30
+
+
+def codes(guesses: list[str], answers: list[str]) -> np.ndarray:
+    """[guesses, answers] feedback codes."""
+    g, a = (np.array([[ord(c) for c in w] for w in words], np.int16).reshape(-1, 5) for words in (guesses, answers))
+    out = np.zeros((len(g), len(a)), np.int16)
+    right = g[:, None, :] == a[None, :, :]
+    for i in range(5):
+        rank = sum(((g[:, j] == g[:, i])[:, None] & ~right[:, :, j]).astype(np.int8) for j in range(i)) if i else 0
+        budget = sum(((a[None, :, j] == g[:, None, i]) & ~right[:, :, j]).astype(np.int8) for j in range(5))
+        out += 3**i * np.where(right[:, :, i], 2, rank < budget).astype(np.int16)
+    return out
+
+
+def square_sums(table: np.ndarray) -> np.ndarray:
+    """Of each row the sum of squared sizes of its groups of equal codes."""
+    ordered = np.sort(table, axis=1)
+    edge = np.ones(ordered.shape, bool)
+    edge[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+    rank = np.arange(ordered.shape[1]) - np.maximum.accumulate(np.where(edge, np.arange(ordered.shape[1]), 0), axis=1)
+    return (2 * rank + 1).sum(axis=1)
+
+
+@dataclass(frozen=True)
+class TreeConfig:
+    """depth: plies of lookahead; top_k: guesses beside the candidates, endgame_top_k where few candidates are left."""
+
+    depth: int = 2
+    top_k: int = 10
+    endgame_top_k: int = 10
+    endgame: int = 12
+    turns: int = TURNS
+
+
+class Search:
+    """guesses in alphabetical order; a state is a sorted tuple of columns of `answers`."""
+
+    def __init__(self, guesses: list[str], answers: list[str], config: TreeConfig = TreeConfig()) -> None:
+        self.guesses, self.answers, self.config = guesses, answers, config
+        self.table = codes(guesses, answers)
+        place = {w: k for k, w in enumerate(guesses)}
+        self.row = [place[a] for a in answers]
+        self.values: dict[tuple[tuple[int, ...], int, int], tuple[int, int]] = {}
+        self.lines: dict[tuple[tuple[int, ...], int], int] = {}
+
+    def parts(self, guess: int, state: tuple[int, ...]) -> dict[int, tuple[int, ...]]:
+        out: dict[int, list[int]] = {}
+        for s, c in zip(state, self.table[guess, list(state)].tolist(), strict=True):
+            out.setdefault(c, []).append(s)
+        return {c: tuple(p) for c, p in out.items()}
+
+    def greedy(self, state: tuple[int, ...]) -> int:
+        """The candidate that leaves least, the first of equals."""
+        own = [self.row[s] for s in state]
+        return own[int(np.argmin(square_sums(self.table[np.ix_(own, state)])))]
+
+    def horizon(self, state: tuple[int, ...], left: int) -> int:
+        """Cost of the greedy line."""
+        if len(state) == 1:
+            return 1
+        if left <= 1:
+            return INFEASIBLE
+        if len(state) == 2:
+            return 3
+        key = (state, left)
+        if key not in self.lines:
+            costs = [self.horizon(p, left - 1) for c, p in self.parts(self.greedy(state), state).items() if c != ALL_RIGHT]
+            self.lines[key] = INFEASIBLE if INFEASIBLE in costs else len(state) + sum(costs)
+        return self.lines[key]
+
+    def pool(self, state: tuple[int, ...]) -> list[int]:
+        """Candidates, then the others that leave least; ties by the alphabet."""
+        own = [self.row[s] for s in state]
+        k = self.config.endgame_top_k if len(state) <= self.config.endgame else self.config.top_k
+        if k <= 0:
+            return own
+        top = np.argsort(square_sums(self.table[:, list(state)]), kind="stable")[:k].tolist()
+        return own + [g for g in top if g not in set(own)]
+
+    def solve(self, state: tuple[int, ...], left: int, depth: int | None = None) -> tuple[int, int]:
+        """Least total cost within `left` guesses and the guess (-1: none, or only a greedy line)."""
+        depth = self.config.depth if depth is None else depth
+        n = len(state)
+        if n == 1:
+            return 1, self.row[state[0]]
+        if left <= 1:
+            return INFEASIBLE, -1
+        if n == 2:
+            return 3, self.row[state[0]]
+        if depth <= 0:
+            return self.horizon(state, left), -1
+        key = (state, left, depth)
+        if key in self.values:
+            return self.values[key]
+        best, chosen = INFEASIBLE, -1
+        for g in self.pool(state):
+            parts = self.parts(g, state)
+            if len(parts) == 1 and ALL_RIGHT not in parts:
+                continue
+            cost = n
+            for c, p in sorted(parts.items(), key=lambda x: -len(x[1])):
+                if c != ALL_RIGHT:
+                    cost += self.solve(p, left - 1, depth - 1)[0]
+                    if cost >= best:
+                        break
+            if cost < best:
+                best, chosen = cost, g
+                if best <= 2 * n - 1:
+                    break  # no guess does better
+        self.values[key] = best, chosen
+        return best, chosen
+
+    def choose(self, state: tuple[int, ...], turn: int) -> int:
+        """The guess of a turn; the greedy candidate where no line is sure to end in time."""
+        _, g = self.solve(state, self.config.turns - turn + 1)
+        return g if g >= 0 else self.greedy(state)
+
+    def play(self, state: tuple[int, ...], turn: int, path: str) -> Iterator[tuple[str, int, str, int, int, str]]:
+        """answer, turn, guess, code, n_before, state of all games from here on."""
+        while state and turn <= self.config.turns:
+            g = self.choose(state, turn)
+            parts = self.parts(g, state)
+            for c, p in parts.items():
+                for s in p:
+                    yield self.answers[s], turn, self.guesses[g], c, len(state), path
+            rest = [(c, p) for c, p in parts.items() if c != ALL_RIGHT]
+            for c, p in rest:
+                yield from self.play(p, turn + 1, f"{path}|{self.guesses[g]}:{c}")
+            return
+
+
+def checked(guesses: list[str]) -> list[str]:
+    if len(guesses) > MOST_GUESSES:
+        raise ValueError(f"{len(guesses)} guesses are over {MOST_GUESSES}, too many to send to every task")
+    return sorted(guesses)
+
+
+GAMES = "answer string, turn int, guess string, code int, n_before long, state string"
+
+
+def tree_games(states: DataFrame, guesses: list[str], turn: int, config: TreeConfig = TreeConfig()) -> DataFrame:
+    """states: state, answer -> the games' turns from `turn` on, guesses chosen by lookahead."""
+    guesses = checked(guesses)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        search = Search(guesses, sorted(pdf["answer"]), config)
+        rows = search.play(tuple(range(len(search.answers))), turn, pdf["state"].iloc[0])
+        return pd.DataFrame(rows, columns=["answer", "turn", "guess", "code", "n_before", "state"])
+
+    return states.groupBy("state").applyInPandas(run, GAMES)
+
+
+def tree_values(states: DataFrame, guesses: list[str], turn: int, config: TreeConfig = TreeConfig()) -> DataFrame:
+    """states: state, answer -> state, n, cost (null: can't be finished), guess."""
+    guesses = checked(guesses)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        search = Search(guesses, sorted(pdf["answer"]), config)
+        state = tuple(range(len(search.answers)))
+        cost, g = search.solve(state, config.turns - turn + 1)
+        found = pd.DataFrame({"state": [pdf["state"].iloc[0]], "n": [len(state)], "cost": pd.array([cost if cost < INFEASIBLE else None], "Int64"), "guess": [guesses[g] if g >= 0 else None]})
+        return found
+
+    return states.groupBy("state").applyInPandas(run, "state string, n long, cost long, guess string")
 
 
-def action_costs(state: pd.DataFrame, depth: int) -> dict[str, int]:
-    """Total cost of each candidate guess; rows: guess, answer, code among the state's candidates."""
-    code = {(g, a): c for g, a, c in state[["guess", "answer", "code"]].itertuples(index=False)}
-    words = sorted(set(state["answer"]))
+def action_costs(actions: Iterable[str], candidates: Iterable[str], left: int) -> dict[str, int]:
+    """Total cost of each action, of a game in which all later actions agree with the feedback, too."""
+    words = sorted(actions)
+    table = codes(words, words).tolist()
+    possible = [w in set(candidates) for w in words]
 
-    def branch(guess: str, alive: tuple[str, ...], left: int) -> int:
-        parts: dict[int, list[str]] = {}
+    def branch(g: int, alive: tuple[int, ...], left: int) -> int:
+        parts: dict[int, list[int]] = {}
         for a in alive:
-            parts.setdefault(code[guess, a], []).append(a)
-        return len(alive) + sum(cost(tuple(p), left - 1) for c, p in parts.items() if c != ALL_RIGHT)
+            parts.setdefault(table[g][a], []).append(a)
+        return sum(possible[a] for a in alive) + sum(cost(tuple(p), left - 1) for c, p in parts.items() if c != ALL_RIGHT)
 
     @lru_cache(maxsize=None)
-    def cost(alive: tuple[str, ...], left: int) -> int:
-        if left == 0:
-            return len(alive) * (FAILED - depth)
+    def cost(alive: tuple[int, ...], left: int) -> int:
+        n = sum(possible[a] for a in alive)
+        if not n:
+            return 0
+        if left <= 0:
+            return FAILED * n
+        if n == 1:
+            return 1
         return min(branch(g, alive, left) for g in alive)
 
-    return {g: branch(g, tuple(words), depth) for g in words}
+    return {words[g]: branch(g, tuple(range(len(words))), left) for g in range(len(words))}
 
 
-def exact_values(pairs: DataFrame, depth: int = 4) -> DataFrame:
-    """pairs: state, guess, answer, code of states of at most LARGEST candidates -> state, guess, cost, optimal."""
+def adaptive_values(states: DataFrame, left: int) -> DataFrame:
+    """states: state, word, isc (it can be the answer), of at most LARGEST words each -> state, guess, cost, optimal."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        costs = action_costs(pdf, depth)
+        costs = action_costs(pdf["word"], pdf["word"][pdf["isc"] == 1], left)
         best = min(costs.values())
         return pd.DataFrame({"state": pdf["state"].iloc[0], "guess": list(costs), "cost": list(costs.values()), "optimal": [c == best for c in costs.values()]})
 
-    return pairs.groupBy("state").applyInPandas(solve, "state string, guess string, cost long, optimal boolean")
+    return states.groupBy("state").applyInPandas(solve, "state string, guess string, cost long, optimal boolean")

@@ -6,13 +6,18 @@ all states together. The turn's SQL is the same text for Spark and for the DuckD
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridloom.functions.feedback import ALL_RIGHT, feedback_code, letters
 from gridloom.session import read_table, scratch_table
 from gridloom.sources.words import vocabulary
 
 TURNS, FAILED, ENDGAME = 6, 7, 2
+#: The legal words: those that most documents hold, so many at most. All pairs of them are made, 16 bytes each.
+MOST_WORDS = 20_000
 #: ORDER BY within a state; isc: the guess can be the answer.
 RULES = {
     "entropy": "round(h, 9) DESC, isc DESC, guess",
@@ -60,44 +65,63 @@ def next_sql(played: str) -> str:
     return f"SELECT answer, concat(state, '|', guess, ':', CAST(code AS VARCHAR(9))) AS state FROM {played} WHERE code <> {ALL_RIGHT}"
 
 
-_tables: dict[tuple[str, str, str], DataFrame] = {}
+_kept: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stamp(spark: SparkSession, path: str) -> str:
+    """Sizes and times of a table's files: another state of the data has another stamp."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return ",".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in fs.listStatus(at)))
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table derived from a folder's documents, made once a session for each state of them."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir} {stamp(spark, f'{sf_dir}/documents.parquet')}", name)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget() -> None:
+    """Drops what `kept` holds, so that a query's time has all of its work in it."""
+    _kept.clear()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """vocab, fb or fscores of a folder, made once a session and registered under its name."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _tables:
+    """vocab, fb or fscores of a folder, registered under its name."""
+
+    def make() -> DataFrame:
         if name == "vocab":
-            made = vocabulary(read_table(spark, sf_dir, "documents"))
-        else:
-            table(spark, sf_dir, "vocab").createOrReplaceTempView("vocab")
-            made = spark.sql(PAIRS_SQL if name == "fb" else SCORE_SQL)
-        _tables[key] = scratch_table(made, name)
-    _tables[key].createOrReplaceTempView(name)
-    return _tables[key]
+            return scratch_table(vocabulary(read_table(spark, sf_dir, "documents")).orderBy(F.desc("documents"), "word").limit(MOST_WORDS), name)
+        table(spark, sf_dir, "vocab")
+        return scratch_table(spark.sql(PAIRS_SQL if name == "fb" else SCORE_SQL), name)
+
+    out = kept(spark, sf_dir, name, make)
+    out.createOrReplaceTempView(name)
+    return out
 
 
 def games(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
     """answer, turn, guess, code, n_before, state: all games under a rule."""
-    key = (spark.sparkContext.applicationId, sf_dir, f"games-{rule}")
-    if key not in _tables:
+
+    def make() -> DataFrame:
         for name in ("vocab", "fb", "fscores"):
             table(spark, sf_dir, name)
         spark.sql("SELECT word AS answer, '' AS state FROM vocab").createOrReplaceTempView("alive")
-        turns = []
+        out = None
         for turn in range(1, TURNS + 1):
             played = scratch_table(spark.sql(turn_sql(turn, rule, "alive")), "turn")
-            turns.append(played)
+            out = played if out is None else out.unionByName(played)
             played.createOrReplaceTempView("played")
             spark.sql(next_sql("played")).createOrReplaceTempView("alive")
-        out = turns[0]
-        for t in turns[1:]:
-            out = out.unionByName(t)
-        _tables[key] = out
-    return _tables[key]
+        return out
+
+    return kept(spark, sf_dir, f"games-{rule}", make)
 
 
-VOCAB_ORACLE = r"vocab AS MATERIALIZED (SELECT word, count(*) AS uses, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS word FROM documents) WHERE regexp_matches(word, '^[a-z]{5}$') GROUP BY word)"
+VOCAB_ORACLE = r"vocab AS MATERIALIZED (SELECT word, count(*) AS uses, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS word FROM documents) WHERE regexp_matches(word, '^[a-z]{5}$') GROUP BY word ORDER BY documents DESC, word LIMIT 20000)"
 
 
 def games_oracle(rule: str, name: str = "games") -> str:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.feedback import ALL_RIGHT, code_to_pattern, pattern_to_code
 from gridloom.functions.hashing import opaque_id, split_of
-from gridloom.operators.tree import LARGEST, exact_values
 from gridloom.plans import games as G
 from gridloom.session import read_table
 from gridloom.sources.words import tokens
@@ -119,15 +118,6 @@ def prompt_raw_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("answer", "turn", F.concat(F.lit("Turn "), F.col("turn").cast("string"), F.lit(" of 6"), F.array_join(F.collect_list("line").over(past), "")).alias("prompt"))
 
 
-@query()
-def exact_state_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact action values of the states of up to LARGEST candidates after the best opener; tested against brute force."""
-    for t in ("vocab", "fb"):
-        G.table(spark, sf_dir, t)
-    states = f"SELECT state, answer FROM (SELECT f.answer, CAST(f.code AS VARCHAR(9)) AS state, count(*) OVER (PARTITION BY f.code) AS n FROM fb f JOIN {BEST} o ON o.guess = f.guess) s WHERE n BETWEEN 2 AND {LARGEST}"
-    return exact_values(spark.sql(f"SELECT a.state, f.guess, f.answer, f.code FROM ({states}) a JOIN ({states}) b ON a.state = b.state JOIN fb f ON f.guess = b.answer AND f.answer = a.answer"))
-
-
 # -- splits, datasets and audits ----------------------------------------------------------------------------------
 
 
