@@ -31,10 +31,61 @@ EMOJI_RULES = (
 NO_HISTORY = "History: (none - this is the opening guess)"
 NEXT = "Next guess:"
 HINT = "Play only words that are consistent with every clue above."
+# Worked examples as (answer, guesses so far, next guess); two of them stand in a prompt.
+SHOTS = (
+    ("chart", ("salet",), "audit"),
+    ("hobby", ("salet", "crony"), "howdy"),
+    ("plumb", ("salet", "chord"), "imply"),
+    ("wince", ("salet", "dingo"), "mince"),
+    ("proxy", ("salet", "chirp"), "proud"),
+    ("thumb", ("salet", "conic"), "truth"),
+    ("berth", ("salet", "brine"), "berth"),
+    ("glaze", ("salet",), "blame"),
+)
+SHOTS_SHOWN = 2
 KEYBOARD = ("QWERTYUIOP", "ASDFGHJKL", "ZXCVBNM")
 KEYBOARD_TITLE = "Letter status  (* = right spot, + = in word, - = not in word):"
 
 
+def tiles_of(guess: str, answer: str) -> list[int]:
+    """Marks of a guess: 2 right place, 1 elsewhere, 0 absent."""
+    open_ = [a for g, a in zip(guess, answer, strict=True) if g != a]
+    out = []
+    for i, g in enumerate(guess):
+        earlier = sum(1 for j in range(i) if guess[j] == g and guess[j] != answer[j])
+        out.append(2 if g == answer[i] else int(earlier < open_.count(g)))
+    return out
+
+
+def shot_lines(number: int, shot: tuple[str, tuple[str, ...], str]) -> tuple[str, ...]:
+    """A worked example: its history, what follows from it, and the next guess."""
+    answer, guesses, following = shot
+    past = [(g, tiles_of(g, answer)) for g in guesses]
+    shown = [f"  {i}. {g.upper()} -> {''.join('BYG'[m] for m in marks)}" for i, (g, marks) in enumerate(past, 1)]
+    letters = sorted({c for g, _ in past for c in g})
+    own = {c: [[(i, m) for i, m in enumerate(marks) if g[i] == c] for g, marks in past] for c in letters}
+    least = {c: max(sum(m > 0 for _, m in each) for each in own[c]) for c in letters}
+    exact = {c: [sum(m > 0 for _, m in each) for each in own[c] if any(m == 0 for _, m in each)][-1:] for c in letters}
+    greens = {i: c for c in letters for each in own[c] for i, m in each if m == 2}
+    ruled = {c: sorted({i for each in own[c] for i, m in each if m < 2}) for c in letters if least[c]}
+    known_ = [
+        f"  Confirmed letters : {' '.join(f'p{i + 1}={greens[i].upper()}' for i in sorted(greens)) or '(none)'}",
+        f"  Letters present   : {', '.join(c.upper() for c in letters if least[c]) or '(none)'}",
+    ]
+    counts = ", ".join(f"{c.upper()}x{exact[c][0]}" for c in letters if exact[c] and exact[c][0])
+    spots = ", ".join(f"{c.upper()} not at {ruled[c]}" for c in letters if ruled.get(c))
+    known_ += [f"  Exact counts      : {counts}"] if counts else []
+    known_ += [f"  Letters absent    : {', '.join(c.upper() for c in letters if exact[c] == [0]) or '(none)'}"]
+    known_ += [f"  Ruled-out spots   : {spots}"] if spots else []
+    return (f"Example {number}", "History:", *shown, "Deduced so far:", *known_, f"{NEXT} {following.upper()}", "")
+
+
+def shot_choice(state: str, spark: bool) -> str:
+    """SQL: which example comes first, by the first eight digits of the history's md5."""
+    digits = f"substr(md5({state}), 1, 8)"
+    return (f"CAST(conv({digits}, 16, 10) AS BIGINT)" if spark else f"CAST(('0x' || {digits}) AS BIGINT)") + f" % {len(SHOTS)}"
+
+
 def quoted(lines: tuple[str, ...]) -> str:
     return f" || {NL} || ".join(f"'{x}'" for x in lines)
 
@@ -97,7 +148,7 @@ def keyboards(games: str) -> str:
 
 
 def histories(games: str, spark: bool) -> str:
-    """answer, turn, n, and the earlier guesses in five notations."""
+    """answer, turn, n, and the earlier guesses in six notations."""
     pattern = code_to_pattern("h.code")
     emoji = f"replace(replace(replace({pattern}, 'G', '🟩'), 'Y', '🟨'), 'B', '⬛')"
     tile = lambda i: f"upper(substr(h.guess, {i + 1}, 1)) || CASE CAST(floor(h.code / {3.0**i}) AS INT) % 3 WHEN 2 THEN ' is correct at position {i + 1}' WHEN 1 THEN ' is in the word but not at position {i + 1}' ELSE ' is not in the word' END"
@@ -109,10 +160,11 @@ def histories(games: str, spark: bool) -> str:
         "emoji": (f"{number} || ' ' || {emoji}", "h.turn"),
         "told": (told, "h.turn"),
         "backwards": (f"'  ' || upper(h.guess) || ' -> ' || {pattern}", "-h.turn"),
+        "repr": (f"'(' || chr(39) || h.guess || chr(39) || ', ' || chr(39) || {pattern} || chr(39) || ')'", "h.turn"),
     }
     joined = ", ".join(f"{listed('h.turn IS NOT NULL', e, o, '@@', spark)} AS {k}_" for k, (e, o) in notations.items())
     inner = f"SELECT s.answer, s.turn, max(s.n_before) AS n, {joined} FROM {games} s LEFT JOIN {games} h ON h.answer = s.answer AND h.turn < s.turn GROUP BY s.answer, s.turn"
-    return "SELECT answer, turn, n, " + ", ".join(f"replace({k}_, '@@', {NL}) AS {k}" for k in notations) + f" FROM ({inner}) i"
+    return "SELECT answer, turn, n, " + ", ".join(f"replace({k}_, '@@', {NL if k != 'repr' else chr(39) + ', ' + chr(39)}) AS {k}" for k in notations) + f" FROM ({inner}) i"
 
 
 def known(name: str, none: str) -> str:
@@ -120,7 +172,7 @@ def known(name: str, none: str) -> str:
 
 
 def prompts(games: str, spark: bool) -> str:
-    """answer, turn, variant, prompt: eleven renderings of every state (all but the worked examples)."""
+    """answer, turn, variant, prompt: twelve renderings of every state."""
     rules, nl, two = quoted(RULES), NL, f"{NL} || {NL}"
     turn = f"'Guess ' || CAST(turn AS VARCHAR(3)) || ' of {TURNS} (' || CAST({TURNS + 1} - turn AS VARCHAR(3)) || ' remaining)'"
     end = f"{two} || {turn} || {two} || '{NEXT}'"
@@ -130,7 +182,11 @@ def prompts(games: str, spark: bool) -> str:
         || CASE WHEN coalesce(ruled, '') = '' THEN '' ELSE {nl} || '  Ruled-out spots   : ' || ruled END"""
     base = f"{rules} || {two} || {history} || {two} || {block}"
     prose = "trim(" + " || ".join(f"CASE WHEN coalesce({c}, '') = '' THEN '' ELSE '{a}' || {c} || '. ' END" for c, a in (("prose_fixed", "You know "), ("present", "The word contains "), ("absent", "It does not contain "), ("prose_ruled", "Also, "))) + ")"
+    written = "CASE WHEN turn = 1 THEN '()' WHEN turn = 2 THEN '(' || repr || ',)' ELSE '(' || repr || ')' END"
+    shown = [tuple(line for i in range(SHOTS_SHOWN) for line in shot_lines(i + 1, SHOTS[(k + i) % len(SHOTS)])) for k in range(len(SHOTS))]
+    shots = f"CASE {shot_choice(written, spark)} " + " ".join(f"WHEN {k} THEN {quoted(lines)}" for k, lines in enumerate(shown)) + " END"
     variants = {
+        "few_shot": f"{rules} || {two} || {shots} || {nl} || 'Now your game.' || {nl} || {history} || {two} || {block} || {end}",
         "baseline": f"{base} || {end}",
         "raw_history": f"{rules} || {two} || {history} || {end}",
         "constraints_only": f"{rules} || {two} || CASE WHEN turn = 1 THEN 'Nothing is known yet.' ELSE {block} END || {end}",

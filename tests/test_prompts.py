@@ -53,7 +53,7 @@ RULES = "You are playing Wordle. Deduce the hidden 5-letter word.\nAfter each gu
 
 def test_prompts_word_for_word(spark, games):
     got = {(r.answer, r.turn, r.variant): r.prompt for r in spark.sql(P.prompts(games, True)).collect()}
-    assert len({v for _, _, v in got}) == 11
+    assert len({v for _, _, v in got}) == 12
     first = got["sheep0", 1, "raw_history"]
     assert first == RULES + "\n\nHistory: (none - this is the opening guess)\n\nGuess 1 of 6 (6 remaining)\n\nNext guess:"
     block = "Deduced so far:\n  Confirmed letters : p3=E\n  Letters present   : E, S\n  Exact counts      : Ex2\n  Letters absent    : G\n  Ruled-out spots   : E not at [1, 4], S not at [3]"
@@ -67,3 +67,20 @@ def test_prompts_word_for_word(spark, games):
     assert "\n  Q  W  E* R  T  Y  U  I  O  P \n  A  S+ D  F  G- H  J  K  L \n" in got["sheep0", 2, "keyboard"]
     assert "History (most recent first):\n  ADDED -> YBBYB\n  CRANE -> YYYYG\n" in got["nacre3", 3, "reversed"]
     assert "\n\nPlay only words that are consistent with every clue above.\n\nNext guess:" in got["sheep0", 2, "hard_mode_hint"]
+
+
+def test_worked_examples(spark, games):
+    """The examples rotate with the md5 of the history as Python writes it."""
+    import hashlib
+
+    got = {(r.answer, r.turn): r.prompt for r in spark.sql(P.prompts(games, True)).where("variant = 'few_shot'").collect()}
+    patterns = lambda g, a: "".join("BYG"[m] for m in marks(g, a))
+    for k, h in enumerate(HISTORIES):
+        for t in range(1, len(h) + 1):
+            past = tuple((g, patterns(g, a)) for g, a in h[: t - 1])
+            first = int(hashlib.md5(repr(past).encode()).hexdigest()[:8], 16) % 8
+            text = got[h[0][1] + str(k), t]
+            assert [line[12:] for line in text.split("\n") if line.startswith("Next guess: ")] == [P.SHOTS[(first + i) % 8][2].upper() for i in range(2)]
+            assert text.startswith(RULES + "\n\nExample 1\nHistory:\n  1. SALET -> ") and "\n\nNow your game.\nHistory" in text
+    assert P.shot_lines(1, P.SHOTS[1]) == ("Example 1", "History:", "  1. SALET -> BBBBB", "  2. CRONY -> BBYBG", "Deduced so far:", "  Confirmed letters : p5=Y", "  Letters present   : O, Y", "  Letters absent    : A, C, E, L, N, R, S, T", "  Ruled-out spots   : O not at [2]", "Next guess: HOWDY", "")
+    assert all(P.tiles_of(g, a) == marks(g, a) for h in HISTORIES for g, a in h)
