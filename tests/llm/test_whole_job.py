@@ -91,18 +91,51 @@ def test_lm_scoring_predicts_rare_words_from_context(spark):
         for k in own.sample(range(80), 80):
             texts.append(f"{prose(2, common)} {first[k]} {second[k]} {prose(2, common)}")
     rows = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(2)
-    model = lm.fitted(rows)
+    model = lm.fitted(rows.mapInArrow(lm.tokenised, lm.TOKENS))
     score = lambda a, b: lm.log_probabilities(*slots(f"{common[0]} {common[1]} {a} {b} {common[2]} {common[3]}"), *model)[3]
     gain = [score(first[k], second[k]) - score(first[k], second[(k + 1) % 80]) for k in range(80)]
     assert np.mean(gain) > 0.2 and np.mean(np.array(gain) > 0) > 0.6
-    nodes, kids, prior = lm.tree(np.arange(lm.SLOTS) % 1000)
-    total = sum(np.exp(np.where(nodes >= 0, prior[nodes, kids], 0).sum(1)))
-    assert abs(total - 1) < 1e-9  # every slot is a leaf
+
+
+def test_lm_scoring_sums_to_one_over_all_slots():
+    """The probabilities of all slots after any context, by products along the tree's paths."""
+    paths, prior, shares = lm.tree(np.arange(lm.SLOTS) % 1000)
+    model = lm.unpack(lm.start(prior, shares))
+    inputs = np.array([[5, 9], [4100, 4200], [8300, 8400], [12400, 12500]])
+    h = lm.hidden(inputs, model[0])
+    for state in h:
+        top = lm.normalised(state[None] @ model[2])[0]
+        inner = lm.normalised(np.einsum("nkd,d->nk", model[1], state))
+        token, node, kid, _ = paths.of(np.arange(lm.SLOTS))
+        logs = np.log(top[paths.root]) + np.bincount(token, np.log(inner[node, kid]), lm.SLOTS)
+        assert abs(np.exp(logs).sum() - 1) < 1e-3
+
+
+def test_lm_scoring_against_plain_loops():
+    """Scores of whole documents, token by token, from the same parameters."""
+    paths, prior, shares = lm.tree(np.random.Generator(np.random.PCG64(1)).integers(0, 50, lm.SLOTS))
+    model = lm.unpack(lm.start(prior, shares) + 0.1)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([prose(7), "", prose(3)])], names=["doc_id", "text"])
+    for ids, slots, first in lm.runs_of(lm.tokenised(iter([batch]))):
+        got = lm.log_probabilities(slots, first, model, paths)
+        assert ids.to_pylist() == [1, 2, 3] and np.diff(first).tolist() == [7, 0, 3]
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            own = slots[a:b]
+            for i in range(len(own)):
+                x = sum(model[0][k * (lm.INPUTS + 1) + (own[i + o] & (lm.INPUTS - 1) if 0 <= i + o < len(own) else lm.EDGE)] for k, o in enumerate(lm.OFFSETS))
+                state = np.append(np.tanh(x), 1.0)
+                shares_ = np.exp(state @ model[2])
+                want = np.log(shares_[paths.root[own[i]]] / shares_.sum())
+                token, node, kid, _ = paths.of(own[i : i + 1])
+                for n, k in zip(node.tolist(), kid.tolist(), strict=True):
+                    w = np.exp(model[1][n] @ state)
+                    want += np.log(w[k] / w.sum())
+                assert abs(got[a + i] - want) < 1e-3
 
 
 def test_lm_scoring_trains_on_every_token():
-    nodes, kids, prior = lm.tree(np.zeros(lm.SLOTS))
+    paths, prior, shares = lm.tree(np.zeros(lm.SLOTS))
     for texts in ([prose(20) for _ in range(30)], [prose(9000), prose(700), ""]):
         batches = [pa.RecordBatch.from_arrays([pa.array([0]), pa.array([t])], names=["doc_id", "text"]) for t in texts]
-        seen = [lm.train(iter(batches), lm.start(prior), nodes, kids, turn)[-1] for turn in range(lm.PASSES)]
+        seen = [lm.train(lm.tokenised(iter(batches)), lm.start(prior, shares), paths, turn)[-1] for turn in range(lm.PASSES)]
         assert sum(seen) == sum(len(t.split()) for t in texts)
