@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.kernels import slices
 
-BATCH_BYTES, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+BATCH_BYTES, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 

@@ -41,7 +41,7 @@ from gridloom.llm.components import FOLD, connected_components
 SHINGLE, BANDS, ROWS, BATCH, MISS = 5, 40, 5, 25, 1e-6
 THRESHOLD = (75, 100)
 SMALL, BLOCK, BLOCK_BYTES, STAR_BANDS, CENTRES, SIEVE_BITS = 24, 1500, 8 << 20, 5, 3, 20
-SLICE = 1 << 20
+SLICE = 1 << 19
 U64 = np.uint64
 _rng = np.random.Generator(np.random.PCG64(7))
 FACTORS = _rng.integers(0, 2**64, BANDS * ROWS, dtype=U64) | U64(1)
