@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import string
 import zlib
 from collections import Counter, defaultdict
@@ -18,7 +19,7 @@ from gridloom.llm.lm_scoring import lm_scores
 from gridloom.llm import near_dedup as near
 from gridloom.llm.near_dedup import drop_near_copies, near_duplicates
 from gridloom.llm.packing import END_ID, best_fit, dearest, pack_documents, plan
-from gridloom.llm.pii import KINDS, base_spans, detector, examples, find_pii, redact
+from gridloom.llm.pii import KINDS, added_spans, base_spans, detector, examples, find_pii, redact
 from gridloom.llm.sharding import plan_cuts, shard_documents
 from gridloom.llm.substring_dedup import substring_dedup
 from gridloom.llm.token_counts import SPECIAL, chunk_map, scan, token_counts, total, transducer, vocabulary_path
@@ -97,6 +98,41 @@ def test_pii_base_and_trees(docs):
     assert by_id(redact(docs))[3].text == "One"
 
 
+def plain_spans(t: str) -> list[tuple[int, int, str]]:
+    """The contract's patterns one by one, with nothing clever."""
+    found = [(m.start(), m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    found += [(m.start(), m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        if 12 <= len(d) <= 19 and sum(x if k % 2 == 0 else sum(divmod(2 * x, 10)) for k, x in enumerate(reversed(d))) % 10 == 0:
+            found.append((m.start(), m.end(), "card"))
+    found += [(m.start(), m.end(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
+    return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
+
+
+def test_pii_base_against_plain_patterns(spark):
+    pieces = ["1", "23", "255", "256", ".", " ", "-", "@", "a", "b.c", "+1", "(", ")", "4111 1111 1111 1111", "é", "x@y.z", "+49 30 123456-78", "\n", "10.0.0.1", "_", "%"]
+    texts_ = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 14))) for _ in range(20_000)]
+    texts_ += [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    assert [t for t in texts_ if base_spans(t) != plain_spans(t)] == []
+    found = by_id(find_pii(spark.createDataFrame([*enumerate(texts_[:2000])], "doc_id long, text string")))
+    for i, t in enumerate(texts_[:2000]):
+        own = ",".join(f"{k}:{a}:{b}" for a, b, k in plain_spans(t))
+        assert found[i].base_sha256 == hashlib.sha256(own.encode()).hexdigest() and set(own.split(",")) - {""} <= set(found[i].spans.split(","))
+        assert found[i].n_spans == found[i].n_added + len(plain_spans(t))
+
+
+def test_pii_look_alikes():
+    """What trees add and leave alone, in texts that examples didn't write."""
+    model, cuts = detector()
+    added = lambda t: [(k, t[a:b]) for a, b, k in added_spans(t, base_spans(t), model, cuts)]
+    bad = ["card 00:1A:2B:3C:4D:5E of the host", "at 12:34:56:12 in the recording", "the id 123e4567-e89b-12d3-a456-426614174000 of the row", "see report_final_version_2024_01_15_draft there", "on 2024-01-15 at 10:30", "version 10.2 build 20240115"]
+    assert [added(t) for t in bad] == [[]] * len(bad)
+    good = {"secret": 'use the token ghp_a1B2c3D4e5F6g7H8j9K2m3N4p5Q6r7S8t9 here', "id": "my iban DE89370400440532013000 please", "ip": "the server at 2001:db8::1 answers", "phone": "call (415) 555-0133 now"}
+    assert {k: [x for x, _ in added(t)] for k, t in good.items()} == {k: [k] for k in good}
+    assert added('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" end') == [("secret", "04dbebab91ab85687d33eeaaf9ac699e1188f962")]
+
+
 def test_substring_dedup(docs):
     first, got = {}, by_id(substring_dedup(docs))
     for i, t in enumerate(TEXTS):
