@@ -36,7 +36,7 @@ SLOTS, INPUTS, ROOT, ARITY, DIM = 1 << 16, 1 << 12, 64, 4, 8
 NODES = (SLOTS - ROOT) // (ARITY - 1)
 OFFSETS = (-2, -1, 1, 2)
 RUN, LEAST_RUN, RATE, PASSES, FLOOR = 4096, 256, 1.0, 2, 1e-5
-SLICE, PART_TOKENS = 1 << 20, 4 << 20
+SLICE, PART_TOKENS, HIGHEST = 1 << 19, 4 << 20, 60.0
 EDGE = INPUTS
 #: Vectors of neighbours, weights of inner nodes and of the root; a bias is the weight of a hidden unit that is always 1.
 SHAPES = ((len(OFFSETS) * (INPUTS + 1), DIM), (NODES, ARITY, DIM + 1), (DIM + 1, ROOT))
@@ -176,33 +176,38 @@ def hidden(inputs: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 
 def normalised(p: np.ndarray) -> np.ndarray:
-    p -= p.max(1, keepdims=True)
+    np.minimum(p, HIGHEST, out=p)
     np.exp(p, out=p)
-    p /= p.sum(1, keepdims=True)
+    p /= np.einsum("nk->n", p)[:, None]
     return p
 
 
-def softmax(h: np.ndarray, token: np.ndarray, node: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each choice: hidden state, the node's weights, probabilities of its branches."""
+def log_share(p: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Log of the normalised value at `own` of each row."""
+    np.minimum(p, HIGHEST, out=p)
+    mine = p[np.arange(len(p)), own]
+    return (mine - np.log(np.einsum("nk->n", np.exp(p, out=p)))).astype(float)
+
+
+def products(h: np.ndarray, token: np.ndarray, node: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each choice: hidden state, the node's weights, and their products."""
     state, weights = h.take(token, axis=0), top.take(node, axis=0)
-    return state, weights, normalised(np.einsum("nkd,nd->nk", weights, state))
+    return state, weights, np.einsum("nkd,nd->nk", weights, state)
 
 
 def descend(value: np.ndarray, past: np.ndarray, used: np.ndarray, grad: np.ndarray) -> None:
-    """A step against the gradient, shorter where gradients were large."""
-    seen = past.take(used, axis=0)
-    seen += grad * grad
+    """A step of rows against their gradient, shorter where gradients were large; both in two dimensions."""
+    seen = past[used] + np.einsum("nd,nd->n", grad, grad) / grad.shape[1]
     past[used] = seen
-    np.sqrt(seen, out=seen)
-    np.divide(grad, seen, out=seen)
-    seen *= 0.1 * RATE
-    value[used] -= seen
+    grad *= (0.1 * RATE / np.sqrt(seen))[:, None]
+    value[used] -= grad
 
 
 def train(batches: Iterator[pa.RecordBatch], flat: np.ndarray, paths: Paths, turn: int) -> np.ndarray:
     """Gradient steps over the runs of the part that are this turn's; parameters and, last, tokens: both weighted by tokens."""
     vectors, top, root = unpack(flat)
-    seen, seen_top, seen_root = (np.full(x.shape, FLOOR, np.float32) for x in (vectors, top, root))
+    seen, seen_top, seen_root = np.full(len(vectors), FLOOR, np.float32), np.full(NODES, FLOOR, np.float32), np.full(root.shape, FLOOR, np.float32)
+    flat_top = top.reshape(NODES, -1)
     n, done, runs = 0, 0, 0
     for _, slots, first in runs_of(batches):
         if not len(slots):
@@ -225,13 +230,15 @@ def train(batches: Iterator[pa.RecordBatch], flat: np.ndarray, paths: Paths, tur
             seen_root += grad * grad
             token, node, kid, heads = paths.of(y)
             if len(token):
-                state, weights, p = softmax(h, token, node, top)
+                state, weights, p = products(h, token, node, top)
+                p = normalised(p)
                 p[np.arange(len(p)), kid] -= 1
                 p /= m
                 back[token[heads]] += np.add.reduceat(np.einsum("nk,nkd->nd", p, weights), heads)
                 order = np.argsort(node, kind="stable")
                 heads = K.group_starts(node[order])
-                descend(top, seen_top, node[order[heads]], np.add.reduceat(p[order][:, :, None] * state[order][:, None, :], heads))
+                outer = np.einsum("nk,nd->nkd", p.take(order, axis=0), state.take(order, axis=0)).reshape(len(p), -1)
+                descend(flat_top, seen_top, node[order[heads]], np.add.reduceat(outer, heads))
             root -= 0.1 * RATE * grad / np.sqrt(seen_root)
             back = back[:, :DIM] * (1 - h[:, :DIM] ** 2)
             rows = x.ravel()
@@ -248,13 +255,10 @@ def log_probabilities(slots: np.ndarray, first: np.ndarray, model: list[np.ndarr
     for at in range(0, len(slots), 4096):
         y = slots[at : at + 4096]
         h = hidden(inputs[:, at : at + 4096], vectors)
-        own = normalised(h @ root)[np.arange(len(y)), paths.root[y]].astype(float)
-        part = np.log(np.maximum(own, 1e-30))
+        part = log_share(h @ root, paths.root[y])
         token, node, kid, heads = paths.of(y)
         if len(token):
-            _, _, p = softmax(h, token, node, top)
-            own = np.log(np.maximum(p[np.arange(len(p)), kid].astype(float), 1e-30))
-            part[token[heads]] += np.add.reduceat(own, heads)
+            part[token[heads]] += np.add.reduceat(log_share(products(h, token, node, top)[2], kid), heads)
         out[at : at + 4096] = part
     return out
 
