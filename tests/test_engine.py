@@ -1,4 +1,4 @@
-"""Golden feedback vectors, codec, rules against plain Python, exact search against brute force, oracles."""
+"""Golden feedback vectors, codec, splits, and queries against their oracles."""
 
 from __future__ import annotations
 
@@ -6,15 +6,12 @@ import itertools
 import os
 
 import duckdb
-import pandas as pd
 import pytest
 
 from gridloom.functions.feedback import code_to_pattern, feedback_code, letters, pattern_to_code
 from gridloom.functions.hashing import split_of
-from gridloom.operators.tree import action_costs
-from gridloom.plans import datasets  # noqa: F401  (registers its queries)
+from gridloom.plans import datasets, lists, records  # noqa: F401  (register their queries)
 from gridloom.plans.queries import ORACLES, QUERIES
-from gridloom.sources.words import normalize_words
 
 DATA = "/root/testdata/sf0.001"
 GOLDEN = [("crane", "crane", "GGGGG"), ("slate", "crane", "BBGBG"), ("plumb", "crane", "BBBBB"), ("crane", "nacre", "YYYYG"), ("speed", "abide", "BBYBY"), ("abide", "speed", "BBBYY"), ("eerie", "eaten", "GYBBB"), ("llama", "lucid", "GBBBB"), ("added", "dread", "YYBYG"), ("array", "rural", "BYGGB"), ("geese", "sheep", "BYGYB"), ("mummy", "mamma", "GBGGB"), ("aaaaa", "ababa", "GBGBG"), ("eecee", "ceeee", "YGYGG")]
@@ -56,32 +53,11 @@ def test_codec(spark):
     assert {r.c for r in spark.sql(f"SELECT {pattern_to_code('p')} AS c FROM patterns").collect()} == {5}
 
 
-def test_normalize_words(spark):
-    raw = spark.createDataFrame([('Crane, "slate" élite café',), ("crane toolong abc STARE",)], "value string")
-    assert [r.word for r in normalize_words(raw).collect()] == ["crane", "slate", "elite", "stare"]
-
-
 def test_split_share(spark):
     n = spark.range(5000).select(split_of(__import__("pyspark").sql.functions.col("id").cast("string")).alias("s")).where("s = 'val'").count()
     assert 400 < n < 600
 
 
-def test_exact_search_against_brute_force():
-    words = ["crane", "brane", "grape", "drape", "trace"]
-    pdf = pd.DataFrame([(g, a, plain(g, a)) for g in words for a in words], columns=["guess", "answer", "code"])
-
-    def brute(alive, left):
-        return 3 * len(alive) if not left else min(total(g, alive, left) for g in alive)
-
-    def total(g, alive, left):
-        parts = {}
-        for a in alive:
-            parts.setdefault(plain(g, a), []).append(a)
-        return len(alive) + sum(brute(p, left - 1) for c, p in parts.items() if c != 242)
-
-    assert action_costs(pdf, 4) == {g: total(g, words, 4) for g in words}
-
-
 FAST = [n for n in ORACLES if not n.startswith(("solver_games", "tiebreak", "policy_adaptive", "policy_expert", "policy_rollout"))] + ["solver_games_expected", "solver_games_frequency"]
 
 
