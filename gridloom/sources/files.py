@@ -57,14 +57,16 @@ def extract_words(spark: SparkSession, paths: Sequence[str], length: int = LENGT
     """path, word of all tokens of `length` letters in text files (split at blanks, commas and tabs), in the strings of
     JSON values, and in all columns of parquet tables."""
     out = None
-    strings = r'"((?:[^"\\]|\\.)*)"(?!\s*:)'
+    strings = F.lit(r'"((?:[^"\\]|\\.)*)"\s*(:?)')  # the second group marks keys
     for path in paths:
         kind = path.rpartition(".")[2].lower()
         if kind in TABLES:
             t = spark.read.parquet(path)
             found = t.select(F.explode(F.array(*[F.col(f"`{c}`").cast("string") for c in t.columns])).alias("token"))
         elif kind in ("json", "jsonl"):
-            found = spark.read.text(path, wholetext=kind == "json").select(F.explode(F.regexp_extract_all("value", F.lit(strings), F.lit(1))).alias("token"))
+            text = spark.read.text(path, wholetext=kind == "json")
+            both = F.arrays_zip(F.regexp_extract_all("value", strings, F.lit(1)).alias("token"), F.regexp_extract_all("value", strings, F.lit(2)).alias("key"))
+            found = text.select(F.explode(both).alias("x")).where("x.key = ''").select("x.token")
         else:
             found = spark.read.text(path).select(F.explode(F.split("value", r"[\s,]+")).alias("token"))
         own = found.select(F.lit(path).alias("path"), F.lower(F.regexp_replace(F.trim("token"), "^[\"']+|[\"']+$", "")).alias("word"))

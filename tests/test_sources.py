@@ -41,7 +41,7 @@ def test_discovery_and_classification(spark, tmp_path):
     alphabet = "abcdefghijkl"
     many = [f"{a}{b}{c}de" for a in alphabet for b in alphabet for c in "xyz"]
     (tmp_path / "my_answers.txt").write_text("\n".join(many[:120]))
-    (tmp_path / "allowed.csv").write_text("word,other\n" + "\n".join(f"{w},no" for w in many))
+    (tmp_path / "allowed.csv").write_text("word,second\n" + "\n".join(f"{w},no" for w in many))
     (tmp_path / "nested.json").write_text(json.dumps({"abcde": [{"k": w.upper()} for w in many[:110]], "n": 3}))
     (tmp_path / "few.txt").write_text("crane slate")
     (tmp_path / "skipped").mkdir()
