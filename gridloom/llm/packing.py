@@ -34,7 +34,7 @@ from gridloom.llm.token_counts import CUT, SPECIAL, vocabulary_path
 
 CAPACITY, END_ID, SPECIAL_ID = 1024, 2, 50256
 ROUNDS, STEP, PART_ROWS = 300, 0.1, 100_000
-MEMO, SLICE = 250_000, 2 << 20
+MEMO, SLICE = 250_000, 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -225,7 +225,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pieces = scratch_table(token_pieces(docs, id_col=id_col, text_col=text_col), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     where = places(plan(counts)[0])
-    parts = max(1, sum(counts.values()) // PART_ROWS)
+    # a length that a hot group of copies has is dealt out over as many parts as an exchange has partitions
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(counts.values()) // PART_ROWS)
     dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = dealt.groupBy("length", "part").agg(F.count("*").alias("n")).select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -83,4 +83,16 @@ def oracle_sql() -> dict[str, str]:
                  g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
             SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
             FROM t JOIN g USING (norm)""",
+        # links by counting shared shingles, components by walking them
+        "op7_near_dedup": f"""
+            WITH RECURSIVE t AS (SELECT doc_id, [w FOR w IN regexp_split_to_array({LOWERED}, '[ \\t\\n\\x0B\\f\\r]+') IF w <> ''] AS ws FROM documents),
+                 s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct([array_to_string(ws[i : i + 4], ' ') FOR i IN range(1, len(ws) - 3)]) END AS sh FROM t),
+                 e AS MATERIALIZED (SELECT doc_id, unnest(sh) AS g FROM s),
+                 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+                 l AS MATERIALIZED (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * c >= 75 * (len(x.sh) + len(y.sh) - c)),
+                 n AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+                 r(doc_id, root) AS (SELECT doc_id, doc_id FROM s UNION SELECT n.b, r.root FROM r JOIN n ON n.a = r.doc_id),
+                 c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id),
+                 k AS (SELECT doc_id, CASE WHEN len(sh) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY list_sort(sh)) END AS class_id, len(sh)::BIGINT AS n_shingles FROM s)
+            SELECT doc_id, n_shingles, class_id, component_id, doc_id = component_id AS kept FROM k JOIN c USING (doc_id)""",
     }

@@ -6,11 +6,14 @@ has the states (last whole token, place in the vocabulary trie), reads a byte, a
 Its subsets are determinised on demand: a deterministic state is the set of live (token, trie place) pairs with
 their counts less the least of them, a transition carries that least count as its output, and the state's final
 output is the remaining count of the one path that ends with the pre-token. Compiled transitions are shared by all
-texts a worker reads. The pre-tokeniser is regular; a space before a non-space always starts a pre-token, whatever
-comes before, so there every chunk's state map is constant and chunks of any text compose by a prefix sum.
+texts a worker reads.
 
-`ChunkMap` is the general composition for cuts at any place: what is before a chunk's first such space and after its
-last one stays open, and two maps compose into one; `scan` reduces maps as a balanced tree, in any grouping.
+Texts are cut into chunks of `CHUNK` characters, anywhere, and each chunk is mapped by itself. The pre-tokeniser is
+regular; a space before a non-space always starts a pre-token, whatever comes before, so from a chunk's first such space
+to its last one the count is the same in any state, and the machine starts anew. What is before the first one continues
+the state that comes in, and what is after the last one is the state that goes out: a `ChunkMap` holds these two open
+texts and the count between them. Two maps compose into one, associatively; the maps of all texts of a slice are reduced
+by a parallel scan, level by level, all neighbouring pairs of a level at once, and a text's count is read from its last map.
 
 Defined results: null and empty texts have no tokens; the special token's string counts as one token, as the
 library does by default; texts are never truncated.
@@ -19,10 +22,10 @@ library does by default; texts are never truncated.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +41,7 @@ PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 CUT = regex.compile(r" (?=\S)")
 #: Words remembered and states kept by a worker; beyond, it starts anew.
 MEMO, STATES = 150_000, 200_000
-LIMIT, SLICE = 512, 2 << 20
+LIMIT, SLICE, CHUNK = 512, 1 << 20, 4096
 
 
 def vocabulary_path(name: str) -> str:
@@ -196,26 +199,22 @@ class Transducer:
                     owner.append(k)
         return np.bincount(np.array(owner, np.int64), self.run(parts), len(texts)).astype(np.int64) if parts else np.zeros(len(texts), np.int64)
 
+    def learn(self, words: Iterable[str]) -> None:
+        """Counts words that follow a cut, so that the memo has them."""
+        new = list(set(words).difference(self.memo))
+        self.memo.update(zip(new, self.pieces([" " + w for w in new]).tolist(), strict=True))
+
     def counts(self, texts: list[str]) -> list[int]:
         """Tokens of whole texts, special strings as one each."""
         specials = [t.count(SPECIAL) for t in texts]
         flat = [p for t in texts for p in t.split(SPECIAL)] if any(specials) else texts
-        split = []
-        for t in flat:
-            words = t.split(" ")
-            if not all(words) or any(w[0].isspace() for w in words):
-                words = CUT.split(t)
-            split.append(words)
         if len(self.sets) > STATES:
             self.reset()
         if len(self.memo) > MEMO:
             self.memo = {"": 0}
-        memo = self.memo
-        new = [w for w in set(chain.from_iterable(words[1:] for words in split)).difference(memo)]
-        memo.update(zip(new, self.pieces([" " + w for w in new]).tolist(), strict=True))
-        heads = self.pieces([words[0] for words in split]).tolist()
-        get = memo.__getitem__
-        sums = [h + sum(map(get, words[1:])) for h, words in zip(heads, split, strict=True)]
+        size = [max(1, -(-len(t) // CHUNK)) for t in flat]
+        maps = chunk_maps(self, [t[k * CHUNK : (k + 1) * CHUNK] for t, n in zip(flat, size, strict=True) for k in range(n)])
+        sums = totals(self, scan(self, maps, size))
         if flat is texts:
             return sums
         it = iter(sums)
@@ -224,21 +223,13 @@ class Transducer:
     def count(self, text: str) -> int:
         return self.counts([text])[0]
 
-    def piece(self, text: str) -> int:
-        return int(self.pieces([text])[0])
-
-    def count_from_cut(self, text: str) -> int:
-        """Tokens of a text that begins with a cut's space, or of no text."""
-        return int(self.pieces([" " + w for w in CUT.split(text)[1:]]).sum()) if text else 0
-
 
 @cache
 def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
-@dataclass(frozen=True)
-class ChunkMap:
+class ChunkMap(NamedTuple):
     """What a chunk does to the count: `head` and `tail` are open texts, `inner` is fixed; tail is None if no cut is inside."""
 
     head: str
@@ -246,39 +237,61 @@ class ChunkMap:
     tail: str | None
 
 
-def chunk_map(machine: Transducer, text: str) -> ChunkMap:
-    cuts = [m.start() for m in CUT.finditer(text)]
-    if not cuts:
-        return ChunkMap(text, 0, None)
-    return ChunkMap(text[: cuts[0]], machine.count_from_cut(text[cuts[0] : cuts[-1]]), text[cuts[-1] :])
-
-
-def compose(machine: Transducer, a: ChunkMap, b: ChunkMap) -> ChunkMap:
-    """The map of two neighbouring chunks; associative."""
-    joint = (a.head if a.tail is None else a.tail) + b.head
-    middle = chunk_map(machine, joint) if a.tail is None else None
-    if a.tail is None:
-        if middle.tail is None:
-            return ChunkMap(joint, b.inner, b.tail)
+def words_at_cuts(text: str) -> list[str]:
+    """The text before its first cut, then the words that cuts begin, without their space."""
+    words = text.split(" ")
+    return CUT.split(text) if not all(words) or any(w[0].isspace() for w in words) else words
+
+
+def chunk_maps(machine: Transducer, chunks: list[str]) -> list[ChunkMap]:
+    split = [words_at_cuts(c) for c in chunks]
+    machine.learn(chain.from_iterable(w[1:-1] for w in split))
+    get = machine.memo.__getitem__
+    return [ChunkMap(w[0], sum(map(get, w[1:-1])), " " + w[-1]) if len(w) > 1 else ChunkMap(w[0], 0, None) for w in split]
+
+
+def composed(machine: Transducer, pairs: list[tuple[ChunkMap, ChunkMap]]) -> list[ChunkMap]:
+    """The maps of neighbouring chunks, of many pairs at once; composition is associative."""
+    open_ = [(a.head if a.tail is None else a.tail) + b.head for a, b in pairs]
+    split = [words_at_cuts(t) for t in open_]
+    # a text that begins with a cut's space has nothing before it
+    fixed = [w[1:-1] if a.tail is None or b.tail is None else w[1:] for (a, b), w in zip(pairs, split, strict=True)]
+    machine.learn(chain.from_iterable(fixed))
+    get, out = machine.memo.__getitem__, []
+    for (a, b), joint, words, inner in zip(pairs, open_, split, fixed, strict=True):
+        if a.tail is None and len(words) == 1:
+            out.append(ChunkMap(joint, b.inner, b.tail))
+            continue
+        n = a.inner + b.inner + sum(map(get, inner))
         if b.tail is None:
-            return middle
-        return ChunkMap(middle.head, middle.inner + machine.count_from_cut(middle.tail) + b.inner, b.tail)
-    if b.tail is None:
-        cuts = [m.start() for m in CUT.finditer(joint)]
-        last = cuts[-1] if cuts else 0
-        return ChunkMap(a.head, a.inner + machine.count_from_cut(joint[:last]), joint[last:])
-    return ChunkMap(a.head, a.inner + machine.count_from_cut(joint) + b.inner, b.tail)
-
-
-def scan(machine: Transducer, maps: list[ChunkMap]) -> ChunkMap:
-    """A balanced reduction of the chunks' maps."""
-    while len(maps) > 1:
-        maps = [compose(machine, *maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
-    return maps[0]
-
-
-def total(machine: Transducer, m: ChunkMap) -> int:
-    return machine.piece(m.head) + m.inner + (machine.count_from_cut(m.tail) if m.tail else 0)
+            out.append(ChunkMap(words[0] if a.tail is None else a.head, n, " " + words[-1]))
+        elif a.tail is None:
+            machine.learn(words[-1:])
+            out.append(ChunkMap(words[0], n + get(words[-1]), b.tail))
+        else:
+            out.append(ChunkMap(a.head, n, b.tail))
+    return out
+
+
+def scan(machine: Transducer, maps: list[ChunkMap], size: list[int]) -> list[ChunkMap]:
+    """The maps of texts from those of their chunks (so many each, in order): a balanced reduction, a level at a time."""
+    rows, at = [], 0
+    for n in size:
+        rows.append(maps[at : at + n])
+        at += n
+    while any(len(r) > 1 for r in rows):
+        pairs = [(r[k], r[k + 1]) for r in rows for k in range(0, len(r) - 1, 2)]
+        done = iter(composed(machine, pairs))
+        rows = [[next(done) if k + 1 < len(r) else r[k] for k in range(0, len(r), 2)] for r in rows]
+    return [r[0] for r in rows]
+
+
+def totals(machine: Transducer, maps: list[ChunkMap]) -> list[int]:
+    """Tokens of texts: what was open at both ends ends there."""
+    tails = [words_at_cuts(m.tail)[1:] if m.tail else [] for m in maps]
+    machine.learn(chain.from_iterable(tails))
+    get = machine.memo.__getitem__
+    return [h + m.inner + sum(map(get, t)) for h, m, t in zip(machine.pieces([m.head for m in maps]).tolist(), maps, tails, strict=True)]
 
 
 def counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ from gridloom.llm.packing import END_ID, best_fit, dearest, pack_documents, plan
 from gridloom.llm.pii import KINDS, added_spans, base_spans, detector, examples, find_pii, redact
 from gridloom.llm.sharding import plan_cuts, shard_documents
 from gridloom.llm.substring_dedup import substring_dedup
-from gridloom.llm.token_counts import SPECIAL, chunk_map, scan, token_counts, total, transducer, vocabulary_path
+from gridloom.llm.token_counts import SPECIAL, chunk_maps, composed, scan, token_counts, totals, transducer, vocabulary_path
 from gridloom.llm.toxicity import toxicity
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, size int, h string, bucket string"
@@ -182,9 +182,17 @@ def test_token_counts(docs):
     samples = [(t or "") for t in TEXTS] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(800)] + [SPECIAL, f"a{SPECIAL} b"]
     machine = transducer(vocabulary_path("byte_bpe_50k.json"))
     assert machine.counts(samples) == [len(e.ids) for e in library.encode_batch(samples, add_special_tokens=False)]
+    # chunks of any size, in one reduction or composed from the right, give the count of the whole
     for t in (s[:300] for s in samples[::7] if SPECIAL not in s and s):
         k = rng.randint(1, 9)
-        assert total(machine, scan(machine, [chunk_map(machine, t[i : i + k]) for i in range(0, len(t), k)])) == machine.count(t)
+        chunks = [t[i : i + k] for i in range(0, len(t), k)]
+        whole = [len(library.encode(t, add_special_tokens=False).ids)]
+        maps = chunk_maps(machine, chunks)
+        assert totals(machine, scan(machine, maps, [len(maps)])) == whole
+        one = maps[-1]
+        for m in reversed(maps[:-1]):
+            one = composed(machine, [(m, one)])[0]
+        assert totals(machine, [one]) == whole
     got = by_id(token_counts(docs))
     assert got[0].n_tokens == 0 and got[3].n_bytes == 3 and got[7].over_limit
 
