@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,16 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom import session
 from gridloom.llm.kernels import slices
+from gridloom.session import drop_scratch as drop_scratch
+from gridloom.session import read_table as read_table
 
 BATCH_BYTES, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def bound_batches(spark: SparkSession) -> None:
     """Arrow batches of at most `ARROW_BYTES`, unless the session asks for less: 10,000 long texts at once would take
     hundreds of MB in the JVM's buffers and in the workers."""
@@ -38,16 +36,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of our own only where none is named and all run in one process."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "/tmp/gridloom-scratch"
-    return root
-
-
 def scratch_table(df: DataFrame, name: str, fold: int = 1) -> DataFrame:
     """Cuts lineage with a table written to shared storage: a lost executor re-reads it, nothing before it runs again.
 
@@ -55,9 +43,7 @@ def scratch_table(df: DataFrame, name: str, fold: int = 1) -> DataFrame:
     """
     if fold > 1:
         df = df.coalesce(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // fold))
-    path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/gridloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return session.scratch_table(df, name)
 
 
 def shuffle_width(df: DataFrame, bytes_each: int = 16 << 20) -> int:

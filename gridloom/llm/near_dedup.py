@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import kernels as K
-from gridloom.llm.common import keep_one_each, scratch_table, shuffle_width, text_rows
+from gridloom.llm.common import drop_scratch, keep_one_each, scratch_table, shuffle_width, text_rows
 from gridloom.llm.components import FOLD, connected_components
 
 SHINGLE, BANDS, ROWS, BATCH, MISS = 5, 40, 5, 25, 1e-6
@@ -401,6 +401,7 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = of_class.groupBy("component").agg(F.min("stands").alias("first"))
     # a table of its own, so that a hot class's rows can be split in the join that follows
     named = scratch_table(of_class.join(first, "component"), "named")
+    drop_scratch(found, links, classes)
     out = sketches.select("doc_id", "text_hash", *SET).join(named, SET, "left")
     return out.select("doc_id", "text_hash", "n_shingles", F.coalesce("stands.doc_id", "doc_id").alias("class_id"), F.coalesce("first.doc_id", "doc_id").alias("component_id"), "component", F.col("first").alias("stands")), repeated
 
