@@ -139,3 +139,62 @@ def test_lm_scoring_trains_on_every_token():
         batches = [pa.RecordBatch.from_arrays([pa.array([0]), pa.array([t])], names=["doc_id", "text"]) for t in texts]
         seen = [lm.train(lm.tokenised(iter(batches)), lm.start(prior, shares), paths, turn)[-1] for turn in range(lm.PASSES)]
         assert sum(seen) == sum(len(t.split()) for t in texts)
+
+
+def test_decontamination_retrieves_synonyms_in_a_space_below_the_items_rank(spark):
+    """Words that keep the same company share directions: a paraphrase lies nearer to its item than by words alone."""
+    draw = random.Random(8)
+    topics = [[f"t{k}w{j}" for j in range(14)] for k in range(40)]
+    twin = {w: w.replace("w", "s") for t in topics for w in t}
+    items = [[draw.choice(topics[k]) for _ in range(24)] for k in range(40)]
+    said = [[w if draw.random() < 0.66 or j >= 20 else twin[w] for j, w in enumerate(i)] for i in items]
+    texts = [" ".join(draw.choice([w, twin[w]]) for w in (draw.choice(topics[n % 40]) for _ in range(48))) for n in range(800)]
+    far = [[draw.choice(WORDS) for _ in range(30)] for _ in items]
+    rows = [*enumerate(texts), *((2000 + k, " ".join(far[k] + s + far[-k])) for k, s in enumerate(said))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = [(k, " ".join(i[:20]) + ". " + " ".join(i[20:])) for k, i in enumerate(items)]
+    index = leaks.build_index(docs, bench)
+    assert index.basis.shape[1] == 30 < len(items)
+    gram = index.basis[:-1].T @ index.basis[:-1]
+    assert np.abs(gram - np.eye(30)).max() < 1e-3
+    nearer = 0
+    for k, (i, s) in enumerate(zip(items, said, strict=True)):
+        a, b = (index.terms.numbers(leaks.hashed([" ".join(x)])[0]) for x in (i, s))
+        assert (b >= 0).all()
+        x, y = (np.bincount(t, index.weight[t], index.terms.n) for t in (a, b))
+        plain = x @ y / np.linalg.norm(x) / np.linalg.norm(y)
+        place = index.ids.index(k)
+        near = leaks.cosines(b[None].astype(np.int64), index.weight, index.basis, index.latent[place])[0]
+        nearer += near > plain + 0.05
+    assert nearer >= 36
+    got = {r.doc_id: r for r in leaks.decontaminate(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    for k, s in enumerate(said):
+        share = subsequence(items[k], s) / 24
+        assert got[2000 + k].contaminated or share < leaks.PARAPHRASED
+
+
+def test_decontamination_recall_against_brute_force(spark):
+    """Spoilt copies among words of the same vocabulary: the index finds what a full comparison finds."""
+    draw = random.Random(3)
+    words = WORDS[:1500]
+    items = [[draw.choice(words) for _ in range(draw.randint(15, 50))] for _ in range(150)]
+    rows = []
+    for k in range(600):
+        own = list(items[k % 150])
+        for at in draw.sample(range(len(own)), int(len(own) * draw.choice([0, 0.1, 0.2, 0.3, 0.38]))):
+            own[at] = draw.choice(words)
+        rows.append((k, " ".join([draw.choice(words) for _ in range(80)] + own + [draw.choice(words) for _ in range(80)])))
+    got = {r.doc_id: r for r in decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")).collect()}
+    true = {k: subsequence(items[k % 150], t.split()[80:-80]) / len(items[k % 150]) for k, t in rows}
+    found = [k for k in true if got[k].subsequence >= true[k] - 1e-9]
+    assert len(found) >= 0.98 * len(rows)
+    assert all(got[k].contaminated for k in found if true[k] >= leaks.COPIED)
+
+
+def test_decontamination_short_and_unnamed_items_and_ties(spark):
+    docs = spark.createDataFrame([(1, "we say yes indeed here"), (2, "nothing at all"), (3, prose(30)), (4, None)], "doc_id long, text string")
+    item = docs.where("doc_id = 3").first().text
+    bench = spark.createDataFrame([(9, item), (5, item), (None, item), (None, "yes indeed"), (8, "Yes, indeed!"), (7, "")], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate(docs, bench).collect()}
+    assert (got[1].contaminated, got[1].item_id) == (True, 8) and (got[3].contaminated, got[3].item_id) == (True, 5)
+    assert not got[2].contaminated and not got[4].contaminated and got[4].item_id is None
