@@ -529,7 +529,7 @@ def greedy_optimal_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {G.VOCAB_ORACLE}, t AS (SELECT conv_id, turn, role, upper(regexp_extract(text, '^[^A-Za-z]*([A-Za-z]+)', 1)) AS first, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reply FROM conversations),
-    w AS (SELECT role, first, length(first) = 5 AS parsed, lower(first) IN (SELECT word FROM vocab) AS legal, position(first IN upper(coalesce(reply, ''))) > 0 AND first <> '' AS copied FROM t)
+    w AS (SELECT role, first, length(first) = 5 AS parsed, lower(first) IN (SELECT word FROM vocab) AS legal, position(lower(first) IN lower(coalesce(reply, ''))) > 0 AND first <> '' AS copied FROM t)
     SELECT role, count(*) AS texts, round(100.0 * count(*) FILTER (WHERE parsed) / count(*), 4) AS parsed_pct, round(100.0 * count(*) FILTER (WHERE legal) / count(*), 4) AS legal_pct, round(100.0 * count(*) FILTER (WHERE copied) / count(*), 4) AS copied_pct FROM w GROUP BY role""")
 def format_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts whose first word could be a move, is a legal one, and comes back in the reply."""
@@ -537,7 +537,7 @@ def format_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = c.select("role", F.upper(F.coalesce(F.regexp_extract("text", "^[^A-Za-z]*([A-Za-z]+)", 1), F.lit(""))).alias("first"), "reply")
     legal = G.table(spark, sf_dir, "vocab").select(F.upper("word").alias("first"), F.lit(True).alias("legal"))
     w = w.join(F.broadcast(legal), "first", "left")  # MOST_WORDS rows at most
-    copied = (F.col("first") != "") & F.upper(F.coalesce("reply", F.lit(""))).contains(F.col("first"))
+    copied = (F.col("first") != "") & F.lower(F.coalesce("reply", F.lit(""))).contains(F.lower("first"))
     pct = lambda cond, name: F.round(F.lit(100.0) * F.count_if(cond) / F.count("*"), 4).alias(name)
     return w.groupBy("role").agg(F.count("*").alias("texts"), pct(F.length("first") == 5, "parsed_pct"), pct(F.col("legal").isNotNull(), "legal_pct"), pct(copied, "copied_pct"))
 
