@@ -10,7 +10,11 @@ so a repeat that spans two reference blocks is not missed. All words of factors
 Exchange: one row for each slice of the input and bucket, with hashes and positions as packed arrays. Before it, a
 slice settles its own repeats: of equal windows only those of the slice's smallest document are asked about, so a
 passage that a third of all documents hold arrives once a slice. A window is known by a 64-bit hash of all its words; equal
-anchors don't weaken it.
+anchors don't weaken it, so two different windows among n are taken for equal with probability n^2 / 2^65.
+
+Around a line that many documents hold, many different windows share an anchor. Anchors are counted first, over all
+documents (those that occur `LOCAL` times in a slice at least); those of `HOT` windows and more, or of a 65,536th of all
+if that is more, are dealt out window by window, by the window's own hash. So no bucket follows one line.
 
 Defined results: null and empty texts have no words; rows with equal doc_id never remove each other's words; a
 repeated row gets the same result each time; a null doc_id is neither judged nor a reference.
@@ -27,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import kernels as K
-from gridloom.llm.common import shuffle_width, text_rows
+from gridloom.llm.common import drop_scratch, scratch_table, shuffle_width, text_rows
 
 WINDOW, GRAM = 13, 5
-SLICE = 4 << 20
+SLICE, LOCAL, HOT, MOST_HOT = 4 << 20, 16, 100_000, 1 << 16
 U64 = np.uint64
 PACK = "bucket long, own boolean, docs binary, tags binary, row binary, start binary, size binary, window binary"
 PACK_ARROW = pa.schema([("bucket", pa.int64()), ("own", pa.bool_()), *((k, pa.binary()) for k in ("docs", "tags", "row", "start", "size", "window"))])
@@ -60,7 +64,30 @@ def least_by_key(key: np.ndarray, value: np.ndarray) -> np.ndarray:
     return out
 
 
-def packs(batch: pa.RecordBatch, buckets: int) -> Iterator[dict]:
+def anchor_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows by anchor in each slice, of anchors that occur often in it; an anchor of null counts all windows."""
+    for batch in batches:
+        for part in K.slices(batch, "text", SLICE):
+            starts, ends, first = K.spans(*(x := K.buffers(part.column(1))))
+            words = K.word_hashes(x[0], starts, ends)
+            row = np.repeat(np.arange(part.num_rows), np.diff(first))
+            whole = np.flatnonzero(np.arange(len(words)) + WINDOW <= first[1:][row])
+            anchor, n = np.unique(K.sliding_min(K.grams(words, GRAM), WINDOW - GRAM + 1)[whole], return_counts=True) if len(whole) else (np.zeros(0, U64), np.zeros(0, np.int64))
+            often = n >= LOCAL
+            yield pa.RecordBatch.from_arrays([pa.array([None, *anchor[often].view(np.int64).tolist()], pa.int64()), pa.array([len(whole), *n[often].tolist()], pa.int64())], names=["anchor", "n"])
+
+
+def hot_anchors(rows: DataFrame) -> np.ndarray:
+    """Sorted; MOST_HOT at most, as each holds so large a share of all windows."""
+    counts = scratch_table(rows.mapInArrow(anchor_counts, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")), "anchors", 4)
+    total = counts.where("anchor is null").first()
+    least = max(HOT, (total["n"] if total else 0) // MOST_HOT)
+    hot = np.array([r["anchor"] for r in counts.where(F.col("anchor").isNotNull() & (F.col("n") >= least)).collect()], np.int64).view(U64)
+    drop_scratch(counts)
+    return np.sort(hot)
+
+
+def packs(batch: pa.RecordBatch, buckets: int, hot: np.ndarray) -> Iterator[dict]:
     """The blocks of a slice: what it can settle itself (own) by document, what the index must answer by anchor."""
     ids = batch.column(0).to_numpy(zero_copy_only=False)
     tags = batch.column(2).to_numpy(zero_copy_only=False)
@@ -69,12 +96,16 @@ def packs(batch: pa.RecordBatch, buckets: int) -> Iterator[dict]:
         return
     doc = ids[row]
     settled = doc > least_by_key(window, doc)
+    spread = np.zeros(len(row), bool)
+    if len(hot):
+        spread = (hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor) & ~settled
     edge = np.ones(len(row), bool)
-    edge[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1) | (settled[1:] != settled[:-1]) | ((anchor[1:] != anchor[:-1]) & ~settled[1:])
+    edge[1:] = spread[1:] | spread[:-1] | (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1) | (settled[1:] != settled[:-1]) | ((anchor[1:] != anchor[:-1]) & ~settled[1:])
     head = np.flatnonzero(edge)
     size = np.diff(np.append(head, len(row)))
     own = settled[head]
-    bucket = np.where(own, row[head], (anchor[head] & U64(0xFFFFFF)).astype(np.int64)) % buckets
+    by = np.where(spread[head], window[head] >> U64(8), anchor[head])
+    bucket = np.where(own, row[head], (by & U64(0xFFFFFF)).astype(np.int64)) % buckets
     order = np.lexsort((head, own, bucket))
     cuts = K.group_starts(bucket[order] * 2 + own[order])
     for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
@@ -89,10 +120,10 @@ def packs(batch: pa.RecordBatch, buckets: int) -> Iterator[dict]:
         }
 
 
-def pack_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def pack_rows(batches: Iterator[pa.RecordBatch], buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in K.slices(batch, "text", SLICE):
-            rows = list(packs(part, buckets))
+            rows = list(packs(part, buckets, hot))
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=PACK_ARROW)
 
@@ -164,7 +195,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tag = (F.xxhash64("text").bitwiseAND(0x7FFFFFFF)).alias("tag")
     rows = text_rows(docs, id_col, text_col).select("doc_id", "text", tag)
     buckets = shuffle_width(docs)
-    index = rows.where("doc_id is not null").mapInArrow(lambda it: pack_rows(it, buckets), PACK)
+    named = rows.where("doc_id is not null")
+    hot = hot_anchors(named)
+    index = named.mapInArrow(lambda it: pack_rows(it, buckets, hot), PACK)
     found = index.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(look_up, FOUND)
     found = found.groupBy("doc_id", "tag").agg(F.collect_list("run").alias("found"))
     joined = rows.join(found, ["doc_id", "tag"], "left").select("doc_id", "text", "found")

@@ -10,6 +10,7 @@ import pyarrow as pa
 from gridloom.llm import decontamination as leaks
 from gridloom.llm import kernels as K
 from gridloom.llm import lm_scoring as lm
+from gridloom.llm import substring_dedup as sub
 from gridloom.llm.decontamination import decontaminate
 from gridloom.llm.substring_dedup import substring_dedup, windows
 
@@ -198,3 +199,29 @@ def test_decontamination_short_and_unnamed_items_and_ties(spark):
     got = {r.doc_id: r for r in decontaminate(docs, bench).collect()}
     assert (got[1].contaminated, got[1].item_id) == (True, 8) and (got[3].contaminated, got[3].item_id) == (True, 5)
     assert not got[2].contaminated and not got[4].contaminated and got[4].item_id is None
+
+
+def test_substring_dedup_deals_a_hot_anchor_by_windows(spark, monkeypatch):
+    """500,000 different windows around one line that 62,500 documents hold: nothing is removed, and no bucket gets them all."""
+    draw = np.random.Generator(np.random.PCG64(12))
+    grams = [" ".join(g) for g in draw.choice(WORDS, (200_000, 5))]
+    data, offs = K.buffers(pa.array(grams))
+    starts, ends, _ = K.spans(data, offs)
+    line = grams[int(K.grams(K.word_hashes(data, starts, ends), 5)[::5].argmin())]
+    # 7 own words on either side: 7 windows a document hold the line, all of them different
+    around = draw.choice(WORDS, (72_000, 14)).tolist()
+    texts = [f"{k}a {' '.join(w[:7])} {line} {' '.join(w[7:])} {k}z" for k, w in enumerate(around)]
+    rows = spark.createDataFrame(pa.table({"doc_id": list(range(len(texts))), "text": texts}).to_pandas()).repartition(4)
+    named = rows.select("doc_id", "text")
+    hot = sub.hot_anchors(named)
+    assert len(hot) >= 1
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(texts[:2000]), pa.array([0] * 2000)], names=["doc_id", "text", "tag"])
+    sizes = np.zeros(16)
+    for r in sub.packs(batch, 16, hot):
+        sizes[r["bucket"]] += len(r["window"])
+    assert sizes.max() < 1.3 * sizes.mean()
+    got = substring_dedup(rows)
+    assert got.where("n_removed > 0").count() == 0
+    copies = rows.where("doc_id < 50").selectExpr("doc_id + 100000 AS doc_id", "text")
+    got = substring_dedup(rows.unionByName(copies))
+    assert got.where("n_removed > 0").select("doc_id").distinct().count() == 50 and got.where("n_removed > 0 AND n_removed < n_words").count() == 0
