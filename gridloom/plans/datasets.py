@@ -74,7 +74,6 @@ TASK = f"SELECT state, guess, sumsq, n, CAST(row_number() OVER (PARTITION BY sta
 same("action_tasks", f"SELECT state, place, guess, sumsq, best, worst_value - best AS spread, n_actions FROM ({TASK}) t WHERE place <= 48 AND worst_value > best")
 same("task_audit", f"SELECT count(*) AS tasks, CAST(sum(CASE WHEN n_best < 1 THEN 1 ELSE 0 END) AS BIGINT) AS without_best, CAST(sum(CASE WHEN words <> rows_ THEN 1 ELSE 0 END) AS BIGINT) AS repeated_actions, CAST(sum(CASE WHEN low < n THEN 1 ELSE 0 END) AS BIGINT) AS impossible_values FROM (SELECT state, max(n) AS n, min(sumsq) AS low, count(*) AS rows_, count(DISTINCT guess) AS words, sum(CASE WHEN sumsq = best THEN 1 ELSE 0 END) AS n_best FROM ({TASK}) t GROUP BY state) a")
 same("pairs_competitive", f"SELECT c.state, c.guess AS chosen, r.guess AS rejected, round((r.sumsq - c.sumsq) * 1.0e0 / c.sumsq, 6) AS relative_gap FROM ({TASK}) c JOIN (SELECT *, row_number() OVER (PARTITION BY state ORDER BY sumsq, guess) AS rn FROM ({TASK}) t WHERE sumsq >= best * 1.05e0 AND sumsq <= best * 1.2e0) r ON r.state = c.state AND r.rn = 1 WHERE c.place = 1")
-same("pair_audit", f"SELECT count(*) AS pairs, CAST(sum(CASE WHEN r.sumsq <= c.sumsq THEN 1 ELSE 0 END) AS BIGINT) AS backwards, CAST(sum(CASE WHEN r.guess = c.guess THEN 1 ELSE 0 END) AS BIGINT) AS same_word FROM ({TASK}) c JOIN ({TASK}) r ON r.state = c.state WHERE c.place = 1 AND r.sumsq > r.best")
 same("regret_budget", f"SELECT CASE WHEN n <= 10 THEN '2-10' WHEN n <= 100 THEN '11-100' ELSE '100+' END AS band, count(*) AS decisions, round(avg((sumsq - best) * 1.0e0 / n), 6) AS mean_regret, round(max((sumsq - best) * 1.0e0 / n), 6) AS max_regret FROM ({TASK}) t GROUP BY 1")
 same("trajectory_audit", f"SELECT count(*) AS steps, CAST(sum(CASE WHEN v.word IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS illegal, CAST(sum(CASE WHEN f.code <> g.code THEN 1 ELSE 0 END) AS BIGINT) AS wrong_feedback, CAST(sum(CASE WHEN g.guess = g.answer AND g.code <> {ALL_RIGHT} THEN 1 ELSE 0 END) AS BIGINT) AS unmarked_wins, CAST(sum(CASE WHEN g.n_before < 1 THEN 1 ELSE 0 END) AS BIGINT) AS empty_states FROM games_expected g LEFT JOIN vocab v ON v.word = g.guess LEFT JOIN fb f ON f.guess = g.guess AND f.answer = g.answer", "expected")
 same("recount_audit", "SELECT count(*) AS states, CAST(sum(CASE WHEN n_before <> k THEN 1 ELSE 0 END) AS BIGINT) AS violations FROM (SELECT state, max(n_before) AS n_before, count(*) AS k FROM games_expected GROUP BY state) s", "expected")
@@ -129,12 +128,6 @@ def constrained_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.where("ok OR n_ok = 0").groupBy("state").agg(F.max_by("word", F.struct("score", -F.col("word"))).alias("word"), how.alias("how"))
 
 
-@query(f"SELECT count(*) AS n, round(max(abs(score - kept)), 6) AS max_deviation, corr(score, kept) > 0.999 AS agrees FROM (SELECT score, round(score, 3) AS kept FROM {SCORED})")
-def scorer_self_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = scored(spark, sf_dir).withColumn("kept", F.round("score", 3))
-    return x.agg(F.count("*").alias("n"), F.round(F.max(F.abs(F.col("score") - F.col("kept"))), 6).alias("max_deviation"), (F.corr("score", "kept") > 0.999).alias("agrees"))
-
-
 @query(r"""WITH t AS (SELECT conv_id, turn, len(list_filter(regexp_split_to_array(prompt, '[ \t\n\r]+'), lambda w: w <> '')) AS p, len(list_filter(regexp_split_to_array(completion, '[ \t\n\r]+'), lambda w: w <> '')) AS c FROM (""" + NEXT + r""") WHERE role = 'user' AND next_role = 'assistant')
     SELECT conv_id, turn, CAST(least(p + c, 64) AS BIGINT) AS length, CAST(greatest(least(p, 64 - c), 0) AS BIGINT) AS masked, CAST(greatest(p + c - 64, 0) AS BIGINT) AS cut FROM t""")
 def collate_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:

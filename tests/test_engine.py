@@ -10,7 +10,7 @@ import pytest
 
 from gridloom.functions.feedback import code_to_pattern, feedback_code, letters, pattern_to_code
 from gridloom.functions.hashing import split_of
-from gridloom.plans import datasets, lists, records  # noqa: F401  (register their queries)
+from gridloom.plans import datasets, lists, packages, records  # noqa: F401  (register their queries)
 from gridloom.plans.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -58,7 +58,7 @@ def test_split_share(spark):
     assert 400 < n < 600
 
 
-FAST = [n for n in ORACLES if not n.startswith(("solver_games", "tiebreak", "policy_adaptive", "policy_expert", "policy_rollout"))] + ["solver_games_expected", "solver_games_frequency"]
+FAST = [n for n in ORACLES if not n.startswith(("solver_games", "tiebreak", "policy_adaptive", "policy_expert", "policy_rollout", "threshold_control", "list_games"))] + ["solver_games_expected", "solver_games_frequency", "list_games_full", "list_games_rollout"]
 
 
 @pytest.fixture(scope="session")
@@ -80,3 +80,19 @@ def test_oracle(spark, duck, name):
     at = [theirs.columns.index(c) for c in cols]
     b = sorted((tuple(plain_value(r[k]) for k in at) for r in theirs.fetchall()), key=str)
     assert a == b
+
+
+def test_audits_find_planted_faults_and_nothing_else(spark):
+    """On the records as they are every check counts 0; on the copies with faults each kind of fault is found."""
+    rows = {r.tab: r.asDict() for r in QUERIES["record_audit"](spark, DATA).collect()}
+    checks = ("wrong_count", "leaks", "wrong_turn", "illegal", "repeated_ids", "contradictory")
+    assert all(rows["clean"][c] == 0 for c in (*checks, "wrong_history", "other_preamble", "negative_gain"))
+    assert all(rows["planted"][c] > 0 for c in checks)
+    rows = {r.tab: r.asDict() for r in QUERIES["prompt_recount"](spark, DATA).collect()}
+    assert rows["clean"]["wrong"] == 0 < rows["planted"]["wrong"]
+    rows = {r.tab: r.asDict() for r in QUERIES["pair_deep_audit"](spark, DATA).collect()}
+    checks = ("backwards", "same_word", "chosen_not_best", "wrong_gap", "wrong_rank")
+    assert all(rows["clean"][c] == 0 for c in (*checks, "wrong_actions", "not_next_tier")) and all(rows["planted"][c] > 0 for c in checks)
+    rows = {r.tab: r.asDict() for r in QUERIES["task_table_audit"](spark, DATA).collect()}
+    assert rows["clean"]["wrong_cost"] == rows["clean"]["unknown"] == rows["clean"]["illegal"] == 0 < rows["planted"]["wrong_cost"]
+    assert all(r.unparsed == r.wrong_turn == r.not_round == 0 for r in QUERIES["prompt_round_trip"](spark, DATA).collect())
