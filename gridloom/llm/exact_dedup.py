@@ -1,7 +1,8 @@
 """Exact dedup by content-defined chunk recipes, in DataFrame functions only.
 
-A normalised text is cut where its content says (a sentence end after at least `CHUNK_MIN` characters, at
-most `CHUNK_MAX`), so a chunk is a short identifier that any document can share. The chunk dictionary verifies
+A normalised text is cut where its content says: at a sentence end after `CHUNK_MIN` characters or more; where
+`CHUNK_MID` hold none, after a rare ending of a word; and at `CHUNK_MAX` at the latest. So cuts fall in with each other
+again after a difference, and a chunk is a short identifier that any document can share. The chunk dictionary verifies
 identifiers: one that stands for two different second hashes is ambiguous, and documents that hold it are told
 apart by the digest of their whole text. Texts are equal when their ordered identifier lists are. Only recipes
 (8 bytes a chunk) are shuffled; a text is read once and never moved.
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import ascii_lower, keep_one_each, scratch_table, text_rows
 
-CHUNK_MIN, CHUNK_MAX = 512, 8192
-CHUNK = rf"(?s).{{{CHUNK_MIN},{CHUNK_MAX}}}?[.!?\n]\s|.{{1,{CHUNK_MAX}}}"
+CHUNK_MIN, CHUNK_MID, CHUNK_MAX = 512, 4096, 8192
+CHUNK = rf"(?s).{{{CHUNK_MIN},{CHUNK_MID}}}?(?:[.!?\n]\s|[。！？])|.{{{CHUNK_MIN},{CHUNK_MAX}}}?[bdglr][aeiou][mnrst]\P{{L}}|.{{1,{CHUNK_MAX}}}"
 
 
 def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 
 from gridloom.llm import toxicity as tox
 from gridloom.llm.common import keep_rows
-from gridloom.llm.exact_dedup import exact_dedup
+from gridloom.llm.exact_dedup import exact_dedup, recipes
 from gridloom.llm.lm_scoring import lm_scores
 from gridloom.llm.packing import pack_documents
 from gridloom.llm.pii import base_spans, find_pii
@@ -104,3 +104,14 @@ def test_toxic_misspellings_in_other_scripts_share_grams():
 def test_kept_rows_have_all_their_columns(spark):
     docs = spark.createDataFrame([(1, "a", "p", 1.5, [1, 2]), (2, None, None, None, None)], "doc_id long, text string, name string, judge double, names array<int>")
     assert keep_rows(docs, lambda b: np.array([True] * b.num_rows), 1 << 10).collect() == docs.collect()
+
+
+def test_chunks_fall_in_again_after_a_difference(spark):
+    """With and without sentence ends: two texts that differ near their start share most of their chunks."""
+    for end in (". ", " "):
+        text = end.join(prose(9) for _ in range(900))
+        docs = spark.createDataFrame([(1, text), (2, "something else before it " + text)], "doc_id long, text string")
+        a, b = (r.recipe for r in recipes(docs).orderBy("doc_id").collect())
+        assert len(a) > 8 and len(set(a) & set(b)) >= 0.8 * len(a)
+    one = spark.createDataFrame([(1, "x" * 30_000)], "doc_id long, text string")
+    assert recipes(one).first().n_bytes == 30_000 and len(recipes(one).first().recipe) == 4
