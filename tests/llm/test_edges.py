@@ -115,3 +115,26 @@ def test_chunks_fall_in_again_after_a_difference(spark):
         assert len(a) > 8 and len(set(a) & set(b)) >= 0.8 * len(a)
     one = spark.createDataFrame([(1, "x" * 30_000)], "doc_id long, text string")
     assert recipes(one).first().n_bytes == 30_000 and len(recipes(one).first().recipe) == 4
+
+
+def test_toxicity_scores_against_plain_loops():
+    """The same folded model, text by text, window by window, gram by gram."""
+    draw = np.random.Generator(np.random.PCG64(2))
+    value, shift, a, b = draw.normal(0, 1, tox.BUCKETS).astype(np.float32), 0.2, 1.5, -0.3
+
+    def bucket(gram: str) -> int:
+        h = len(gram) * 0x9E3779B1 & 0xFFFFFFFF
+        for c in gram:
+            h = ((h ^ ord(c)) * 16777619) & 0xFFFFFFFF
+        return (h ^ h >> 15) & (tox.BUCKETS - 1)
+
+    def plain(text: str) -> float:
+        words = text.lower().split()
+        most = 0.0 if not words else -np.inf
+        for k in range(0, len(words), tox.WORDS):
+            held = [value[bucket(f" {w} "[i : i + n])] for w in words[k : k + tox.WORDS] for n in tox.SIZES for i in range(len(w) + 3 - n)]
+            most = max(most, float(np.mean(held)) if held else 0.0)
+        return 1 / (1 + np.exp(-(a * (most + shift) + b)))
+
+    texts = ["", "One two", "ÉCOLE d'été", prose(40), f"a {prose(25)} i", "x " * 30, "\n\t ", prose(13), "Дурак и др."]
+    assert tox.score(texts, (value, shift, a, b)) == pytest.approx([plain(t) for t in texts], abs=1e-5)
