@@ -49,11 +49,24 @@ STATS_SQL = f"""SELECT state, guess, CAST(sum(k * k) AS BIGINT) AS sumsq, max(k)
     FROM (SELECT al.state, f.guess, f.code, count(*) AS k FROM {{alive}} al JOIN {{fb}} f ON f.answer = al.answer GROUP BY al.state, f.guess, f.code) b GROUP BY state, guess"""
 
 
+#: The same over given rows of state, guess and code.
+STATS_OF = STATS_SQL.replace("FROM {alive} al JOIN {fb} f ON f.answer = al.answer GROUP BY al.state, f.guess, f.code", "FROM ({pairs}) p GROUP BY state, guess, code").replace("al.state, f.guess, f.code", "state, guess, code")
+
+
+def scored_pairs(turn: int, alive: str, fb: str, wide: bool = True) -> str:
+    """state, guess, code of what a turn has to score: every guess where it may be made, else the candidates alone."""
+    sized = f"(SELECT answer, state, count(*) OVER (PARTITION BY state) AS n_alive FROM {alive})"
+    own = f"SELECT w.state, f.guess, f.code FROM {sized} w JOIN {alive} c ON c.state = w.state JOIN {fb} f ON f.guess = c.answer AND f.answer = w.answer"
+    if not wide or turn >= TURNS:
+        return own
+    return f"SELECT w.state, f.guess, f.code FROM {sized} w JOIN {fb} f ON f.answer = w.answer WHERE w.n_alive > {ENDGAME} UNION ALL {own} WHERE w.n_alive <= {ENDGAME}"
+
+
 def turn_sql(turn: int, rule: str, alive: str, fb: str = "fb", scores: str = "fscores", spark: bool = True) -> str:
     """answer, turn, guess, code, n_before, state of every game still running."""
     order = {**RULES, **{f"tie{k}": v for k, v in TIEBREAKS.items()}}[rule].format(sha="sha2" if spark else "sha256", bits=", 256" if spark else "")
     pool = "isc = 1" if rule in CANDIDATES_ONLY else f"isc = 1 OR (n > {ENDGAME} AND {turn} < {TURNS})"
-    stats = STATS_SQL.format(alive=alive, fb=fb)
+    stats = STATS_OF.format(pairs=scored_pairs(turn, alive, fb, rule not in CANDIDATES_ONLY))
     if rule == "frequency":
         stats = f"SELECT s.*, fs.fscore FROM ({stats}) s JOIN {scores} fs ON fs.guess = s.guess"
     order = order.replace("turn_no", str(turn))
