@@ -53,25 +53,37 @@ STATS_SQL = f"""SELECT state, guess, CAST(sum(k * k) AS BIGINT) AS sumsq, max(k)
 STATS_OF = STATS_SQL.replace("FROM {alive} al JOIN {fb} f ON f.answer = al.answer GROUP BY al.state, f.guess, f.code", "FROM ({pairs}) p GROUP BY state, guess, code").replace("al.state, f.guess, f.code", "state, guess, code")
 
 
-def scored_pairs(turn: int, alive: str, fb: str, wide: bool = True) -> str:
-    """state, guess, code of what a turn has to score: every guess where it may be made, else the candidates alone."""
+def scored_stats(turn: int, alive: str, fb: str, wide: bool = True) -> str:
+    """Statistics of what a turn has to score: every guess where it may be made, else the candidates alone.
+
+    The two are aggregated apart, so that where the table of pairs is partitioned by guess, nothing of the first moves.
+    Only the first reads that table; codes of few pairs are computed.
+    """
     sized = f"(SELECT answer, state, count(*) OVER (PARTITION BY state) AS n_alive FROM {alive})"
-    own = f"SELECT w.state, f.guess, f.code FROM {sized} w JOIN {alive} c ON c.state = w.state JOIN {fb} f ON f.guess = c.answer AND f.answer = w.answer"
+    own = f"SELECT state, guess, CAST({feedback_code()} AS INT) AS code FROM (SELECT w.state, c.answer AS guess, {letters('c.answer', 'g')}, {letters('w.answer', 'a')} FROM {sized} w JOIN {alive} c ON c.state = w.state{{few}}) o"
     if not wide or turn >= TURNS:
-        return own
-    return f"SELECT w.state, f.guess, f.code FROM {sized} w JOIN {fb} f ON f.answer = w.answer WHERE w.n_alive > {ENDGAME} UNION ALL {own} WHERE w.n_alive <= {ENDGAME}"
+        return STATS_OF.format(pairs=own.format(few=""))
+    every = f"SELECT w.state, f.guess, f.code FROM {sized} w JOIN {fb} f ON f.answer = w.answer WHERE w.n_alive > {ENDGAME}"
+    return STATS_OF.format(pairs=every) + " UNION ALL " + STATS_OF.format(pairs=own.format(few=f" WHERE w.n_alive <= {ENDGAME}"))
+
+
+def played_sql(turn: int, alive: str, choice: str, *more: str) -> str:
+    """Every running game with its state's choice (state, guess, n and more columns) and the feedback to it."""
+    named = "".join(f", {c}" for c in more)
+    each = f"SELECT al.answer, c.guess, c.n AS n_before, al.state{''.join(f', c.{c}' for c in more)}, {letters('c.guess', 'g')}, {letters('al.answer', 'a')} FROM {alive} al JOIN ({choice}) c ON c.state = al.state"
+    return f"SELECT answer, {turn} AS turn, guess, CAST({feedback_code()} AS INT) AS code, n_before{named}, state FROM ({each}) y"
 
 
 def turn_sql(turn: int, rule: str, alive: str, fb: str = "fb", scores: str = "fscores", spark: bool = True) -> str:
     """answer, turn, guess, code, n_before, state of every game still running."""
     order = {**RULES, **{f"tie{k}": v for k, v in TIEBREAKS.items()}}[rule].format(sha="sha2" if spark else "sha256", bits=", 256" if spark else "")
     pool = "isc = 1" if rule in CANDIDATES_ONLY else f"isc = 1 OR (n > {ENDGAME} AND {turn} < {TURNS})"
-    stats = STATS_OF.format(pairs=scored_pairs(turn, alive, fb, rule not in CANDIDATES_ONLY))
+    stats = scored_stats(turn, alive, fb, rule not in CANDIDATES_ONLY)
     if rule == "frequency":
         stats = f"SELECT s.*, fs.fscore FROM ({stats}) s JOIN {scores} fs ON fs.guess = s.guess"
     order = order.replace("turn_no", str(turn))
     choice = f"SELECT state, guess, n FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY {order}) AS rn FROM ({stats}) t WHERE {pool}) u WHERE rn = 1"
-    return f"SELECT al.answer, {turn} AS turn, c.guess, f.code, c.n AS n_before, al.state FROM {alive} al JOIN ({choice}) c ON c.state = al.state JOIN {fb} f ON f.guess = c.guess AND f.answer = al.answer"
+    return played_sql(turn, alive, choice)
 
 
 def next_sql(played: str) -> str:

@@ -51,10 +51,10 @@ def turn_sql(turn: int, policy: str, alive: str, adm: str, spark: bool, fba: str
     rule, pool = POLICIES[policy]
     order = filled(G.RULES.get(rule, rule), spark).replace("turn_no", str(turn))
     allowed = f"isc = 1 OR (n > {G.ENDGAME} AND {turn} < {G.TURNS} AND ({pool}))"
-    stats = f"""SELECT s.state, s.guess, s.sumsq, s.worst, s.n, s.h, s.isc, CASE WHEN a.guess IS NULL THEN 0 ELSE 1 END AS adm, c.n_adm FROM ({G.STATS_OF.format(pairs=G.scored_pairs(turn, alive, fba, pool != FORCED))}) s
+    stats = f"""SELECT s.state, s.guess, s.sumsq, s.worst, s.n, s.h, s.isc, CASE WHEN a.guess IS NULL THEN 0 ELSE 1 END AS adm, c.n_adm FROM ({G.scored_stats(turn, alive, fba, pool != FORCED)}) s
         LEFT JOIN {adm} a ON a.state = s.state AND a.guess = s.guess JOIN (SELECT state, count(*) AS n_adm FROM {adm} GROUP BY state) c ON c.state = s.state"""
     choice = f"SELECT state, guess, n, n_adm, adm, isc FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY {order}) AS rn FROM ({stats}) t WHERE {allowed}) u WHERE rn = 1"
-    return f"SELECT al.answer, {turn} AS turn, c.guess, f.code, c.n AS n_before, c.n_adm, c.adm, c.isc, al.state FROM {alive} al JOIN ({choice}) c ON c.state = al.state JOIN {fba} f ON f.guess = c.guess AND f.answer = al.answer"
+    return G.played_sql(turn, alive, choice, "n_adm", "adm", "isc")
 
 
 def admissible_sql(adm: str, played: str, fb: str = "fb") -> str:
