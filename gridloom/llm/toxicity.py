@@ -25,8 +25,8 @@ from gridloom.llm import kernels as K
 from gridloom.llm.common import keep_rows, scratch_table, text_rows
 
 FIT_ROWS = 1500
-SIZES, BUCKETS, DIM, WORDS = (3, 4, 5), 1 << 16, 6, 12
-STEPS, WHOLE, RATE, BATCH, THRESHOLD = 500, 60, 0.3, 64, 0.7
+SIZES, BUCKETS, DIM, WORDS = (3, 4, 5), 1 << 16, 6, 3
+STEPS, WHOLE, RATE, BATCH, THRESHOLD = 800, 60, 0.3, 64, 0.7
 SLICE = 1 << 18
 U32 = np.uint32
 
