@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.llm.common import read_table
 from gridloom.llm.decontamination import decontaminate
 from gridloom.llm.exact_dedup import exact_dedup
+from gridloom.llm.fim import fim_digests
 from gridloom.llm.lm_scoring import lm_scores
 from gridloom.llm.near_dedup import near_duplicates
 from gridloom.llm.packing import pack_documents
@@ -59,6 +60,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(read_table(spark, sf_dir, "documents"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_digests(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -95,4 +100,11 @@ def oracle_sql() -> dict[str, str]:
                  c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id),
                  k AS (SELECT doc_id, CASE WHEN len(sh) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY list_sort(sh)) END AS class_id, len(sh)::BIGINT AS n_shingles FROM s)
             SELECT doc_id, n_shingles, class_id, component_id, doc_id = component_id AS kept FROM k JOIN c USING (doc_id)""",
+            "op12_fill_in_middle": r"""
+            WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS h FROM documents),
+                 d AS (SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS x, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS y,
+                    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain' WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM t),
+                 p AS (SELECT *, coalesce(array_to_string(u[1 : least(x, y)], ''), '') AS pre, coalesce(array_to_string(u[least(x, y) + 1 : greatest(x, y)], ''), '') AS mid, coalesce(array_to_string(u[greatest(x, y) + 1 :], ''), '') AS suf FROM d)
+            SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+                sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM p""",
     }
