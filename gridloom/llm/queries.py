@@ -19,6 +19,7 @@ from gridloom.llm.sharding import shard_documents
 from gridloom.llm.substring_dedup import substring_dedup
 from gridloom.llm.token_counts import token_counts
 from gridloom.llm.toxicity import toxicity
+from gridloom.llm.window_packing import pack_windows
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +62,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(read_table(spark, sf_dir, "documents"))
 
 
+def op11_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_windows(read_table(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim_digests(read_table(spark, sf_dir, "documents"))
 
