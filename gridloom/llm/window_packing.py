@@ -259,7 +259,7 @@ def make_plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
 def placed(batches: Iterator[pa.RecordBatch], rows: dict[int, list[np.ndarray]], kind: np.dtype) -> Iterator[pa.RecordBatch]:
     """length, rank, doc_id, start, ids_crc32, doc_tokens, ids -> the pieces."""
     for batch in batches:
-        length, rank, doc, start, whole, tokens = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(6))
+        length, rank, start, whole, tokens = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1, 3, 4, 5))
         found = []
         for size in np.unique(length).tolist():
             mine = np.flatnonzero(length == size)
@@ -274,7 +274,7 @@ def placed(batches: Iterator[pa.RecordBatch], rows: dict[int, list[np.ndarray]],
         for k in np.flatnonzero(size < length[row]).tolist():
             ids = np.frombuffer(batch.column(6)[int(row[k])].as_buffer(), kind)
             sums[k] = crc(ids[inside[k] : inside[k] + size[k]])
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[row], start[row] + inside, size, sums, tokens[row], sequence, offset)], schema=PIECES_ARROW)
+        yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(row)), *map(pa.array, (start[row] + inside, size, sums, tokens[row], sequence, offset))], schema=PIECES_ARROW)
 
 
 def pack_windows(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
