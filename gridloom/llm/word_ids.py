@@ -7,17 +7,21 @@ ids of a text are those of what comes before its first such space, then those of
 from __future__ import annotations
 
 import os
+import re
 from functools import cache
 from itertools import chain
 
 import numpy as np
-import regex
 
 from gridloom.llm.token_counts import SPECIAL
 
-CUT = regex.compile(r" (?=[^\s\x1c-\x1f])")
+CUT = re.compile(r" (?=\S)")
+#: Where a blank follows a space or a space ends a text: then not every space is a cut.
+UNUSUAL = re.compile(r" \s| \Z")
 #: Words, and characters of them, that a worker remembers; beyond, it starts anew.
-MEMO, MEMO_CHARS = 200_000, 16 << 20
+MEMO, MEMO_CHARS = 600_000, 32 << 20
+#: New words encoded at a time, in lines of so many.
+AT_ONCE, LINE = 8192, 64
 
 
 class WordIds:
@@ -31,6 +35,10 @@ class WordIds:
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         special = self.library.token_to_id(SPECIAL)
         self.special = None if special is None else np.array([special], self.kind).tobytes()
+        #: Bytes of each token: the vocabulary writes a byte as a letter.
+        self.width = np.zeros(self.library.get_vocab_size(), np.int64)
+        for token, i in self.library.get_vocab().items():
+            self.width[i] = len(token)
         self.reset()
 
     def reset(self) -> None:
@@ -39,11 +47,26 @@ class WordIds:
         self.chars = 0
 
     def learn(self, words: set[str]) -> None:
-        new = list(words.difference(self.memo))
+        new = words.difference(self.memo)
         self.chars += sum(map(len, new))
-        for w, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
+        spaced = [w for w in new if w[0] == " "]
+        for at in range(0, len(spaced), AT_ONCE):
+            self._in_lines(spaced[at : at + AT_ONCE])
+        others = list(new.difference(spaced))
+        for w, e in zip(others, self.library.encode_batch_fast(others, add_special_tokens=False), strict=True):
             self.memo[w] = np.array(e.ids, self.kind).tobytes()
 
+    def _in_lines(self, words: list[str]) -> None:
+        """Words one after the other: each begins a token, and its ids are those that cover its bytes."""
+        lines = ["".join(words[at : at + LINE]) for at in range(0, len(words), LINE)]
+        ids = np.array(list(chain.from_iterable(e.ids for e in self.library.encode_batch_fast(lines, add_special_tokens=False))), self.kind)
+        ends = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in words])
+        cuts = (np.searchsorted(np.cumsum(self.width[ids]), ends) + 1) * ids.itemsize
+        raw, at = ids.tobytes(), 0
+        for w, to in zip(words, cuts.tolist(), strict=True):
+            self.memo[w] = raw[at:to]
+            at = to
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; the special token's string is its id, as the library does by default."""
         if len(self.memo) > MEMO or self.chars > MEMO_CHARS:
@@ -51,9 +74,7 @@ class WordIds:
         flat = [p for t in texts for p in t.split(SPECIAL)] if self.special else texts
         split = []
         for t in flat:
-            words = t.split(" ")
-            if not all(words) or any(w[0].isspace() for w in words):
-                words = CUT.split(t)
+            words = CUT.split(t) if UNUSUAL.search(t) else t.split(" ")
             split.append([words[0], *[" " + w for w in words[1:]]])
         self.learn(set(chain.from_iterable(split)))
         get = self.memo.__getitem__
