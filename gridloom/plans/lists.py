@@ -221,35 +221,6 @@ def action_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.groupBy("space", "turn").agg(F.count("*").alias("steps"), F.sum("adm").alias("admissible"), F.sum("isc").alias("candidates"), F.avg("n_adm").alias("mean_admissible"), F.count_if(F.col("n_adm") == 1).alias("forced"), F.count_if(won & (F.col("n_adm") == 1)).alias("won_forced"), F.count_if(won & (F.col("n_adm") > 1)).alias("won_chosen"))
 
 
-COMPARED = ("full", "adaptive_20", "candidates", "hard", "restricted", "random_admissible", "random_restricted")
-_ALL = ", ".join(list_games_oracle(p, f"lg_{p}") for p in COMPARED)
-_UNION = " UNION ALL ".join(f"SELECT '{p}' AS policy, answer, score FROM ({SCORE.format(g=f'lg_{p}')})" for p in COMPARED)
-
-
-def all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for p in COMPARED:
-        own = scores(list_games(spark, sf_dir, p)).withColumn("policy", F.lit(p))
-        out = own if out is None else out.unionByName(own)
-    return out
-
-
-@query(f"""{lists_oracle()}, {_ALL}, s AS MATERIALIZED ({_UNION}) SELECT policy, count(*) AS games, round(avg(score), 6) AS mean, median(score) AS median, round(stddev_samp(score), 6) AS std, min(score) AS best, max(score) AS worst, count(*) FILTER (WHERE score = 7) AS failed,
-    round(100.0 * count(*) FILTER (WHERE score <= 3) / count(*), 6) AS within_3, round(100.0 * count(*) FILTER (WHERE score <= 4) / count(*), 6) AS within_4, round(100.0 * count(*) FILTER (WHERE score <= 5) / count(*), 6) AS within_5, round(100.0 * count(*) FILTER (WHERE score <= 6) / count(*), 6) AS within_6, sum(score)::BIGINT AS total FROM s GROUP BY policy""")
-def policy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Means, spread and cumulative shares of games won, for each policy over two lists."""
-    s = F.col("score")
-    within = [F.round(F.lit(100.0) * F.count_if(s <= k) / F.count("*"), 6).alias(f"within_{k}") for k in (3, 4, 5, 6)]
-    return all_scores(spark, sf_dir).groupBy("policy").agg(F.count("*").alias("games"), F.round(F.avg("score"), 6).alias("mean"), F.median("score").alias("median"), F.round(F.stddev_samp("score"), 6).alias("std"), F.min("score").alias("best"), F.max("score").alias("worst"), F.count_if(s == 7).alias("failed"), *within, F.sum("score").alias("total"))
-
-
-@query(f"""{lists_oracle()}, {_ALL}, s AS MATERIALIZED ({_UNION}), o AS (SELECT answer, min(score) AS least FROM s GROUP BY answer) SELECT policy, sum(score - least)::BIGINT AS over_best, round(avg(score - least), 6) AS gap, count(*) FILTER (WHERE score = least) AS at_best FROM s JOIN o USING (answer) GROUP BY policy""")
-def policy_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All policies in one table against the best that any of them did for an answer."""
-    gap = F.col("score") - F.min("score").over(Window.partitionBy("answer"))
-    return all_scores(spark, sf_dir).withColumn("gap", gap).groupBy("policy").agg(F.sum("gap").alias("over_best"), F.round(F.avg("gap"), 6).alias("gap"), F.count_if(F.col("gap") == 0).alias("at_best")).select("policy", "over_best", "gap", "at_best")
-
-
 # -- tree search --------------------------------------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.feedback import ALL_RIGHT, code_to_pattern
 from gridloom.functions.hashing import split_of
 from gridloom.plans import games as G
-from gridloom.plans.lists import POLICIES, list_games, list_games_oracle, lists_oracle, scores, tables
+from gridloom.plans.lists import list_games, list_games_oracle, lists_oracle, scores, tables
 from gridloom.plans.queries import NEXT, SPLIT, exchanges, query
 from gridloom.plans.records import _TABS, EXACT, PAIRS, REC, band, band_sql, pairs, records, with_faults
 from gridloom.session import read_table
@@ -64,28 +64,6 @@ def heldout_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-# sweeps: what a policy gains over chance with the same choice of words, over several draws
-THRESHOLDS, SEEDS = (5, 20), ("s1", "s2", "s3")
-for _t in THRESHOLDS:
-    POLICIES[f"swept_{_t}"] = ("entropy", f"n_adm > {_t} OR adm = 1")
-    for _s in SEEDS:
-        POLICIES[f"chance_{_t}_{_s}"] = ("{sha}(concat('" + _s + "|', state, '|', guess){bits}), guess", f"n_adm > {_t} OR adm = 1")
-_SWEPT = [*(f"swept_{t}" for t in THRESHOLDS), *(f"chance_{t}_{s}" for t in THRESHOLDS for s in SEEDS)]
-
-
-@query(f"""{lists_oracle()}, {", ".join(list_games_oracle(p, f"lg_{p}") for p in _SWEPT)}, g AS ({" UNION ALL ".join(f"SELECT '{p}' AS policy, answer, code, turn FROM lg_{p}" for p in _SWEPT)}), m AS (SELECT policy, avg(score) AS mean FROM (SELECT policy, answer, CASE WHEN bool_or(code = {ALL_RIGHT}) THEN max(turn) ELSE 7 END AS score FROM g GROUP BY ALL) GROUP BY policy),
-    c AS (SELECT CAST(split_part(policy, '_', 2) AS INT) AS threshold, avg(mean) AS control_mean, stddev_samp(mean) AS control_std FROM m WHERE policy LIKE 'chance%' GROUP BY 1) SELECT threshold, round(mean, 6) AS mean, round(control_mean, 6) AS control_mean, round(control_std, 6) AS control_std, round(control_mean - mean, 6) AS gain FROM c JOIN m ON policy = 'swept_' || threshold""")
-def threshold_control(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Means by threshold against random play in the same action space: mean and spread over draws."""
-    m = None
-    for p in _SWEPT:
-        own = scores(list_games(spark, sf_dir, p)).agg(F.avg("score").alias("mean")).withColumn("policy", F.lit(p))
-        m = own if m is None else m.unionByName(own)
-    t = F.split_part("policy", F.lit("_"), F.lit(2)).cast("int").alias("threshold")
-    control = m.where("policy LIKE 'chance%'").groupBy(t).agg(F.avg("mean").alias("c"), F.stddev_samp("mean").alias("s"))
-    return m.where("policy LIKE 'swept%'").select(t, "mean").join(control, "threshold").select("threshold", F.round("mean", 6).alias("mean"), F.round("c", 6).alias("control_mean"), F.round("s", 6).alias("control_std"), F.round(F.col("c") - F.col("mean"), 6).alias("gain"))
-
-
 # -- rows of packages ---------------------------------------------------------------------------------------------
 
 
