@@ -25,13 +25,13 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,18 +42,21 @@ from gridloom.llm.token_counts import byte_letters, vocabulary_path
 SIDE_A, SIDE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: The mark that side B writes spaces as; a text that holds it reads back otherwise.
 MARK = "▁"
-CUT = regex.compile(r"(?<! ) (?=[^\s\x1c-\x1f])")
-#: Words and their characters remembered by a worker, beyond which it starts anew; bytes of text at a time.
-MEMO, MEMO_CHARS, SLICE = 150_000, 16 << 20, 1 << 20
+#: Marks that may end a word, if a vocabulary lets them be told apart from it.
+MARKS = ".,;:!?"
+CUT = re.compile(r"(?<! ) (?=\S)")
+#: Where blanks meet, or stand at an end: then not every space is a cut.
+UNUSUAL = re.compile(r" \s|^\s| \Z")
+#: Words and their characters remembered by a worker, beyond which it starts anew; bytes of text, and new words, at a time.
+MEMO, MEMO_CHARS, SLICE, AT_ONCE, LINE = 300_000, 24 << 20, 1 << 20, 4096, 128
 ID_BITS = 20
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<struct<b: int, a: int, m: int>>"
 
 
 def words_of(text: str) -> list[str]:
     """What follows the cuts of " " + text, without their space."""
-    words = text.split(" ")
-    if all(words) and not any(w[0].isspace() for w in words):
-        return words
+    if not UNUSUAL.search(text):
+        return text.split(" ")
     first, *rest = CUT.split(" " + text)
     return [first[1:], *rest] if first else rest
 
@@ -70,66 +73,90 @@ class Aligner:
         self.side_a.encode_special_tokens = True
         self.side_b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         letters = byte_letters()
-        self.bytes_a = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in self.side_a.get_vocab().items()}
+        spelt = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in self.side_a.get_vocab().items()}
+        self.bytes_a = [spelt.get(i, b"") for i in range(max(spelt) + 1)]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.side_b.IsByte(i) else p.replace(MARK, " ").encode() for i in range(self.side_b.vocab_size()) for p in (self.side_b.IdToPiece(i),)]
+        #: Marks that no piece of B has behind a letter; A never joins them to one. After such, both sides begin anew.
+        mixed = {p[k + 1] for i in range(self.side_b.vocab_size()) if not self.side_b.IsByte(i) for p in (self.side_b.IdToPiece(i),) for k in range(len(p) - 1) if p[k].isalpha()}
+        self.marks = set(MARKS) - mixed
+        self.width_a, self.width_b = (np.array([len(x) for x in each]) for each in (self.bytes_a, self.bytes_b))
+        #: How an id is written where more of its side follow in the group, then where none do.
+        self.written_a, self.written_b = (np.array([f"{i}{mark}" for mark in (",", last) for i in range(n)], object) for last, n in (("|", len(self.bytes_a)), (";", len(self.bytes_b))))
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: dict[str | tuple[str, str], int] = {}
         self.chars = 0
         self.groups: list[str] = []
-        #: By word: tokens of each side, groups, and its first link; one row more than words.
+        #: By word: its groups as text, tokens of each side and groups, and its first link (one more than words).
         self.sizes = np.zeros((3, 0), np.int64)
         self.first = np.zeros(1, np.int64)
         self.links = np.zeros(0, np.int64)
+        for mark in sorted(self.marks):  # alone, as the word that it is not: without a space
+            self.index["", mark] = len(self.groups)
+            self._align(np.array(self.side_a.encode(mark, add_special_tokens=False).ids), np.array([self.side_b.PieceToId(mark)]), np.array([1]))
+
+    def entries(self, words: list[str]) -> list:
+        """Words, a mark at the end of one as an entry of its own."""
+        marks, out = self.marks, []
+        for w in words:
+            if w[-1] in marks and w[-2:-1].isalpha():
+                out += (w[:-1], ("", w[-1]))
+            else:
+                out.append(w)
+        return out
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.index]
-        if not new:
-            return
+        new = [w for w in words if w not in self.index]  # marks are there from the start
         self.chars += sum(map(len, new))
-        ids_a = [e.ids for e in self.side_a.encode_batch([" " + w for w in new], add_special_tokens=False)]
-        ids_b = self.side_b.encode(new, num_threads=1)
-        good = []
-        for k, w in enumerate(new):
-            raw = b" " + w.encode()
-            if b"".join(map(self.bytes_a.__getitem__, ids_a[k])) == raw == b"".join(map(self.bytes_b.__getitem__, ids_b[k])):
-                self.index[w] = len(self.groups) + len(good)
-                good.append(k)
-            else:
-                self.index[w] = -1
-        if good:
-            self._align([ids_a[k] for k in good], [ids_b[k] for k in good])
-
-    def _align(self, ids_a: list[list[int]], ids_b: list[list[int]]) -> None:
-        """All words at once, laid one after the other: their ends are ends of both sides."""
-        flat_a, flat_b = list(chain.from_iterable(ids_a)), list(chain.from_iterable(ids_b))
-        ends_a = np.cumsum([len(self.bytes_a[i]) for i in flat_a])
-        ends_b = np.cumsum([len(self.bytes_b[i]) for i in flat_b])
-        last_a, last_b = (np.cumsum([len(x) for x in ids]) for ids in (ids_a, ids_b))
-        word_ends = ends_a[last_a - 1]
-        ends, common = np.union1d(ends_a, ends_b), np.intersect1d(ends_a, ends_b)
-        at_a, at_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
-        self.links = np.concatenate((self.links, np.array(flat_b)[at_b] << ID_BITS | np.array(flat_a)[at_a]))
+        alone = [w for w in new if w[0].isspace() or w[-1] == " "]  # their blanks would meet those of neighbours
+        for w in alone:
+            self._learn([w])
+        if alone:
+            new = list(set(new).difference(alone))
+        for at in range(0, len(new), AT_ONCE):
+            self._learn(new[at : at + AT_ONCE])
+
+    def _learn(self, new: list[str]) -> None:
+        """Words in one text, one after the other: both sides begin a token at each of them."""
+        text = " ".join(new)
+        lines = [" " + " ".join(new[at : at + LINE]) for at in range(0, len(new), LINE)]
+        ids_a = list(chain.from_iterable(e.ids for e in self.side_a.encode_batch_fast(lines, add_special_tokens=False)))
+        ids_b = self.side_b.encode(text)
+        if b"".join(map(self.bytes_a.__getitem__, ids_a)) == b" " + text.encode() == b"".join(map(self.bytes_b.__getitem__, ids_b)):
+            self.index.update(zip(new, range(len(self.groups), len(self.groups) + len(new)), strict=True))
+            self._align(np.array(ids_a), np.array(ids_b), np.cumsum([1 + (len(w) if w.isascii() else len(w.encode())) for w in new]))
+        elif len(new) == 1:
+            self.index[new[0]] = -1
+        else:
+            self._learn(new[: len(new) // 2])
+            self._learn(new[len(new) // 2 :])
+
+    def _align(self, a: np.ndarray, b: np.ndarray, word_ends: np.ndarray) -> None:
+        """Adds words that lie one after the other: their ends are ends of both sides."""
+        ends_a, ends_b = np.cumsum(self.width_a[a]), np.cumsum(self.width_b[b])
+        both = np.sort(np.concatenate((ends_a, ends_b)), kind="stable")
+        again = both[1:] == both[:-1]
+        ends, common = both[np.append(~again, True)], both[1:][again]
+        links = b[np.searchsorted(ends_b, ends)] << ID_BITS | a[np.searchsorted(ends_a, ends)]
+        self.links = np.concatenate((self.links, links))
         self.first = np.concatenate((self.first, self.first[-1] + np.searchsorted(ends, word_ends) + 1))
-        n_groups = np.diff(np.searchsorted(common, word_ends) + 1, prepend=0)
-        self.sizes = np.concatenate((self.sizes, np.stack((np.diff(last_a, prepend=0), np.diff(last_b, prepend=0), n_groups))), axis=1)
-        cuts_a, cuts_b = (np.searchsorted(e, common).tolist() for e in (ends_a, ends_b))
-        text_a, text_b = [str(i) for i in flat_a], [str(i) for i in flat_b]
-        each, i, j = [], 0, 0
-        for x, y in zip(cuts_a, cuts_b, strict=True):
-            each.append(",".join(text_a[i : x + 1]) + "|" + ",".join(text_b[j : y + 1]))
-            i, j = x + 1, y + 1
-        at = 0
-        for n in n_groups.tolist():
-            self.groups.append(";".join(each[at : at + n]))
-            at += n
+        upto = np.stack([np.searchsorted(e, word_ends) + 1 for e in (ends_a, ends_b, common)])
+        self.sizes = np.concatenate((self.sizes, np.diff(upto, axis=1, prepend=0)), axis=1)
+        # tokens in the order of groups, A's before B's; the last of a side in its group is written with another mark
+        group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        last_a, last_b = (np.append(g[1:] != g[:-1], True) for g in (group_a, group_b))
+        order = np.argsort(np.concatenate((2 * group_a, 2 * group_b + 1)), kind="stable")
+        written = np.concatenate((self.written_a[a + len(self.bytes_a) * last_a], self.written_b[b + len(self.bytes_b) * last_b]))[order].tolist()
+        stops = np.cumsum([len(x) for x in written])[upto[0] + upto[1] - 1].tolist()
+        whole = "".join(written)
+        self.groups += [whole[i:j] for i, j in zip([0, *stops], stops, strict=False)]
 
     def rows(self, texts: list[str]) -> list[pa.Array]:
         """Columns of ALIGNED after doc_id."""
         if len(self.index) > MEMO or self.chars > MEMO_CHARS:
             self.reset()
-        split = [words_of(t) if t and MARK not in t else [] for t in texts]
+        split = [self.entries(words_of(t)) if t and MARK not in t else [] for t in texts]
         self.learn(set(chain.from_iterable(split)))
         get = self.index.__getitem__
         split = [[] if -1 in own else own for own in (list(map(get, w)) for w in split)]
@@ -145,7 +172,7 @@ class Aligner:
         own = np.searchsorted(pair >> 2 * ID_BITS, np.arange(len(texts) + 1))
         low = (1 << ID_BITS) - 1
         pairs = pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in (pair >> ID_BITS & low, pair & low, m)], names=["b", "a", "m"])
-        digests = [hashlib.sha256(";".join(map(self.groups.__getitem__, w)).encode()).hexdigest() if w else "" for w in split]
+        digests = [hashlib.sha256("".join(map(self.groups.__getitem__, w))[:-1].encode()).hexdigest() if w else "" for w in split]
         return [*(pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups, upto[offs[1:]] - upto[offs[:-1]])), pa.array(digests, pa.string()), pa.ListArray.from_arrays(pa.array(own, pa.int32()), pairs)]
 
 
