@@ -96,8 +96,8 @@ def best(score: np.ndarray, tie: np.ndarray, gid: np.ndarray) -> tuple[float, in
 def wide_choices(packed: DataFrame, asks: DataFrame) -> DataFrame:
     """asks: ask, cset, members, metric, a, lam, nu, mu -> the best guess of each partition; a set is scored once for all asks."""
     sets = asks.groupBy("cset").agg(F.first("members").alias("members"), F.collect_list(F.struct("ask", "metric", "a", "lam", "nu", "mu")).alias("asked"))
-    out = packed.sparkSession.createDataFrame([], CHOICE)
-    for block in P.in_blocks(sets.toLocalIterator(), lambda r: 4 * len(r["members"]) + 64 * len(r["asked"])):
+    out = None
+    for block in P.in_blocks(sets.coalesce(1).toLocalIterator(), lambda r: 4 * len(r["members"]) + 64 * len(r["asked"])):
         members = [np.array(r["members"], np.int64) for r in block]
         asked = [[(x["ask"], x["metric"], (x["a"], x["lam"], x["nu"], x["mu"])) for x in r["asked"]] for r in block]
 
@@ -116,7 +116,10 @@ def wide_choices(packed: DataFrame, asks: DataFrame) -> DataFrame:
             rows = [(a, *f) for a, f in found.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int64(), pa.float64(), pa.int32(), pa.int32()), strict=True)], names=["ask", "score", "tie", "gid"])
 
-        out = out.unionByName(packed.mapInArrow(answer, CHOICE))
+        own = packed.mapInArrow(answer, CHOICE)
+        out = own if out is None else out.unionByName(own)
+    if out is None:
+        return packed.sparkSession.createDataFrame([], "ask long, gid int")
     return out.groupBy("ask").agg(F.min_by("gid", F.struct("score", "tie", "gid")).alias("gid"))
 
 
@@ -157,8 +160,8 @@ class Lists:
         place = {w: k for k, w in enumerate(self.words)}
         self.answers = sorted(r[0] for r in answers.select("answer").take(P.MOST_WORDS + 1) if r[0] in place)
         self.as_word = [place[a] for a in self.answers]
-        self.legal = self.spark.createDataFrame(list(enumerate(self.words)), "gid int, guess string")
-        self.targets = self.spark.createDataFrame(list(enumerate(self.answers)), "aid int, answer string")
+        self.legal = scratch_table(self.spark.createDataFrame(list(enumerate(self.words)), "gid int, guess string").coalesce(1), "legal")
+        self.targets = scratch_table(self.spark.createDataFrame(list(enumerate(self.answers)), "aid int, answer string").coalesce(1), "targets")
         parts = self.spark.sparkContext.defaultParallelism
         self.packed = scratch_table(P.packed_matrix(self.legal.repartition(parts, "gid"), self.answers), "packed")
 

@@ -11,7 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 ALL_RIGHT, CODES, MOST_WORDS = 242, 243, 50_000
 #: Guesses scored at a time, cells held at a time, bytes of sets sent at a time, and the size up to which members of a set
@@ -107,7 +108,7 @@ def in_blocks(rows: Iterator, size) -> Iterator[list]:
 def partition_statistics(packed: DataFrame, sets: DataFrame) -> DataFrame:
     """sets: cset, members (array of places) -> cset, guess, sumsq, worst, n, h, isc; a block of sets at a time."""
     out = None
-    for block in in_blocks(sets.select("cset", "members").toLocalIterator(), lambda r: 4 * len(r["members"]) + len(r["cset"])):
+    for block in in_blocks(sets.select("cset", "members").coalesce(1).toLocalIterator(), lambda r: 4 * len(r["members"]) + len(r["cset"])):
         names, members = [r["cset"] for r in block], [np.array(r["members"], np.int64) for r in block]
 
         def score(batches: Iterator[pa.RecordBatch], names=names, members=members) -> Iterator[pa.RecordBatch]:
@@ -126,3 +127,30 @@ def partition_statistics(packed: DataFrame, sets: DataFrame) -> DataFrame:
     if out is None:
         return packed.sparkSession.createDataFrame([], "cset string, guess string, sumsq long, worst long, n long, h double, isc int")
     return out
+
+
+def best_splitters(packed: DataFrame, sets: DataFrame, most: int) -> DataFrame:
+    """sets: cset, members -> cset, guess, sumsq, isc of the members and of the `most` others that leave least (ties by the
+    alphabet); guesses that tell nothing are left out. Each partition gives its own best first."""
+    rows, out = "cset string, gid int, guess string, sumsq long, isc int, splits boolean", None
+    for block in in_blocks(sets.select("cset", "members").coalesce(1).toLocalIterator(), lambda r: 4 * len(r["members"]) + len(r["cset"])):
+        names, members = [r["cset"] for r in block], [np.array(r["members"], np.int64) for r in block]
+
+        def score(batches: Iterator[pa.RecordBatch], names=names, members=members) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(at, ROWS)
+                    table, gid = cells_of(part), part.column(0).to_numpy()
+                    for which, own in by_size(members, len(table)):
+                        sumsq, worst, _, isc = set_statistics(table, own)
+                        first = np.argsort(np.argsort(sumsq + gid[:, None] / (MOST_WORDS + 1), axis=0), axis=0) < most
+                        g, k = np.nonzero(first | isc)
+                        columns = [gid[g], part.column(1).take(pa.array(g)), sumsq[g, k], isc[g, k].astype(np.int32), worst[g, k] < own.shape[1]]
+                        yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in which[k].tolist()], pa.string()), *(c if isinstance(c, pa.Array) else pa.array(c) for c in columns)], names=["cset", "gid", "guess", "sumsq", "isc", "splits"])
+
+        own = packed.mapInArrow(score, rows)
+        out = own if out is None else out.unionByName(own)
+    if out is None:
+        out = packed.sparkSession.createDataFrame([], rows)
+    place = F.row_number().over(Window.partitionBy("cset").orderBy("sumsq", "gid"))
+    return out.withColumn("place", place).where(((F.col("place") <= most) & F.col("splits")) | (F.col("isc") == 1)).select("cset", "guess", "sumsq", "isc")

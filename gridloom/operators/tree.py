@@ -1,195 +1,158 @@
-"""Search of game trees below a state, in grouped functions: a state's rows are one task's work, all states run at once.
+"""Search of game trees as joins over distinct sets of answers, level by level, all states at once.
 
-`Search` looks ahead over a pool of guesses (the candidates and the `top_k` others that split best) to a limited depth
-and ends in a greedy line, whose cost is one that can be played. `adaptive_values` solves the game in which every action
-must agree with what is known, to its end. Costs are whole numbers: guesses summed over all candidates of a state.
+A set's value with so many guesses left is the least of its actions': the set's size, and the values of the sets that an
+action leaves. Actions are the set's members and the others that leave least. After `depth` plies values are those of greedy
+lines, played out by the member that leaves least; a greedy line has a cost and a length, whatever is left, so a set has one
+line. A set that is met twice, under whatever state, is one row. Costs are whole numbers: guesses summed over a set.
+
+`adaptive_values` solves the game in which every action must agree with what is known, to its end, for states of few words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from gridloom.functions.feedback import ALL_RIGHT
+from gridloom.operators.loop import Lists, own_choices, set_key, split_sets, with_code
+from gridloom.operators.packed import best_splitters, codes, letters_of
+from gridloom.session import scratch_table
 
-LARGEST, FAILED, TURNS, MOST_GUESSES = 20, 7, 6, 50_000
+LARGEST, FAILED, TURNS = 20, 7, 6
 #: Fixed value: the cost of what can't be finished in time.
 INFEASIBLE = 1 << 30
 
 
-def codes(guesses: list[str], answers: list[str]) -> np.ndarray:
-    """[guesses, answers] feedback codes."""
-    g, a = (np.array([[ord(c) for c in w] for w in words], np.int16).reshape(-1, 5) for words in (guesses, answers))
-    out = np.zeros((len(g), len(a)), np.int16)
-    right = g[:, None, :] == a[None, :, :]
-    for i in range(5):
-        rank = sum(((g[:, j] == g[:, i])[:, None] & ~right[:, :, j]).astype(np.int8) for j in range(i)) if i else 0
-        budget = sum(((a[None, :, j] == g[:, None, i]) & ~right[:, :, j]).astype(np.int8) for j in range(5))
-        out += 3**i * np.where(right[:, :, i], 2, rank < budget).astype(np.int16)
-    return out
-
-
-def square_sums(table: np.ndarray) -> np.ndarray:
-    """Of each row the sum of squared sizes of its groups of equal codes."""
-    ordered = np.sort(table, axis=1)
-    edge = np.ones(ordered.shape, bool)
-    edge[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
-    rank = np.arange(ordered.shape[1]) - np.maximum.accumulate(np.where(edge, np.arange(ordered.shape[1]), 0), axis=1)
-    return (2 * rank + 1).sum(axis=1)
-
-
 @dataclass(frozen=True)
 class TreeConfig:
-    """depth: plies of lookahead; top_k: guesses beside the candidates, endgame_top_k where few candidates are left."""
+    """depth: plies of lookahead; top_k: actions beside a set's members."""
 
     depth: int = 2
     top_k: int = 10
-    endgame_top_k: int = 10
-    endgame: int = 12
     turns: int = TURNS
 
 
-class Search:
-    """guesses in alphabetical order; a state is a sorted tuple of columns of `answers`."""
+def distinct_sets(states: DataFrame, lists: Lists) -> DataFrame:
+    """states: state, answer -> state, cset, members."""
+    placed = states.join(F.broadcast(lists.targets), "answer")  # the answers, a bounded list
+    return placed.groupBy("state").agg(F.array_sort(F.collect_list("aid")).alias("members")).withColumn("cset", set_key(F.col("members")))
 
-    def __init__(self, guesses: list[str], answers: list[str], config: TreeConfig = TreeConfig()) -> None:
-        self.guesses, self.answers, self.config = guesses, answers, config
-        self.table = codes(guesses, answers)
-        place = {w: k for k, w in enumerate(guesses)}
-        self.row = [place[a] for a in answers]
-        self.values: dict[tuple[tuple[int, ...], int, int], tuple[int, int]] = {}
-        self.lines: dict[tuple[tuple[int, ...], int], int] = {}
 
-    def parts(self, guess: int, state: tuple[int, ...]) -> dict[int, tuple[int, ...]]:
-        out: dict[int, list[int]] = {}
-        for s, c in zip(state, self.table[guess, list(state)].tolist(), strict=True):
-            out.setdefault(c, []).append(s)
-        return {c: tuple(p) for c, p in out.items()}
+def wider(sets: DataFrame) -> DataFrame:
+    """Sets whose value isn't known by their size."""
+    return sets.where(F.size("members") > 2).select("cset", "members").dropDuplicates(["cset"])
 
-    def greedy(self, state: tuple[int, ...]) -> int:
-        """The candidate that leaves least, the first of equals."""
-        own = [self.row[s] for s in state]
-        return own[int(np.argmin(square_sums(self.table[np.ix_(own, state)])))]
 
-    def horizon(self, state: tuple[int, ...], left: int) -> int:
-        """Cost of the greedy line."""
-        if len(state) == 1:
-            return 1
-        if left <= 1:
-            return INFEASIBLE
-        if len(state) == 2:
-            return 3
-        key = (state, left)
-        if key not in self.lines:
-            costs = [self.horizon(p, left - 1) for c, p in self.parts(self.greedy(state), state).items() if c != ALL_RIGHT]
-            self.lines[key] = INFEASIBLE if INFEASIBLE in costs else len(state) + sum(costs)
-        return self.lines[key]
-
-    def pool(self, state: tuple[int, ...]) -> list[int]:
-        """Candidates, then the others that leave least; ties by the alphabet."""
-        own = [self.row[s] for s in state]
-        k = self.config.endgame_top_k if len(state) <= self.config.endgame else self.config.top_k
-        if k <= 0:
-            return own
-        top = np.argsort(square_sums(self.table[:, list(state)]), kind="stable")[:k].tolist()
-        return own + [g for g in top if g not in set(own)]
-
-    def solve(self, state: tuple[int, ...], left: int, depth: int | None = None) -> tuple[int, int]:
-        """Least total cost within `left` guesses and the guess (-1: none, or only a greedy line)."""
-        depth = self.config.depth if depth is None else depth
-        n = len(state)
-        if n == 1:
-            return 1, self.row[state[0]]
-        if left <= 1:
-            return INFEASIBLE, -1
-        if n == 2:
-            return 3, self.row[state[0]]
-        if depth <= 0:
-            return self.horizon(state, left), -1
-        key = (state, left, depth)
-        if key in self.values:
-            return self.values[key]
-        best, chosen = INFEASIBLE, -1
-        for g in self.pool(state):
-            parts = self.parts(g, state)
-            if len(parts) == 1 and ALL_RIGHT not in parts:
-                continue
-            cost = n
-            for c, p in sorted(parts.items(), key=lambda x: -len(x[1])):
-                if c != ALL_RIGHT:
-                    cost += self.solve(p, left - 1, depth - 1)[0]
-                    if cost >= best:
-                        break
-            if cost < best:
-                best, chosen = cost, g
-                if best <= 2 * n - 1:
-                    break  # no guess does better
-        self.values[key] = best, chosen
-        return best, chosen
-
-    def choose(self, state: tuple[int, ...], turn: int) -> int:
-        """The guess of a turn; the greedy candidate where no line is sure to end in time."""
-        _, g = self.solve(state, self.config.turns - turn + 1)
-        return g if g >= 0 else self.greedy(state)
-
-    def play(self, state: tuple[int, ...], turn: int, path: str) -> Iterator[tuple[str, int, str, int, int, str]]:
-        """answer, turn, guess, code, n_before, state of all games from here on."""
-        while state and turn <= self.config.turns:
-            g = self.choose(state, turn)
-            parts = self.parts(g, state)
-            for c, p in parts.items():
-                for s in p:
-                    yield self.answers[s], turn, self.guesses[g], c, len(state), path
-            rest = [(c, p) for c, p in parts.items() if c != ALL_RIGHT]
-            for c, p in rest:
-                yield from self.play(p, turn + 1, f"{path}|{self.guesses[g]}:{c}")
-            return
-
-
-def checked(guesses: list[str]) -> list[str]:
-    if len(guesses) > MOST_GUESSES:
-        raise ValueError(f"{len(guesses)} guesses are over {MOST_GUESSES}, too many to send to every task")
-    return sorted(guesses)
-
-
-GAMES = "answer string, turn int, guess string, code int, n_before long, state string"
-
-
-def tree_games(states: DataFrame, guesses: list[str], turn: int, config: TreeConfig = TreeConfig()) -> DataFrame:
-    """states: state, answer -> the games' turns from `turn` on, guesses chosen by lookahead."""
-    guesses = checked(guesses)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        search = Search(guesses, sorted(pdf["answer"]), config)
-        rows = search.play(tuple(range(len(search.answers))), turn, pdf["state"].iloc[0])
-        return pd.DataFrame(rows, columns=["answer", "turn", "guess", "code", "n_before", "state"])
-
-    return states.groupBy("state").applyInPandas(run, GAMES)
-
-
-def tree_values(states: DataFrame, guesses: list[str], turn: int, config: TreeConfig = TreeConfig()) -> DataFrame:
-    """states: state, answer -> state, n, cost (null: can't be finished), guess."""
-    guesses = checked(guesses)
+def split(lists: Lists, sets: DataFrame, moves: DataFrame) -> DataFrame:
+    """sets: cset, members; moves: cset, guess -> cset, guess, child, members: what each move leaves but for the hit."""
+    targets = lists.targets.select(F.col("aid").alias("id"), F.col("answer").alias("word"))
+    return split_sets(sets, moves, "cset", targets).select("cset", "guess", "child", "members")
+
+
+def children(edges: DataFrame) -> DataFrame:
+    return wider(edges.select(F.col("child").alias("cset"), "members"))
+
+
+def greedy_moves(lists: Lists, sets: DataFrame) -> DataFrame:
+    """cset, guess: the member that leaves least, the first of equals."""
+    asks = scratch_table(sets.select("*", F.monotonically_increasing_id().alias("ask")), "greedy")
+    plain = [F.lit(0.0).alias(c) for c in ("a", "lam", "nu", "mu")]
+    chosen = own_choices(lists, asks.select("ask", "members", F.lit(None).cast("array<int>").alias("allowed"), F.lit(0).cast("long").alias("draw"), F.lit("expected").alias("metric"), *plain))
+    return chosen.join(asks.select("ask", "cset"), "ask").join(lists.legal, "gid").select("cset", "guess")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        search = Search(guesses, sorted(pdf["answer"]), config)
-        state = tuple(range(len(search.answers)))
-        cost, g = search.solve(state, config.turns - turn + 1)
-        found = pd.DataFrame({"state": [pdf["state"].iloc[0]], "n": [len(state)], "cost": pd.array([cost if cost < INFEASIBLE else None], "Int64"), "guess": [guesses[g] if g >= 0 else None]})
-        return found
 
-    return states.groupBy("state").applyInPandas(run, "state string, n long, cost long, guess string")
+def known(size: Column, left: Column, more: Column) -> Column:
+    """Cost of a set with so many guesses left: one, three, or what `more` says."""
+    return F.when(size == 1, 1).when(left <= 1, INFEASIBLE).when(size == 2, 3).otherwise(F.coalesce(more, F.lit(INFEASIBLE)))
+
+
+def total(parts: DataFrame, *by: str) -> DataFrame:
+    """parts: by, n (the set's size), cost (of what is left, null: nothing) -> by, cost."""
+    return parts.groupBy(*by).agg(F.least(F.lit(INFEASIBLE), F.first("n") + F.coalesce(F.sum("cost"), F.lit(0))).cast("long").alias("cost"))
+
+
+def greedy_lines(lists: Lists, sets: DataFrame, turns: int = TURNS) -> DataFrame:
+    """sets: cset, members of three or more -> cset, cost, depth of the greedy line; none for lines of more than `turns`."""
+    levels = []
+    while len(levels) < turns and not sets.isEmpty():
+        levels.append(scratch_table(split(lists, sets, greedy_moves(lists, sets)), "lines"))
+        sets = children(levels[-1])
+    found = None
+    for edges in reversed(levels):
+        size = F.size("members")
+        each = edges.select("cset", "child", size.alias("k"))
+        if found is None:
+            each = each.withColumns({"c": F.lit(None).cast("long"), "d": F.lit(None).cast("int")})
+        else:
+            each = each.join(found.select(F.col("cset").alias("child"), F.col("cost").alias("c"), F.col("depth").alias("d")), "child", "left")
+        cost, depth = F.when(F.col("k") == 1, 1).when(F.col("k") == 2, 3).otherwise(F.col("c")), F.when(F.col("k") <= 2, F.col("k")).otherwise(F.col("d"))
+        # the member that is played is hit by itself: the set's size is one more than what is left
+        found = each.groupBy("cset").agg((F.sum("k") + 1 + F.sum(cost)).cast("long").alias("cost"), (F.max(depth) + 1).cast("int").alias("depth"), F.count_if(cost.isNull()).alias("open")).where("open = 0").drop("open")
+    return found if found is not None else lists.spark.createDataFrame([], "cset string, cost long, depth int")
+
+
+def action_values(lists: Lists, sets: DataFrame, left: int, config: TreeConfig, depth: int | None = None) -> DataFrame:
+    """sets: cset, members of three or more -> cset, guess, isc, sumsq, cost of every action with `left` guesses, two or more."""
+    depth = config.depth if depth is None else depth
+    pool = scratch_table(best_splitters(lists.packed, sets, config.top_k), "pool")
+    edges = scratch_table(split(lists, sets, pool.select("cset", "guess")), "edges")
+    below = children(edges)
+    if left <= 2 or below.isEmpty():
+        values = lists.spark.createDataFrame([], "cset string, v long")
+    elif depth > 1:
+        values = action_values(lists, below, left - 1, config, depth - 1).groupBy("cset").agg(F.min("cost").alias("v"))
+    else:
+        values = greedy_lines(lists, below, config.turns).where(F.col("depth") <= left - 1).select("cset", F.col("cost").alias("v"))
+    each = edges.select("cset", "guess", "child", F.size("members").alias("k")).join(values.withColumnRenamed("cset", "child"), "child", "left")
+    parts = pool.join(each, ["cset", "guess"], "left").join(sets.select("cset", F.size("members").alias("n")), "cset")
+    cost = F.when(F.col("k").isNotNull(), known(F.col("k"), F.lit(left - 1), F.col("v")))
+    return total(parts.select("cset", "guess", "isc", "sumsq", "n", cost.alias("cost")), "cset", "guess", "isc", "sumsq")
+
+
+def best_actions(values: DataFrame) -> DataFrame:
+    """cset, cost, guess: members before others, those by what they leave, then the alphabet; none where no action ends in time."""
+    order = F.struct("cost", -F.col("isc"), F.when(F.col("isc") == 1, 0).otherwise(F.col("sumsq")), "guess")
+    return values.where(F.col("cost") < INFEASIBLE).groupBy("cset").agg(F.min_by(F.struct("cost", "guess"), order).alias("b")).select("cset", "b.cost", "b.guess")
+
+
+def tree_values(lists: Lists, states: DataFrame, turn: int, config: TreeConfig = TreeConfig()) -> DataFrame:
+    """states: state, answer -> state, n, cost (null: can't be finished), guess."""
+    states = scratch_table(distinct_sets(states, lists), "states")
+    found = best_actions(action_values(lists, wider(states), config.turns - turn + 1, config))
+    n, first = F.size("members"), lists.targets.select(F.col("aid").alias("first"), "answer")
+    each = states.withColumn("first", F.col("members")[0]).join(F.broadcast(first), "first").join(found, "cset", "left")
+    return each.select("state", n.cast("long").alias("n"), F.when(n == 1, 1).when(n == 2, 3).otherwise(F.col("cost")).cast("long").alias("cost"), F.when(n <= 2, F.col("answer")).otherwise(F.col("guess")).alias("guess"))
+
+
+def tree_games(lists: Lists, states: DataFrame, turn: int, config: TreeConfig = TreeConfig()) -> DataFrame:
+    """states: state, answer -> the games' turns from `turn` on: answer, turn, guess, code, n_before, state."""
+    games, out = states.select("state", "answer"), None
+    for now in range(turn, config.turns + 1):
+        own = scratch_table(distinct_sets(games, lists), "states")
+        wide = scratch_table(wider(own), "wide")
+        first = own.withColumn("first", F.col("members")[0]).join(F.broadcast(lists.targets.select(F.col("aid").alias("first"), "answer")), "first").select("state", "cset", F.size("members").cast("long").alias("n_before"), F.col("answer").alias("only"))
+        if not wide.isEmpty():
+            chosen = greedy_moves(lists, wide)
+            if config.depth and now < config.turns:
+                found = best_actions(action_values(lists, wide, config.turns - now + 1, config)).select("cset", F.col("guess").alias("found"))
+                chosen = chosen.join(found, "cset", "left").select("cset", F.coalesce("found", "guess").alias("guess"))
+            first = first.join(chosen, "cset", "left").withColumn("only", F.when(F.col("n_before") <= 2, F.col("only")).otherwise(F.col("guess"))).drop("guess")
+        played = with_code(games.join(first.select("state", "n_before", F.col("only").alias("guess")), "state"), "guess", "answer")
+        played = scratch_table(played.select("answer", F.lit(now).alias("turn"), "guess", "code", "n_before", "state"), "turn")
+        out = played if out is None else out.unionByName(played)
+        games = played.where(F.col("code") != ALL_RIGHT).select(F.concat("state", F.lit("|"), "guess", F.lit(":"), F.col("code").cast("string")).alias("state"), "answer")
+    return out
 
 
 def action_costs(actions: Iterable[str], candidates: Iterable[str], left: int) -> dict[str, int]:
     """Total cost of each action, of a game in which all later actions agree with the feedback, too."""
     words = sorted(actions)
-    table = codes(words, words).tolist()
+    table = codes(letters_of(words), letters_of(words)).tolist()
     possible = [w in set(candidates) for w in words]
 
     def branch(g: int, alive: tuple[int, ...], left: int) -> int:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.feedback import ALL_RIGHT, code_to_pattern
+from gridloom.operators.loop import Lists
 from gridloom.operators.tree import LARGEST, TreeConfig, adaptive_values, tree_games, tree_values
 from gridloom.plans import games as G
 from gridloom.plans.queries import ORACLES, QUERIES, query
@@ -230,8 +231,12 @@ def after_opener(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select(F.concat(F.lit("|"), "guess", F.lit(":"), F.col("code").cast("string")).alias("state"), "answer", "code")
 
 
-def legal_words(spark: SparkSession, sf_dir: str) -> list[str]:
-    return [r["word"] for r in G.table(spark, sf_dir, "vocab").select("word").collect()]  # MOST_WORDS at most
+def word_lists(spark: SparkSession, sf_dir: str) -> Lists:
+    def make() -> Lists:
+        vocab, _, answers, _ = tables(spark, sf_dir)
+        return Lists(vocab, answers)
+
+    return G.kept(spark, sf_dir, "lists", make)
 
 
 def list_sql(values: str, order: str = "") -> str:
@@ -241,47 +246,82 @@ def list_sql(values: str, order: str = "") -> str:
 POOL = 10
 
 
+WORST = 1 << 30
+
+
+def _value(part: str, left: int, more: str) -> str:
+    return f"CASE WHEN len({part}) = 1 THEN 1 WHEN {left} <= 1 THEN {WORST} WHEN len({part}) = 2 THEN 3 ELSE coalesce({more}, {WORST}) END"
+
+
+def lines_sql(x: str, sets: str, left: int) -> list[str]:
+    """Greedy lines of `sets` (words), a set known by its words: {x}(words, cost) within `left` guesses."""
+    parts, levels = [], max(left - 1, 0)
+    for k in range(levels):
+        own = sets if not k else f"{x}s{k}"
+        parts += [
+            f"{x}p{k} AS MATERIALIZED (SELECT m.words, f.guess, f.code, {list_sql('m.answer')} AS part FROM (SELECT words, unnest(words) AS answer FROM {own}) m JOIN fba f USING (answer) WHERE list_contains(m.words, f.guess) GROUP BY ALL)",
+            f"{x}g{k} AS MATERIALIZED (SELECT words, guess FROM (SELECT words, guess, row_number() OVER (PARTITION BY words ORDER BY sum(len(part) * len(part)), guess) AS rn FROM {x}p{k} GROUP BY words, guess) WHERE rn = 1)",
+            f"{x}e{k} AS MATERIALIZED (SELECT words, part FROM {x}p{k} JOIN {x}g{k} USING (words, guess) WHERE code <> {ALL_RIGHT}), {x}s{k + 1} AS MATERIALIZED (SELECT DISTINCT part AS words FROM {x}e{k} WHERE len(part) > 2)",
+        ]
+    parts.append(f"{x}v{levels} AS (SELECT words, {WORST}::BIGINT AS cost FROM {sets if not levels else f'{x}s{levels}'})")
+    for k in reversed(range(levels)):
+        parts.append(f"{x}v{k} AS MATERIALIZED (SELECT words, least({WORST}, len(words) + sum(c))::BIGINT AS cost FROM (SELECT e.words, {_value('e.part', left - k - 1, 'v.cost')} AS c FROM {x}e{k} e LEFT JOIN {x}v{k + 1} v ON v.words = e.part) GROUP BY words)")
+    return [*parts, f"{x} AS (SELECT * FROM {x}v0)"]
+
+
+def lookahead_sql(x: str, sets: str, left: int, depth: int) -> list[str]:
+    """Priced actions of `sets` (words): {x}(words, guess, isc, place, cost), by joins over distinct lists of words."""
+    parts = [
+        f"{x}p AS MATERIALIZED (SELECT m.words, f.guess, f.code, {list_sql('m.answer')} AS part FROM (SELECT words, unnest(words) AS answer FROM {sets}) m JOIN fba f USING (answer) GROUP BY ALL)",
+        f"{x}q AS (SELECT words, guess, sum(len(part) * len(part)) AS sumsq, max(CASE WHEN code = {ALL_RIGHT} THEN 1 ELSE 0 END) AS isc, count(*) AS k FROM {x}p GROUP BY ALL)",
+        f"{x}pool AS MATERIALIZED (SELECT words, guess, isc, place FROM (SELECT *, row_number() OVER (PARTITION BY words ORDER BY sumsq, guess) AS place FROM {x}q) WHERE (isc = 1 OR place <= {POOL}) AND NOT (k = 1 AND isc = 0))",
+        f"{x}e AS MATERIALIZED (SELECT p.words, p.guess, p.part FROM {x}p p JOIN {x}pool USING (words, guess) WHERE p.code <> {ALL_RIGHT}), {x}s AS MATERIALIZED (SELECT DISTINCT part AS words FROM {x}e WHERE len(part) > 2)",
+    ]
+    if depth > 1:
+        parts += [*lookahead_sql(f"{x}a", f"{x}s", left - 1, depth - 1), f"{x}v AS MATERIALIZED (SELECT words, min(cost) AS cost FROM {x}a GROUP BY words)"]
+    else:
+        parts += lines_sql(f"{x}v", f"{x}s", left - 1)
+    return [*parts, f"{x} AS MATERIALIZED (SELECT p.words, p.guess, p.isc, p.place, least({WORST}, len(p.words) + coalesce(sum(c), 0))::BIGINT AS cost FROM {x}pool p LEFT JOIN (SELECT e.words, e.guess, {_value('e.part', left - 1, 'v.cost')} AS c FROM {x}e e LEFT JOIN {x}v v ON v.words = e.part) y USING (words, guess) GROUP BY p.words, p.guess, p.isc, p.place)"]
+
+
+BEST_ACTION = f"SELECT words, cost, guess FROM {{x}} WHERE cost < {WORST} QUALIFY row_number() OVER (PARTITION BY words ORDER BY cost, isc DESC, CASE WHEN isc = 1 THEN 0 ELSE place END, guess) = 1"
+
+
 def tree_oracle() -> str:
-    """Values of states after the opener at one ply of lookahead, ended by greedy lines, by joins over distinct sets of
-    answers; a set is known by its words. Levels: the guess (turn 2), its parts, then greedy lines to turn 6."""
-    parts = [f"s0 AS MATERIALIZED (SELECT concat('|', guess, ':', code) AS state, {list_sql('answer')} AS words FROM lg_t1 WHERE code <> {ALL_RIGHT} GROUP BY guess, code)"]
-    parts.append("sets0 AS MATERIALIZED (SELECT DISTINCT words FROM s0 WHERE len(words) > 2), m0 AS MATERIALIZED (SELECT words, unnest(words) AS answer FROM sets0)")
-    parts.append(f"p0 AS MATERIALIZED (SELECT m.words, f.guess, f.code, {list_sql('m.answer')} AS part FROM m0 m JOIN fba f USING (answer) GROUP BY ALL)")
-    parts.append(f"q0 AS (SELECT words, guess, sum(len(part) * len(part)) AS sumsq, max(CASE WHEN code = {ALL_RIGHT} THEN 1 ELSE 0 END) AS isc, count(*) AS k FROM p0 GROUP BY ALL)")
-    parts.append(f"r0 AS (SELECT *, row_number() OVER (PARTITION BY words ORDER BY sumsq, guess) AS place FROM q0), pool AS MATERIALIZED (SELECT words, guess, isc, place FROM r0 WHERE (isc = 1 OR place <= {POOL}) AND NOT (k = 1 AND isc = 0))")
-    parts.append(f"e0 AS MATERIALIZED (SELECT p.words, p.guess, p.part FROM p0 p JOIN pool USING (words, guess) WHERE p.code <> {ALL_RIGHT})")
-    parts.append("sets1 AS MATERIALIZED (SELECT DISTINCT part AS words FROM e0 WHERE len(part) > 2)")
-    last = 5  # at level k a state has 5 - k guesses left (turn 2 is level 0)
-    for k in range(1, last - 1):
-        parts.append(f"m{k} AS MATERIALIZED (SELECT words, unnest(words) AS answer FROM sets{k})")
-        parts.append(f"p{k} AS MATERIALIZED (SELECT m.words, f.guess, f.code, {list_sql('m.answer')} AS part FROM m{k} m JOIN fba f USING (answer) WHERE list_contains(m.words, f.guess) GROUP BY ALL)")
-        parts.append(f"g{k} AS MATERIALIZED (SELECT words, guess FROM (SELECT words, guess, row_number() OVER (PARTITION BY words ORDER BY sum(len(part) * len(part)), guess) AS rn FROM p{k} GROUP BY words, guess) WHERE rn = 1)")
-        parts.append(f"e{k} AS MATERIALIZED (SELECT words, part FROM p{k} JOIN g{k} USING (words, guess) WHERE code <> {ALL_RIGHT}), sets{k + 1} AS MATERIALIZED (SELECT DISTINCT part AS words FROM e{k} WHERE len(part) > 2)")
-    worst = 1 << 30
-    base = lambda part, left, v: f"CASE WHEN len({part}) = 1 THEN 1 WHEN {left} <= 1 THEN {worst} WHEN len({part}) = 2 THEN 3 ELSE {v} END"
-    parts.append(f"v{last - 1} AS (SELECT words, {worst}::BIGINT AS cost FROM sets{last - 1})")
-    for k in range(last - 2, 0, -1):
-        child = base("e.part", last - k - 1, f"coalesce(v.cost, {worst})")
-        parts.append(f"v{k} AS MATERIALIZED (SELECT words, least({worst}, len(words) + sum(c))::BIGINT AS cost FROM (SELECT e.words, {child} AS c FROM e{k} e LEFT JOIN v{k + 1} v ON v.words = e.part) GROUP BY words)")
-    child = base("e.part", last - 1, f"coalesce(v.cost, {worst})")
-    parts.append(f"c0 AS (SELECT p.words, p.guess, p.isc, p.place, least({worst}, len(p.words) + coalesce(sum(c), 0))::BIGINT AS cost FROM pool p LEFT JOIN (SELECT e.words, e.guess, {child} AS c FROM e0 e LEFT JOIN v1 v ON v.words = e.part) x USING (words, guess) GROUP BY p.words, p.guess, p.isc, p.place)")
-    parts.append("b0 AS (SELECT words, cost, guess FROM (SELECT *, row_number() OVER (PARTITION BY words ORDER BY cost, isc DESC, CASE WHEN isc = 1 THEN 0 ELSE place END, guess) AS rn FROM c0) WHERE rn = 1)")
+    """Values of states after the opener at one ply of lookahead, ended by greedy lines."""
+    parts = [f"s0 AS MATERIALIZED (SELECT concat('|', guess, ':', code) AS state, {list_sql('answer')} AS words FROM lg_t1 WHERE code <> {ALL_RIGHT} GROUP BY guess, code), sets0 AS MATERIALIZED (SELECT DISTINCT words FROM s0 WHERE len(words) > 2)", *lookahead_sql("la", "sets0", 5, 1)]
     return f"""{lists_oracle()}, {list_games_oracle('full')}, {', '.join(parts)}
-        SELECT s.state, len(s.words)::BIGINT AS n, CASE WHEN len(s.words) = 1 THEN 1 WHEN len(s.words) = 2 THEN 3 WHEN b.cost < {worst} THEN b.cost END AS cost, CASE WHEN len(s.words) <= 2 THEN s.words[1] WHEN b.cost < {worst} THEN b.guess END AS guess FROM s0 s LEFT JOIN b0 b USING (words)"""
+        SELECT s.state, len(s.words)::BIGINT AS n, CASE WHEN len(s.words) = 1 THEN 1 WHEN len(s.words) = 2 THEN 3 ELSE b.cost END AS cost, CASE WHEN len(s.words) <= 2 THEN s.words[1] ELSE b.guess END AS guess FROM s0 s LEFT JOIN ({BEST_ACTION.format(x='la')}) b USING (words)"""
+
+
+def tree_games_oracle(depth: int = 2) -> str:
+    """All games by lookahead after the opener; where no action is sure to end in time, the greedy word."""
+    parts = [f"tg2 AS (SELECT concat('|', guess, ':', code) AS state, answer FROM lg_t1 WHERE code <> {ALL_RIGHT})"]
+    for t in range(2, G.TURNS + 1):
+        parts.append(f"ts{t} AS MATERIALIZED (SELECT state, {list_sql('answer')} AS words FROM tg{t} GROUP BY state), tw{t} AS MATERIALIZED (SELECT DISTINCT words FROM ts{t} WHERE len(words) > 2)")
+        parts.append(f"tr{t} AS MATERIALIZED (SELECT m.words, f.guess, f.code, count(*) AS k FROM (SELECT words, unnest(words) AS answer FROM tw{t}) m JOIN fba f USING (answer) WHERE list_contains(m.words, f.guess) GROUP BY ALL), tp{t} AS (SELECT words, guess FROM tr{t} GROUP BY words, guess QUALIFY row_number() OVER (PARTITION BY words ORDER BY sum(k * k), guess) = 1)")
+        if t < G.TURNS:
+            parts += [*lookahead_sql(f"la{t}x", f"tw{t}", G.TURNS - t + 1, depth), f"tb{t} AS ({BEST_ACTION.format(x=f'la{t}x')})"]
+        else:
+            parts.append(f"tb{t} AS (SELECT words, NULL AS guess FROM tw{t} WHERE FALSE)")
+        parts.append(f"tc{t} AS MATERIALIZED (SELECT s.state, len(s.words)::BIGINT AS n_before, CASE WHEN len(s.words) <= 2 THEN s.words[1] ELSE coalesce(b.guess, p.guess) END AS guess FROM ts{t} s LEFT JOIN tb{t} b USING (words) LEFT JOIN tp{t} p USING (words))")
+        parts.append(f"tt{t} AS MATERIALIZED (SELECT g.answer, {t} AS turn, c.guess, f.code, c.n_before, g.state FROM tg{t} g JOIN tc{t} c USING (state) JOIN fba f ON f.guess = c.guess AND f.answer = g.answer), tg{t + 1} AS (SELECT concat(state, '|', guess, ':', code) AS state, answer FROM tt{t} WHERE code <> {ALL_RIGHT})")
+    every = " UNION ALL ".join(f"SELECT answer, turn, guess, code, n_before FROM tt{t}" for t in range(2, G.TURNS + 1))
+    return f"{lists_oracle()}, {list_games_oracle('full')}, {', '.join(parts)} SELECT answer, turn, guess, code, n_before FROM lg_t1 UNION ALL {every}"
 
 
 @query(tree_oracle())
 def tree_state_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cost and guess of each state after the opener: one ply of lookahead over candidates and the best others."""
     states = after_opener(spark, sf_dir).select("state", "answer")
-    return tree_values(states, legal_words(spark, sf_dir), 2, TreeConfig(depth=1, top_k=POOL, endgame_top_k=POOL))
+    return tree_values(word_lists(spark, sf_dir), states, 2, TreeConfig(depth=1, top_k=POOL))
 
 
-@query()
+@query(tree_games_oracle())
 def solver_games_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All games with two plies of lookahead after the entropy opener; tested against a plain search."""
+    """All games with two plies of lookahead after the entropy opener."""
     first = list_games(spark, sf_dir, "full").where("turn = 1").select("answer", "turn", "guess", "code", "n_before", "state")
-    rest = tree_games(after_opener(spark, sf_dir).select("state", "answer"), legal_words(spark, sf_dir), 2)
+    rest = tree_games(word_lists(spark, sf_dir), after_opener(spark, sf_dir).select("state", "answer"), 2)
     return first.unionByName(rest).select("answer", "turn", "guess", "code", "n_before")
 
 

@@ -171,8 +171,8 @@ def known(name: str, none: str) -> str:
     return f"CASE WHEN coalesce({name}, '') = '' THEN '{none}' ELSE {name} END"
 
 
-def prompts(games: str, spark: bool) -> str:
-    """answer, turn, variant, prompt: twelve renderings of every state."""
+def prompts(games: str, spark: bool, wanted: tuple[str, ...] = ()) -> str:
+    """answer, turn, variant, prompt: twelve renderings of every state, or the wanted ones alone."""
     rules, nl, two = quoted(RULES), NL, f"{NL} || {NL}"
     turn = f"'Guess ' || CAST(turn AS VARCHAR(3)) || ' of {TURNS} (' || CAST({TURNS + 1} - turn AS VARCHAR(3)) || ' remaining)'"
     end = f"{two} || {turn} || {two} || '{NEXT}'"
@@ -199,7 +199,9 @@ def prompts(games: str, spark: bool) -> str:
         "guided_prose": f"{rules} || {two} || CASE WHEN turn = 1 THEN 'You know nothing yet, so pick a word that tests common letters.' ELSE 'History:' || {nl} || lines || {two} || {prose} END || {end}",
         "hard_mode_hint": f"{base} || {two} || {turn} || {two} || '{HINT}' || {two} || '{NEXT}'",
     }
-    source = f"SELECT h.*, d.fixed, d.prose_fixed, d.present, d.exact, d.absent, d.ruled, d.prose_ruled, k.keys FROM ({histories(games, spark)}) h LEFT JOIN ({deductions(games, spark)}) d ON d.answer = h.answer AND d.turn = h.turn LEFT JOIN ({keyboards(games)}) k ON k.answer = h.answer AND k.turn = h.turn"
+    variants = {v: text for v, text in variants.items() if v in wanted or not wanted}
+    keys, board = ("k.keys", f" LEFT JOIN ({keyboards(games)}) k ON k.answer = h.answer AND k.turn = h.turn") if "keyboard" in variants else ("NULL AS keys", "")
+    source = f"SELECT h.*, d.fixed, d.prose_fixed, d.present, d.exact, d.absent, d.ruled, d.prose_ruled, {keys} FROM ({histories(games, spark)}) h LEFT JOIN ({deductions(games, spark)}) d ON d.answer = h.answer AND d.turn = h.turn{board}"
     names = ", ".join(f"'{v}'" for v in variants)
     chosen = "CASE variant " + " ".join(f"WHEN '{v}' THEN {text}" for v, text in variants.items()) + " END"
     listing = f"explode(array({names}))" if spark else f"unnest([{names}])"

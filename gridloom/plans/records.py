@@ -30,7 +30,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         for name in TEACHERS:
             games = list_games(spark, sf_dir, name)
             games.createOrReplaceTempView(f"lg_{name}")
-            texts = spark.sql(P.prompts(f"lg_{name}", True)).where("variant = 'baseline'").select("answer", "turn", "prompt")
+            texts = spark.sql(P.prompts(f"lg_{name}", True, ("baseline",))).select("answer", "turn", "prompt")
             after = F.count("*").over(Window.partitionBy("state", "code"))
             own = games.withColumn("after", after).join(texts, ["answer", "turn"]).withColumn("solver", F.lit(name))
             out = own if out is None else out.unionByName(own)
@@ -268,7 +268,7 @@ _VARIANTS = ", ".join(f"'{v}'" for v in SHOWN)
 def prompt_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Histories parsed from prompts and rendered again must stand in the prompts as they are."""
     list_games(spark, sf_dir, "full").createOrReplaceTempView("lg_full")
-    p = spark.sql(P.prompts("lg_full", True)).where(F.col("variant").isin(*SHOWN)).withColumn("h", history_of(F.col("prompt")))
+    p = spark.sql(P.prompts("lg_full", True, SHOWN)).withColumn("h", history_of(F.col("prompt")))
     lines = F.array_join(F.transform("h", lambda x, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), x["guess"], F.lit(" -> "), x["pattern"])), "\n")
     again = F.when(F.size("h") == 0, P.NO_HISTORY).otherwise(F.concat(F.lit("History:\n"), lines, F.lit("\n")))
     shown, rest = (F.regexp_extract("prompt", x, 1).cast("int") for x in (r"Guess ([0-9]+) of", r"\(([0-9]+) remaining\)"))
@@ -548,6 +548,6 @@ def shot_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Worked examples by rotation, and moves that copy one shown."""
     games = list_games(spark, sf_dir, "full")
     games.createOrReplaceTempView("lg_full")
-    p = spark.sql(P.prompts("lg_full", True)).where("variant = 'few_shot'").select("answer", "turn", "prompt").join(games.select("answer", "turn", F.upper("guess").alias("guess")), ["answer", "turn"])
+    p = spark.sql(P.prompts("lg_full", True, ("few_shot",))).select("answer", "turn", "prompt").join(games.select("answer", "turn", F.upper("guess").alias("guess")), ["answer", "turn"])
     x = p.withColumn("shots", F.regexp_extract_all("prompt", F.lit("Next guess: ([A-Z]{5})"), F.lit(1)))
     return x.groupBy(F.get("shots", F.lit(0)).alias("first_shot")).agg(F.count("*").alias("prompts"), F.countDistinct("prompt").alias("states"), F.round(F.lit(100.0) * F.count_if(F.array_contains("shots", F.col("guess"))) / F.count("*"), 4).alias("copy_pct"), F.max(F.size("shots")).cast("long").alias("shown"))

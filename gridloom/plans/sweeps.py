@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.feedback import ALL_RIGHT
 from gridloom.operators import packed
-from gridloom.operators.loop import FAILED, TRACKED, Lists, Setting, play, set_key
+from gridloom.operators.loop import FAILED, TRACKED, Setting, play, set_key
 from gridloom.plans import games as G
-from gridloom.plans.lists import list_games, list_games_oracle, lists_oracle, tables
+from gridloom.plans.lists import list_games, list_games_oracle, lists_oracle, word_lists
 from gridloom.plans.queries import query
 from gridloom.session import scratch_table
 
@@ -35,16 +35,8 @@ CONTROLS = [Setting(f"swept_{t}", "entropy", "restricted", t) for t in THRESHOLD
 SIZED = [Setting(f"{m}_{n}", m, games=n) for m in ("entropy", "expected") for n in SIZES]
 
 
-def lists_of(spark: SparkSession, sf_dir: str) -> Lists:
-    def make() -> Lists:
-        vocab, _, answers, _ = tables(spark, sf_dir)
-        return Lists(vocab, answers)
-
-    return G.kept(spark, sf_dir, "lists", make)
-
-
 def sweep(spark: SparkSession, sf_dir: str, name: str, settings: list[Setting]) -> DataFrame:
-    return G.kept(spark, sf_dir, f"sweep-{name}", lambda: play(lists_of(spark, sf_dir), settings))
+    return G.kept(spark, sf_dir, f"sweep-{name}", lambda: play(word_lists(spark, sf_dir), settings))
 
 
 def sweep_oracle(settings: list[Setting]) -> str:
@@ -134,7 +126,7 @@ def decision_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     feedback table counted for them, against those that each history would count by itself."""
     settings = COMPARED + HYBRIDS
     played = sweep(spark, sf_dir, "cache", settings)
-    words = len(lists_of(spark, sf_dir).words)
+    words = len(word_lists(spark, sf_dir).words)
     chance = F.col("setting").isin(*[s.setting for s in settings if s.metric == "chance"])
     by = played.groupBy("turn").agg(F.count("*").alias("games"), F.countDistinct("setting", "history").alias("histories"), F.countDistinct("cset").alias("sets"))
     apart = played.where("wide").select("turn", "setting", "history", "n_before").distinct().groupBy("turn").agg(F.sum("n_before").alias("apart"))
@@ -149,14 +141,14 @@ def decision_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(lists_oracle() + " SELECT guess, count(*) AS cells, sha256(string_agg(printf('%02X', code), '' ORDER BY answer)) AS digest FROM fba GROUP BY guess")
 def packed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row of bytes a guess: how many, and their digest."""
-    return lists_of(spark, sf_dir).packed.select("guess", F.octet_length("cells").cast("long").alias("cells"), F.sha2(F.hex("cells"), 256).alias("digest"))
+    return word_lists(spark, sf_dir).packed.select("guess", F.octet_length("cells").cast("long").alias("cells"), F.sha2(F.hex("cells"), 256).alias("digest"))
 
 
 @query(f"""{lists_oracle()}, {list_games_oracle('full')}, ids AS (SELECT answer, row_number() OVER (ORDER BY answer) - 1 AS aid FROM answers), al AS (SELECT answer, state FROM lg WHERE turn <= 3), k AS (SELECT state, sha256(string_agg(CAST(aid AS VARCHAR), ',' ORDER BY aid)) AS cset FROM al JOIN ids USING (answer) GROUP BY state)
     SELECT cset, guess, max(sumsq) AS sumsq, max(worst) AS worst, max(n) AS n, round(max(h), 6) AS entropy, max(isc) AS isc FROM ({G.STATS_SQL.format(alive='al', fb='fba')}) s JOIN k USING (state) GROUP BY cset, guess""")
 def packed_partition_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every guess for the sets that games by entropy pass in three turns, off the packed table."""
-    lists = lists_of(spark, sf_dir)
+    lists = word_lists(spark, sf_dir)
     g = list_games(spark, sf_dir, "full").where("turn <= 3").join(F.broadcast(lists.targets), "answer")
     sets = g.groupBy("state").agg(F.array_sort(F.collect_list("aid")).alias("members")).select(set_key(F.col("members")).alias("cset"), "members").distinct()
     stats = packed.partition_statistics(lists.packed, scratch_table(sets, "sets"))

@@ -11,10 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LENGTH, LEAST_HITS, MOST_BYTES = 5, 100, 64 << 20
+LENGTH, LEAST_HITS, MOST_BYTES, MOST_SUMMARIES = 5, 100, 64 << 20, 10_000
 TEXT, TABLES = ("txt", "csv", "tsv", "json", "jsonl"), ("parquet",)
-#: What file names say about a list.
-ANSWER_HINTS, GUESS_HINTS = ("answer", "solution", "target", "secret"), ("allowed", "guess", "valid", "accepted", "words")
 
 
 def _fs(spark: SparkSession, path: str):
@@ -82,17 +80,20 @@ def discover(spark: SparkSession, folder: str, skip: Sequence[str] = (), least:
     return extract_words(spark, paths).groupBy("path").agg(F.count("*").alias("n_words"), F.countDistinct("word").alias("n_unique")).where(F.col("n_words") >= least)
 
 
-def classify(found: DataFrame) -> tuple[str, str]:
-    """Which of the discovered files holds answers and which guesses: by their names, or else by size."""
-    name = F.lower(F.element_at(F.split("path", "/"), -1))
-    hit = lambda hints: F.exists(F.array(*map(F.lit, hints)), lambda h: name.contains(h))
-    rows = found.select("path", "n_unique", hit(ANSWER_HINTS).alias("a"), hit(GUESS_HINTS).alias("g")).orderBy("n_unique", "path").collect()  # one row a file
-    if not rows:
+def classify(words: DataFrame) -> tuple[str, str]:
+    """words: path, word -> the files of answers and of guesses, by what is in them: guesses are the list of most distinct
+    words; answers are the list that lies wholly in it (a complete list of guesses) or wholly outside (extras), or nearest to
+    that, the longer of equals. Names of files say nothing."""
+    own = words.select("path", "word").distinct()
+    sizes = own.groupBy("path").agg(F.count("*").alias("n"))
+    largest = sizes.orderBy(F.desc("n"), "path").first()
+    if largest is None:
         raise FileNotFoundError("no word list found")
-    answers, guesses = [r for r in rows if r["a"] and not r["g"]], [r for r in rows if r["g"] and not r["a"]]
-    if not answers or not guesses:
-        answers, guesses = rows[:1], rows[-1:]
-    return answers[0]["path"], guesses[-1]["path"]
+    inside = own.join(own.where(F.col("path") == largest["path"]).select("word"), "word", "left_semi").groupBy("path").agg(F.count("*").alias("shared"))
+    apart = F.least(F.coalesce("shared", F.lit(0)), F.col("n") - F.coalesce("shared", F.lit(0))) / F.col("n")
+    others = sizes.where(F.col("path") != largest["path"]).join(inside, "path", "left")
+    answers = others.orderBy(apart, F.desc("n"), "path").first()
+    return (answers or largest)["path"], largest["path"]
 
 
 # -- bundles ------------------------------------------------------------------------------------------------------
@@ -155,8 +156,11 @@ def read_record(spark: SparkSession, path: str) -> dict:
 
 
 def write_summary(df: DataFrame, path: str, **more: object) -> None:
-    """A small table (rows of summaries) as one JSON record."""
-    write_record(df.sparkSession, path, {"summaries": [json.loads(r) for r in df.toJSON().take(10_000)], **more})
+    """A small table (rows of summaries) as one JSON record; raises where it has more than MOST_SUMMARIES rows."""
+    rows = df.toJSON().take(MOST_SUMMARIES + 1)
+    if len(rows) > MOST_SUMMARIES:
+        raise ValueError(f"over {MOST_SUMMARIES} rows aren't a summary; write a table")
+    write_record(df.sparkSession, path, {"summaries": [json.loads(r) for r in rows], **more})
 
 
 def portable_path(path: str | None, base: str) -> str | None:

@@ -7,9 +7,13 @@ import math
 import random
 from functools import cache
 
+import numpy as np
 import pytest
 
 from gridloom.operators import tree as T
+from gridloom.operators.loop import Lists, Setting, settings_table
+from gridloom.operators.loop import play as play_settings
+from gridloom.operators.packed import MOST_WORDS, codes, letters_of, packed_matrix, set_statistics
 from gridloom.plans import games as G
 from gridloom.plans import lists as L
 
@@ -162,64 +166,65 @@ def plain_cost(alive, left, pool, failed):
     return failed * len(alive) if best is None else best
 
 
-def test_search_against_plain_recursion():
+def parts_of(g, alive):
+    parts: dict[int, list[str]] = {}
+    for a in alive:
+        parts.setdefault(code(g, a), []).append(a)
+    return parts
+
+
+def word_lists(spark, legal, answers):
+    return Lists(spark.createDataFrame([(w,) for w in legal], "word string"), spark.createDataFrame([(a,) for a in answers], "answer string"))
+
+
+def test_search_against_plain_recursion(spark):
     """With every guess in the pool and all plies of lookahead, the search is exact."""
     answers = WORDS[::19][:7]
     legal = sorted({*answers, *WORDS[::31]})
-    config = T.TreeConfig(depth=9, top_k=len(legal), endgame_top_k=len(legal))
-    search = T.Search(legal, answers, config)
-    cost, g = search.solve(tuple(range(len(answers))), 4)
-    assert cost == plain_cost(answers, 4, lambda alive: legal, T.INFEASIBLE)
-    parts: dict[int, list[str]] = {}
-    for a in answers:
-        parts.setdefault(code(legal[g], a), []).append(a)
-    assert cost == len(answers) + sum(plain_cost(p, 3, lambda alive: legal, T.INFEASIBLE) for c, p in parts.items() if c != 242)
-    assert search.solve(tuple(range(len(answers))), 1) == (T.INFEASIBLE, -1)
-    assert (T.codes(legal, answers) == [[code(x, a) for a in answers] for x in legal]).all()
+    states = spark.createDataFrame([("s", a) for a in answers] + [("few", answers[0]), ("few", answers[3])], "state string, answer string")
+    config = T.TreeConfig(depth=9, top_k=len(legal), turns=4)
+    found = {r.state: r for r in T.tree_values(word_lists(spark, legal, answers), states, 1, config).collect()}
+    assert found["s"].cost == plain_cost(answers, 4, lambda alive: legal, T.INFEASIBLE) and found["s"].n == 7
+    assert found["s"].cost == len(answers) + sum(plain_cost(p, 3, lambda alive: legal, T.INFEASIBLE) for c, p in parts_of(found["s"].guess, answers).items() if c != 242)
+    assert (found["few"].cost, found["few"].guess) == (3, min(answers[0], answers[3]))
+    assert (codes(letters_of(legal), letters_of(answers)) == [[code(x, a) for a in answers] for x in legal]).all()
 
 
-def test_lookahead_and_greedy_lines():
+def test_lookahead_and_greedy_lines(spark):
     """One ply ended by the greedy line: the candidate that leaves least, played on to the end."""
     answers = WORDS[3:40:3]
-    search = T.Search(WORDS, answers, T.TreeConfig(depth=1, top_k=5, endgame_top_k=5))
+    lists = word_lists(spark, WORDS, answers)
 
     def greedy(alive):
         return min(alive, key=lambda g: (stats(g, alive)["sumsq"], g))
 
-    def line(alive, left):
-        if len(alive) == 1:
-            return 1
-        if left <= 1:
-            return T.INFEASIBLE
-        if len(alive) == 2:
-            return 3
-        parts: dict[int, list[str]] = {}
-        for a in alive:
-            parts.setdefault(code(greedy(alive), a), []).append(a)
-        costs = [line(p, left - 1) for c, p in parts.items() if c != 242]
-        return T.INFEASIBLE if T.INFEASIBLE in costs else len(alive) + sum(costs)
-
-    state = tuple(range(len(answers)))
-    assert search.horizon(state, 5) == line(answers, 5)
+    def line(alive):
+        """Cost and length of the greedy line."""
+        if len(alive) <= 2:
+            return 2 * len(alive) - 1, len(alive)
+        below = [line(p) for c, p in parts_of(greedy(alive), alive).items() if c != 242]
+        return len(alive) + sum(c for c, _ in below), 1 + max(d for _, d in below)
+
+    states = spark.createDataFrame([("s", a) for a in answers], "state string, answer string")
+    sets = T.distinct_sets(states, lists)
+    row = T.greedy_lines(lists, sets.select("cset", "members")).first()
+    assert (row["cost"], row["depth"]) == line(answers)
     others = sorted(WORDS, key=lambda g: (stats(g, answers)["sumsq"], g))[:5]
     values = {}
     for g in {*answers, *others}:
-        parts: dict[int, list[str]] = {}
-        for a in answers:
-            parts.setdefault(code(g, a), []).append(a)
-        values[g] = len(answers) + sum(line(p, 4) for c, p in parts.items() if c != 242)
-    cost, g = search.solve(state, 5)
-    assert cost == min(values.values()) == values[WORDS[g]]
-    games = list(search.play(state, 2, ""))
-    assert {r[0] for r in games if r[3] == 242} == set(answers) and all(code(g, a) == c for a, _, g, c, _, _ in games)
+        below = [line(p) for c, p in parts_of(g, answers).items() if c != 242]
+        values[g] = len(answers) + sum(c if d <= 4 else T.INFEASIBLE for c, d in below)
+    priced = {r.guess: r.cost for r in T.action_values(lists, sets.select("cset", "members"), 5, T.TreeConfig(depth=1, top_k=5)).collect()}
+    assert priced == {g: min(v, T.INFEASIBLE) for g, v in values.items()}
 
 
 def test_tree_games_are_no_worse_than_their_greedy_line(spark, folder):
-    states = L.after_opener(spark, folder).select("state", "answer")
-    games = T.tree_games(states, WORDS, 2).toPandas()
-    greedy = T.tree_games(states, WORDS, 2, T.TreeConfig(depth=0)).toPandas()
+    states, lists = L.after_opener(spark, folder).select("state", "answer"), L.word_lists(spark, folder)
+    games = T.tree_games(lists, states, 2).toPandas()
+    greedy = T.tree_games(lists, states, 2, T.TreeConfig(depth=0)).toPandas()
     total = lambda g: sum(x.turn.max() if 242 in set(x.code) else 7 for _, x in g.groupby("answer"))
     assert total(games) <= total(greedy) and set(games.answer) == {r.answer for r in states.collect()}
+    assert all(code(r.guess, r.answer) == r.code for r in games.itertuples())
 
 
 def test_adaptive_values_against_plain_recursion():
@@ -247,6 +252,31 @@ def test_adaptive_values_against_plain_recursion():
             assert T.action_costs(words, possible, left) == {g: action(g, words, possible, left) for g in words}
 
 
-def test_too_many_guesses_are_refused():
+def test_too_many_answers_are_refused(spark):
+    with pytest.raises(ValueError):
+        packed_matrix(spark.createDataFrame([(0, "aaaaa")], "gid int, guess string"), ["aaaaa"] * (MOST_WORDS + 1))
+
+
+def test_set_statistics_of_small_and_large_sets():
+    """Members compared with each other, or counted by code: the same numbers as plain counting."""
+    table = codes(letters_of(WORDS), letters_of(WORDS))
+    for size in (1, 2, 9, 16, 17, 60):
+        members = np.array([random.Random(k).sample(range(len(WORDS)), size) for k in range(3)])
+        sumsq, worst, kl, isc = set_statistics(table, members)
+        for q, own in enumerate(members.tolist()):
+            for g, w in enumerate(WORDS):
+                s = stats(w, [WORDS[k] for k in own])
+                assert (sumsq[g, q], worst[g, q], isc[g, q]) == (s["sumsq"], s["worst"], bool(s["isc"]))
+                assert abs(math.log2(size) - kl[g, q] / size - s["h"]) < 1e-9
+
+
+def test_settings_are_checked_and_a_small_table_stays_whole(spark):
     with pytest.raises(ValueError):
-        T.checked(["aaaaa"] * (T.MOST_GUESSES + 1))
+        settings_table(spark, [Setting("x", metric="unknown")])
+    lists = word_lists(spark, WORDS, WORDS[::3])
+    games = play_settings(lists, [Setting("few", games=5), Setting("all", "chance", "restricted", 3, seed="z")]).toPandas()
+    assert games[games.setting == "few"].answer.nunique() == 5 and set(games[games.setting == "all"].answer) == set(WORDS[::3])
+    assert all(code(r.guess, r.answer) == r.code for r in games.itertuples())
+    # equal sets get equal moves, whatever the way to them
+    for _, x in games[games.setting == "all"].groupby(["cset", "turn", "n_adm"]):
+        assert x.guess.nunique() == 1

@@ -50,10 +50,18 @@ def test_discovery_and_classification(spark, tmp_path):
     found = S.discover(spark, str(tmp_path), skip=("skipped",))
     sizes = {r.path.rpartition("/")[2].rpartition(".")[2]: r.n_unique for r in found.collect()}
     assert sizes == {"txt": 120, "csv": len(many), "json": 110, "parquet": 130}
-    a, g = S.classify(found)
-    assert a.endswith("my_answers.txt") and g.endswith("allowed.csv")
-    a, g = S.classify(found.where("path like '%json' or path like '%parquet'"))
-    assert a.endswith("nested.json") and g.endswith("parquet")
+    words = S.extract_words(spark, [r.path for r in found.collect()])
+    a, g = S.classify(words)  # all lie in the longest list: the longest of them
+    assert "t.parquet" in a and g.endswith("allowed.csv")
+    a, g = S.classify(words.where("path like '%json' or path like '%txt'"))
+    assert a.endswith("nested.json") and g.endswith("my_answers.txt")
+    half = spark.createDataFrame([("mixed", w) for w in (*many[:60], *(w[::-1] for w in many[:70]))] + [("apart", w.replace("de", "fg")) for w in many[:40]], "path string, word string")
+    a, g = S.classify(words.where("path like '%csv'").unionByName(half))  # extras share no word with the answers
+    assert a == "apart" and g.endswith("allowed.csv")
+    one = words.where("path like '%json'")
+    assert len(set(S.classify(one))) == 1
+    with pytest.raises(FileNotFoundError):
+        S.classify(words.limit(0))
     assert S.find_first(spark, str(tmp_path), ("no.txt", "few.txt")).endswith("few.txt")
     with pytest.raises(FileNotFoundError):
         S.find_first(spark, str(tmp_path), ("no.txt",))
