@@ -175,12 +175,14 @@ def action_costs(actions: Iterable[str], candidates: Iterable[str], left: int) -
     return {words[g]: branch(g, tuple(range(len(words))), left) for g in range(len(words))}
 
 
-def adaptive_values(states: DataFrame, left: int) -> DataFrame:
-    """states: state, word, isc (it can be the answer), of at most LARGEST words each -> state, guess, cost, optimal."""
+def adaptive_values(states: DataFrame, left: int | None = None) -> DataFrame:
+    """states: state, word, isc (it can be the answer), of at most LARGEST words each, and left (guesses) unless one number is
+    given for all -> state, guess, cost, optimal."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        costs = action_costs(pdf["word"], pdf["word"][pdf["isc"] == 1], left)
+        costs = action_costs(pdf["word"], pdf["word"][pdf["isc"] == 1], int(pdf["left"].iloc[0]))
         best = min(costs.values())
         return pd.DataFrame({"state": pdf["state"].iloc[0], "guess": list(costs), "cost": list(costs.values()), "optimal": [c == best for c in costs.values()]})
 
-    return states.groupBy("state").applyInPandas(solve, "state string, guess string, cost long, optimal boolean")
+    rows = states if left is None else states.withColumn("left", F.lit(left))
+    return rows.select("state", "word", "isc", "left").groupBy("state").applyInPandas(solve, "state string, guess string, cost long, optimal boolean")
