@@ -12,7 +12,8 @@ among the words allowed by a hash of seed and set. Then distinct moves split set
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 from dataclasses import astuple, dataclass, fields
 
 import numpy as np
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.feedback import ALL_RIGHT, feedback_code
 from gridloom.operators import packed as P
 from gridloom.session import scratch_table
+from gridloom.sources.files import exists, read_record, write_record
 
 TURNS, FAILED, ENDGAME = 6, 7, 2
 METRICS = ("entropy", "expected", "minimax", "hybrid", "chance")
@@ -191,8 +193,36 @@ def choose(lists: Lists, table: DataFrame, states: DataFrame, sets: DataFrame, a
     return found.join(lists.legal, "gid").join(asks, "ask").select("setting", "cset", "aset", "guess", n.cast("long").alias("n_before"), F.when(F.col("aset") != "", F.size("adm")).cast("long").alias("n_adm"), "wide")
 
 
-def play(lists: Lists, settings: list[Setting]) -> DataFrame:
-    """The games' turns: setting, answer, turn, guess, code, n_before, n_adm, wide, cset, history.
+class Progress:
+    """Turns of a loop kept in a folder: a turn's tables are written, then the record says so. A run that finds the record
+    goes on behind it; a folder of other settings or lists is refused. Without a folder tables are scratch tables."""
+
+    def __init__(self, lists: Lists, settings: list[Setting], folder: str | None) -> None:
+        self.spark, self.folder, self.done = lists.spark, folder, 0
+        self.run = hashlib.sha256(repr((settings, lists.words, lists.answers)).encode()).hexdigest()
+        if folder and exists(self.spark, f"{folder}/progress.json"):
+            found = read_record(self.spark, f"{folder}/progress.json")
+            if found["run"] != self.run:
+                raise ValueError(f"{folder} holds turns of other settings or lists")
+            self.done = found["done"]
+
+    def keep(self, turn: int, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if not self.folder:
+            return scratch_table(make(), name)
+        path = f"{self.folder}/{name}-{turn}"
+        if turn > self.done:
+            make().write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def finished(self, turn: int) -> None:
+        if self.folder and turn > self.done:
+            write_record(self.spark, f"{self.folder}/progress.json", {"run": self.run, "done": turn})
+            self.done = turn
+
+
+def play(lists: Lists, settings: list[Setting], folder: str | None = None) -> DataFrame:
+    """The games' turns: setting, answer, turn, guess, code, n_before, n_adm, wide, cset, history. With a folder, turns that it
+    holds are read and not played.
 
     n_adm is null where the setting doesn't track admissible words; wide: every legal word was scored there.
     """
@@ -206,20 +236,24 @@ def play(lists: Lists, settings: list[Setting]) -> DataFrame:
     games = lists.targets.select("answer", place.alias("place")).join(F.broadcast(table), F.expr("games = 0 OR place <= games"))
     start = root.select(set_key(F.col("c")).alias("cset"), set_key(F.col("a")).alias("aset"))  # one row
     games = games.crossJoin(F.broadcast(start)).select("setting", "answer", "cset", F.when(F.col("pool").isin(*TRACKED), F.col("aset")).otherwise("").alias("aset"), F.lit("").alias("history"))
-    tracked, out = any(s.pool in TRACKED for s in settings), None
+    tracked, out, progress = any(s.pool in TRACKED for s in settings), None, Progress(lists, settings, folder)
     for turn in range(1, TURNS + 1):
-        chosen = choose(lists, table, games.select("setting", "cset", "aset").distinct(), sets, admissible, turn)
-        played = scratch_table(with_code(games.join(chosen, ["setting", "cset", "aset"]), "guess", "answer").withColumn("turn", F.lit(turn)), "played")
+
+        def move(games=games, sets=sets, admissible=admissible, turn=turn) -> DataFrame:
+            chosen = choose(lists, table, games.select("setting", "cset", "aset").distinct(), sets, admissible, turn)
+            return with_code(games.join(chosen, ["setting", "cset", "aset"]), "guess", "answer").withColumn("turn", F.lit(turn))
+
+        played = progress.keep(turn, "played", move)
         out = played if out is None else out.unionByName(played)
-        if turn == TURNS:
-            break
-        going = played.where(F.col("code") != ALL_RIGHT)
-        split = scratch_table(split_sets(sets, going.select("cset", "guess").distinct(), "cset", targets), "sets")
-        sets = split.groupBy(F.col("child").alias("cset")).agg(F.first("members").alias("members"))
-        going = going.join(split.select("cset", "guess", "code", F.col("child").alias("next")), ["cset", "guess", "code"]).withColumn("next_adm", F.lit(""))
-        if tracked:
-            narrowed = scratch_table(split_sets(admissible, going.where("aset <> ''").select("aset", "guess").distinct(), "aset", words), "admissible")
-            admissible = narrowed.groupBy(F.col("child").alias("aset")).agg(F.first("members").alias("members"))
-            going = going.drop("next_adm").join(narrowed.select("aset", "guess", "code", F.col("child").alias("next_adm")), ["aset", "guess", "code"], "left")
-        games = going.select("setting", "answer", F.col("next").alias("cset"), F.coalesce("next_adm", F.lit("")).alias("aset"), F.concat("history", F.lit("|"), "guess", F.lit(":"), F.col("code").cast("string")).alias("history"))
+        if turn < TURNS:
+            going = played.where(F.col("code") != ALL_RIGHT)
+            split = progress.keep(turn, "sets", lambda going=going, sets=sets: split_sets(sets, going.select("cset", "guess").distinct(), "cset", targets))
+            sets = split.groupBy(F.col("child").alias("cset")).agg(F.first("members").alias("members"))
+            going = going.join(split.select("cset", "guess", "code", F.col("child").alias("next")), ["cset", "guess", "code"]).withColumn("next_adm", F.lit(""))
+            if tracked:
+                narrowed = progress.keep(turn, "admissible", lambda going=going, admissible=admissible: split_sets(admissible, going.where("aset <> ''").select("aset", "guess").distinct(), "aset", words))
+                admissible = narrowed.groupBy(F.col("child").alias("aset")).agg(F.first("members").alias("members"))
+                going = going.drop("next_adm").join(narrowed.select("aset", "guess", "code", F.col("child").alias("next_adm")), ["aset", "guess", "code"], "left")
+            games = going.select("setting", "answer", F.col("next").alias("cset"), F.coalesce("next_adm", F.lit("")).alias("aset"), F.concat("history", F.lit("|"), "guess", F.lit(":"), F.col("code").cast("string")).alias("history"))
+        progress.finished(turn)
     return out.select("setting", "answer", "turn", "guess", "code", "n_before", "n_adm", "wide", "cset", "history")

@@ -10,7 +10,7 @@ import pytest
 
 from gridloom.functions.feedback import code_to_pattern, feedback_code, letters, pattern_to_code
 from gridloom.functions.hashing import split_of
-from gridloom.plans import datasets, lists, packages, records, sweeps  # noqa: F401  (register their queries)
+from gridloom.plans import datasets, lists, packages, records, replays, sampling, sweeps  # noqa: F401  (register their queries)
 from gridloom.plans.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"

@@ -10,12 +10,14 @@ from functools import cache
 import numpy as np
 import pytest
 
+from gridloom.operators import loop
 from gridloom.operators import tree as T
 from gridloom.operators.loop import Lists, Setting, settings_table
 from gridloom.operators.loop import play as play_settings
 from gridloom.operators.packed import MOST_WORDS, codes, letters_of, packed_matrix, set_statistics
 from gridloom.plans import games as G
 from gridloom.plans import lists as L
+from gridloom.plans import replays as R
 
 rng = random.Random(23)
 WORDS = sorted({"".join(rng.choice("aeilnorst") for _ in range(5)) for _ in range(170)})[:150]
@@ -280,3 +282,45 @@ def test_settings_are_checked_and_a_small_table_stays_whole(spark):
     # equal sets get equal moves, whatever the way to them
     for _, x in games[games.setting == "all"].groupby(["cset", "turn", "n_adm"]):
         assert x.guess.nunique() == 1
+
+
+def test_a_loop_goes_on_from_its_last_completed_turn(spark, tmp_path, monkeypatch):
+    """Stopped in turn 4, then run again: turns 1 to 3 are read, the games are those of a run without a stop."""
+    lists, settings, at = word_lists(spark, WORDS, WORDS[::3]), [Setting("h", "hybrid", lam=0.5), Setting("r", "expected", "restricted", 4)], str(tmp_path / "run")
+    plain, real, turns = sorted(map(tuple, play_settings(lists, settings).collect())), loop.choose, []
+
+    def choose(*args):
+        turns.append(args[-1])
+        if args[-1] == 4 and len(turns) == 4:
+            raise RuntimeError("an executor is lost for good")
+        return real(*args)
+
+    monkeypatch.setattr(loop, "choose", choose)
+    with pytest.raises(RuntimeError):
+        play_settings(lists, settings, at)
+    assert turns == [1, 2, 3, 4]
+    assert sorted(map(tuple, play_settings(lists, settings, at).collect())) == plain and turns == [1, 2, 3, 4, 4, 5, 6]
+    assert sorted(map(tuple, play_settings(lists, settings, at).collect())) == plain and len(turns) == 7
+    with pytest.raises(ValueError):
+        play_settings(lists, settings[:1], at)
+
+
+def test_a_policy_with_two_moves_is_refused_and_its_holes_are_named(spark):
+    lists = word_lists(spark, WORDS, WORDS[:20])
+    with pytest.raises(ValueError):
+        R.policy_of(spark.createDataFrame([("", WORDS[0]), ("", WORDS[1])], "state string, guess string"))
+    rows = R.replay(lists, spark.createDataFrame([("", WORDS[0])], "state string, guess string")).collect()
+    holes = {r.state for r in rows if r.guess is None}
+    assert holes == {f"|{WORDS[0]}:{code(WORDS[0], a)}" for a in WORDS[1:20]} and {r.answer for r in rows if r.code == 242} == {WORDS[0]}
+    assert all(r.code is None for r in rows if r.guess is None) and len(rows) == 20 + 19
+
+
+def test_scores_along_the_trie_equal_sums_word_by_word(spark):
+    edges = R.trie(spark.createDataFrame([(w,) for w in WORDS], "word string"))
+    assert edges.count() == len({w[:2] for w in WORDS}) + len({w[:4] for w in WORDS}) + 2 * len(WORDS)
+    states = spark.createDataFrame([("s",), ("t",)], "state string")
+    lp = lambda s, n, t: math.log((int(sha(f"lp|{s}|{n}|{t}")[:8], 16) + 1) / 4294967296)
+    got = {(r.state, r.word): r.score for r in R.completed(R.first_tokens(states, edges), edges).collect()}
+    assert len(got) == 2 * len(WORDS)
+    for (s, w), score in got.items():
+        assert abs(score - sum(lp(s, n, t) for n, t in (("", w[:2]), (w[:2], w[2:4]), (w[:4], w[4]), (w, "</s>")))) < 1e-9
