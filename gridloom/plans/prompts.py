@@ -171,6 +171,10 @@ def known(name: str, none: str) -> str:
     return f"CASE WHEN coalesce({name}, '') = '' THEN '{none}' ELSE {name} END"
 
 
+#: All renderings of a state.
+VARIANTS = ("few_shot", "baseline", "raw_history", "constraints_only", "minimal", "with_count", "emoji", "verbose", "reversed", "keyboard", "guided_prose", "hard_mode_hint")
+
+
 def prompts(games: str, spark: bool, wanted: tuple[str, ...] = ()) -> str:
     """answer, turn, variant, prompt: twelve renderings of every state, or the wanted ones alone."""
     rules, nl, two = quoted(RULES), NL, f"{NL} || {NL}"

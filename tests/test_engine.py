@@ -10,7 +10,7 @@ import pytest
 
 from gridloom.functions.feedback import code_to_pattern, feedback_code, letters, pattern_to_code
 from gridloom.functions.hashing import split_of
-from gridloom.plans import datasets, lists, packages, records, replays, sampling, sweeps  # noqa: F401  (register their queries)
+from gridloom.plans import audits, datasets, lists, packages, records, replays, rerender, sampling, sweeps  # noqa: F401  (register their queries)
 from gridloom.plans.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -96,3 +96,24 @@ def test_audits_find_planted_faults_and_nothing_else(spark):
     rows = {r.tab: r.asDict() for r in QUERIES["task_table_audit"](spark, DATA).collect()}
     assert rows["clean"]["wrong_cost"] == rows["clean"]["unknown"] == rows["clean"]["illegal"] == 0 < rows["planted"]["wrong_cost"]
     assert all(r.unparsed == r.wrong_turn == r.not_round == 0 for r in QUERIES["prompt_round_trip"](spark, DATA).collect())
+
+
+@pytest.mark.parametrize("name", ["legal_pair_audit", "endgame_audit"])
+def test_each_compiled_rule_finds_its_own_fault_and_nothing_in_the_rows_as_they_are(spark, name):
+    rows = QUERIES[name](spark, DATA).collect()
+    assert len(rows) == {"legal_pair_audit": 41, "endgame_audit": 12}[name]
+    assert all(r.audited > 0 and r.broken == 0 for r in rows)
+    assert [r.rule for r in rows if not r.caught] == []
+
+
+def test_prompts_of_all_variants_come_back_byte_for_byte(spark):
+    rows = {(r.tab, r.variant): r for r in QUERIES["prompt_rerender"](spark, DATA).collect()}
+    assert len(rows) == 24 and all(r.unread == 0 for r in rows.values())
+    assert all(r.different == r.changed == 0 for (tab, _), r in rows.items() if tab == "clean")
+    assert sum(r.different for r in rows.values()) > 0 and sum(r.changed for r in rows.values()) > 0
+
+
+def test_the_decision_cache_counts_less_than_histories_do(spark):
+    rows = QUERIES["decision_cache"](spark, DATA).collect()
+    assert all(r.sets <= r.histories <= r.games and r.cells_by_set <= r.cells_by_history for r in rows)
+    assert sum(r.cells_by_set for r in rows) < 0.5 * sum(r.cells_by_history for r in rows)
