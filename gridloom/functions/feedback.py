@@ -6,6 +6,9 @@ often as the answer has it outside the places that are right.
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 LENGTH, ALL_RIGHT = 5, 242
 
 
@@ -34,3 +37,10 @@ def pattern_to_code(pattern: str) -> str:
     """SQL: letters of BYG (any case; _ . 0 for B, ? 1 for Y, + 2 for G) as a code."""
     plain = f"translate(upper(trim({pattern})), '_.?+BYG', '0012012')"
     return "(" + " + ".join(f"{3**i} * CAST(substr({plain}, {i + 1}, 1) AS INT)" for i in range(LENGTH)) + ")"
+
+
+def checked_code(pattern: Column) -> Column:
+    """A pattern as a code, by `pattern_to_code`'s letters; five of them, or an error that shows the pattern."""
+    plain = F.translate(F.upper(F.trim(pattern)), "_.?+BYG", "0012012")
+    code = sum((F.substring(plain, i + 1, 1).cast("int") * 3**i for i in range(1, LENGTH)), F.substring(plain, 1, 1).cast("int"))
+    return F.when(pattern.isNull(), F.lit(None)).when(plain.rlike(f"^[012]{{{LENGTH}}}$"), code).otherwise(F.raise_error(F.concat(F.lit("no feedback pattern: "), pattern)).cast("int"))

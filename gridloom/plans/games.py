@@ -128,6 +128,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return out
 
 
+def all_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every five-letter word of the documents, rare ones too, registered as words_all: what needs no pairs needs no bound."""
+    out = kept(spark, sf_dir, "words_all", lambda: scratch_table(vocabulary(read_table(spark, sf_dir, "documents")), "words_all"))
+    out.createOrReplaceTempView("words_all")
+    return out
+
+
 def games(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
     """answer, turn, guess, code, n_before, state: all games under a rule."""
 
@@ -148,6 +155,8 @@ def games(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
 
 VOCAB_ORACLE = r"vocab AS MATERIALIZED (SELECT word, count(*) AS uses, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS word FROM documents) WHERE regexp_matches(word, '^[a-z]{5}$') GROUP BY word ORDER BY documents DESC, word LIMIT 20000)"
 
+ALL_WORDS_ORACLE = VOCAB_ORACLE.replace(" ORDER BY documents DESC, word LIMIT 20000", "").replace("vocab AS", "words_all AS")
+
 
 def games_oracle(rule: str, name: str = "games") -> str:
     """WITH items of the same loop for DuckDB, without WITH; `name` holds the games."""

@@ -46,9 +46,22 @@ def same(name: str, text: str, *rules: str) -> None:
 # -- vocabulary ---------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {G.VOCAB_ORACLE} SELECT word, uses, documents FROM vocab")
-def word_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.table(spark, sf_dir, "vocab").select("word", "uses", "documents")
+def over_all_words(name: str, text: str) -> None:
+    """A query whose text both engines run over every word, however rare."""
+    text = text.replace("vocab", "words_all")
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        G.all_words(spark, sf_dir)
+        return spark.sql(text)
+
+    QUERIES[name] = run
+    ORACLES[name] = f"WITH {G.ALL_WORDS_ORACLE} SELECT * FROM ({text}) q"
+
+
+over_all_words("word_freq", "SELECT word, uses, documents FROM vocab")
+over_all_words("letter_presence", f"SELECT letter, round(p, 9) AS p FROM ({G.PRESENCE_SQL}) q")
+over_all_words("letter_positional", f"SELECT place, letter, round(p, 9) AS p FROM ({G.PLACE_SQL}) q")
+over_all_words("frequency_score", f"SELECT guess, round(fscore, 6) AS score FROM ({G.SCORE_SQL}) q")
 
 
 @query(r"SELECT length(word) AS n_letters, count(*) AS uses, count(DISTINCT word) AS words, count(*) FILTER (WHERE regexp_matches(word, '^[a-z]+$')) AS plain FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS word FROM documents) WHERE word <> '' GROUP BY 1")
@@ -68,9 +81,6 @@ same("partition_stats", f"SELECT guess, round(h, 6) AS entropy, round(1.0e0 * su
 for _metric, _order in (("entropy", "round(h, 9) DESC, guess"), ("expected", "sumsq, guess"), ("minimax", "worst, guess")):
     same(f"top_openers_{_metric}", f"SELECT guess, round(h, 6) AS entropy, round(1.0e0 * sumsq / n, 6) AS expected_remaining, worst, CAST(row_number() OVER (ORDER BY {_order}) AS BIGINT) AS place FROM (SELECT * FROM ({STATS}) s ORDER BY {_order} LIMIT 20) t")
 same("first_guess_analysis", f"SELECT s.guess, round(h, 6) AS entropy, round(1.0e0 * sumsq / n, 6) AS expected_remaining, worst, round(fscore, 6) AS frequency FROM ({STATS}) s JOIN fscores f ON f.guess = s.guess")
-same("letter_presence", f"SELECT letter, round(p, 9) AS p FROM ({G.PRESENCE_SQL}) q")
-same("letter_positional", f"SELECT place, letter, round(p, 9) AS p FROM ({G.PLACE_SQL}) q")
-same("frequency_score", "SELECT guess, round(fscore, 6) AS score FROM fscores")
 same("hybrid_score", f"SELECT guess, round(h - 0.25e0 * log2(worst) - 0.25e0 * log2(1.0e0 * sumsq / n) + CASE WHEN isc = 1 THEN log2(1 + 1.0e0 / n) ELSE 0 END, 6) AS score FROM ({STATS}) s")
 same("hybrid_weight_sweep", f"SELECT lam, guess FROM (SELECT lam, guess, row_number() OVER (PARTITION BY lam ORDER BY round(h - lam * log2(worst), 9) DESC, guess) AS rn FROM ({STATS}) s CROSS JOIN (SELECT 0.0e0 AS lam UNION ALL SELECT 0.25e0 UNION ALL SELECT 0.5e0 UNION ALL SELECT 1.0e0) w) r WHERE rn = 1".replace("lam, guess FROM (SELECT lam", "CAST(lam AS DOUBLE) AS lam, guess FROM (SELECT lam"))
 BEST = f"(SELECT guess FROM ({STATS}) s ORDER BY round(h, 9) DESC, guess LIMIT 1)"
@@ -95,7 +105,7 @@ SCORES = f"SELECT answer, CASE WHEN max(CASE WHEN code = {ALL_RIGHT} THEN 1 ELSE
 E = SCORES.format(r="expected")
 same("solver_summary", f"SELECT count(*) AS games, round(avg(CASE WHEN score < 7 THEN score * 1.0e0 END), 6) AS mean_solved, round(avg(score * 1.0e0), 6) AS mean_score, round(stddev_samp(score), 6) AS std, min(score) AS best, max(score) AS worst, CAST(sum(CASE WHEN score = 7 THEN 1 ELSE 0 END) AS BIGINT) AS failed FROM ({E}) s", "expected")
 same("guess_distribution", f"SELECT score, count(*) AS games, round(sum(count(*)) OVER (ORDER BY score) * 100.0e0 / sum(count(*)) OVER (), 6) AS cumulative_pct FROM ({E}) s GROUP BY score", "expected")
-same("candidate_trajectory", "SELECT turn, count(*) AS games, round(avg(n_before * 1.0e0), 6) AS mean_n, max(n_before) AS max_n, round(avg(log2(n_before)), 6) AS mean_bits FROM games_expected GROUP BY turn", "expected")
+same("candidate_trajectory", "SELECT turn, count(*) AS games, round(avg(n_before * 1.0e0), 6) AS mean_n, CAST(median(n_before) AS DOUBLE) AS median_n, max(n_before) AS max_n, round(avg(log2(n_before)), 6) AS mean_bits FROM games_expected GROUP BY turn", "expected")
 same("trajectory_steps", "SELECT answer, turn, guess, code, n_before, round(log2(n_before), 4) AS bits_remaining, turn + 0 AS step, max(turn) OVER (PARTITION BY answer) - turn AS turns_after FROM games_expected", "expected")
 same("determinism_check", "SELECT count(*) AS states, CAST(sum(CASE WHEN k > 1 THEN 1 ELSE 0 END) AS BIGINT) AS violations FROM (SELECT state, count(DISTINCT guess) AS k FROM games_expected GROUP BY state) s", "expected")
 same("hard_mode_violations", "SELECT b.answer, b.turn, count(*) AS dropped FROM games_expected a JOIN games_expected b ON a.answer = b.answer AND a.turn < b.turn WHERE " + " OR ".join(f"(CAST(floor(a.code / {3.0**i}) AS INT) % 3 = 2 AND substr(a.guess, {i + 1}, 1) <> substr(b.guess, {i + 1}, 1))" for i in range(5)) + " GROUP BY b.answer, b.turn", "expected")

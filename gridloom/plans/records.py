@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.feedback import ALL_RIGHT, code_to_pattern, pattern_to_code
+from gridloom.functions.feedback import ALL_RIGHT, checked_code, code_to_pattern
 from gridloom.functions.hashing import opaque_id, split_of
 from gridloom.plans import games as G
 from gridloom.plans import prompts as P
@@ -324,7 +324,7 @@ def prompt_recount(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, answers, _ = tables(spark, sf_dir)
     d = with_faults(spark, sf_dir).where("turn >= 2").select("tab", "solver", "state", "turn", "prompt", "n").distinct()
     d = d.withColumn("key", F.concat_ws("|", "tab", "solver", "state", F.col("turn").cast("string"), F.sha2("prompt", 256), F.col("n").cast("string"))).withColumn("h", history_of(F.col("prompt")))
-    each = d.select("key", F.size("h").alias("k"), F.explode("h").alias("x")).select("key", "k", F.lower("x.guess").alias("guess"), F.expr(pattern_to_code("x.pattern")).alias("code"))
+    each = d.select("key", F.size("h").alias("k"), F.explode("h").alias("x")).select("key", "k", F.lower("x.guess").alias("guess"), checked_code(F.col("x.pattern")).alias("code"))
     facts = each.select(F.col("key").alias("state"), F.col("k").alias("n"), "guess", "code")
     words = consistent_words(spark, sf_dir, facts).join(answers.withColumnRenamed("answer", "word"), "word", "left_semi").groupBy(F.col("state").alias("key")).agg(F.count("*").alias("found"))
     return d.join(words, "key").groupBy("tab").agg(F.count("*").alias("prompts"), F.count_if(F.col("found") != F.col("n")).alias("wrong"), F.sum("found").alias("candidates"))

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions.feedback import pattern_to_code
+from gridloom.functions.feedback import checked_code
 from gridloom.plans import prompts as P
 from gridloom.plans.lists import list_games, list_games_oracle, lists_oracle
 from gridloom.plans.queries import query
@@ -50,7 +50,7 @@ def rendered_again(spark: SparkSession, rows: DataFrame) -> DataFrame:
     key = F.concat_ws("|", F.array_join(F.transform("h", lambda x: F.concat(x["guess"], F.lit(":"), x["marks"])), "|"), F.col("n").cast("string"))
     h = scratch_table(h.withColumn("key", key).withColumn("n_read", F.size("h")), "read")
     states = h.select("key", "h", "n", "n_read").dropDuplicates(["key"])
-    past = states.select("key", F.posexplode("h").alias("at", "x")).select(F.col("key").alias("answer"), (F.col("at") + 1).alias("turn"), F.lower("x.guess").alias("guess"), F.expr(pattern_to_code("x.marks")).alias("code"), F.lit(0).cast("long").alias("n_before"))
+    past = states.select("key", F.posexplode("h").alias("at", "x")).select(F.col("key").alias("answer"), (F.col("at") + 1).alias("turn"), F.lower("x.guess").alias("guess"), checked_code(F.col("x.marks")).alias("code"), F.lit(0).cast("long").alias("n_before"))
     now = states.select(F.col("key").alias("answer"), (F.col("n_read") + 1).alias("turn"), F.lit("").alias("guess"), F.lit(0).alias("code"), F.col("n").alias("n_before"))
     scratch_table(past.unionByName(now), "read-games").createOrReplaceTempView("read_games")
     again = spark.sql(P.prompts("read_games", True)).select(F.col("answer").alias("key"), (F.col("turn") - 1).alias("n_read"), "variant", F.col("prompt").alias("again"))

@@ -7,8 +7,9 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from gridloom.functions.feedback import code_to_pattern, feedback_code, letters, pattern_to_code
+from gridloom.functions.feedback import checked_code, code_to_pattern, feedback_code, letters, pattern_to_code
 from gridloom.functions.hashing import split_of
 from gridloom.plans import audits, datasets, lists, packages, records, replays, rerender, sampling, sweeps  # noqa: F401  (register their queries)
 from gridloom.plans.queries import ORACLES, QUERIES
@@ -53,6 +54,14 @@ def test_codec(spark):
     assert {r.c for r in spark.sql(f"SELECT {pattern_to_code('p')} AS c FROM patterns").collect()} == {5}
 
 
+def test_patterns_that_are_none_raise(spark):
+    one = lambda p: spark.createDataFrame([(p,)], "p string").select(checked_code(F.col("p")).alias("c")).first().c
+    assert [one(p) for p in (" gybb_ ", "21000", "GYBBB", None)] == [5, 5, 5, None]
+    for p in ("99999", "GYBBBB", "GYB", "", "GYBBX"):
+        with pytest.raises(Exception, match="no feedback pattern"):
+            one(p)
+
+
 def test_split_share(spark):
     n = spark.range(5000).select(split_of(__import__("pyspark").sql.functions.col("id").cast("string")).alias("s")).where("s = 'val'").count()
     assert 400 < n < 600
