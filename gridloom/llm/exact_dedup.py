@@ -12,7 +12,7 @@ identifiers are looked up in the recipes only if there are any.
 
 Defined results: a null text is the empty text; a null doc_id ranks below all others; rows that repeat a doc_id
 with the same text count each, and are all marked as kept if that id is the one that stays (`drop_copies` leaves one of
-them); empty input, empty output.
+them); texts of any length are compared whole, by the identifiers of all their chunks; empty input, empty output.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ for many early steps, and grow with the tokens a part has seen, up to `RUN`. Par
 
 Defined results: null and empty texts have no tokens, score 0 and a null mean; a missing neighbour has the vector of
 an edge; a long text is one row of slots, so nothing is cut; repeated rows score alike (and count as often in the corpus
-as they occur).
+as they occur); an empty table has no rows.
 """
 
 from __future__ import annotations

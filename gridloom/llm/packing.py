@@ -11,7 +11,8 @@ sequences, that is taken. The plan's size depends on the number of lengths only.
 Pieces find their place by their rank within their length: counted by (length, hash of doc_id and piece), numbered
 inside those small parts, then looked up in the plan.
 
-Defined results: a null or empty text is one piece of one id; repeated rows are packed each; no input, no pieces.
+Defined results: a null or empty text is one piece of one id; repeated rows are packed each; pieces of one length are
+interchangeable, their order is that of a hash of doc_id and piece, then of these and the ids' checksum; no input, no pieces.
 """
 
 from __future__ import annotations

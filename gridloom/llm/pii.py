@@ -10,7 +10,8 @@ formats and contexts, and look-alikes (dates, times, versions, prices, order num
 UUIDs, slugs, file names) as counterexamples, each of them in neutral and in misleading contexts.
 
 Spans are code points, end exclusive. Defined results: null and empty texts have no spans; texts of any length are
-read whole; repeated rows get the same result each.
+read whole; repeated rows get the same result each; spans that begin at one place stand in the order of kinds; an empty table
+has no rows.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ cut can fall are opened, level by level, so the driver holds a bounded table how
 Law: `bytes`. Size is the text's UTF-8 bytes plus 16. Slots are gapless within a shard: documents are counted by
 (shard, hash of doc_id), which no group of copies can make uneven, and numbered inside those small parts.
 
-Defined results: a null text has no bytes and is grouped with empty texts; repeated rows each take a slot; fewer
+Defined results: a null text has no bytes and is grouped with empty texts; repeated rows each take a slot; all bytes of a text of any length count; fewer
 groups than shards leave shards empty; empty input, empty output.
 """
 

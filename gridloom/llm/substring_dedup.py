@@ -17,7 +17,8 @@ documents (those that occur `LOCAL` times in a slice at least); those of `HOT` w
 if that is more, are dealt out window by window, by the window's own hash. So no bucket follows one line.
 
 Defined results: null and empty texts have no words; rows with equal doc_id never remove each other's words; a
-repeated row gets the same result each time; a null doc_id is neither judged nor a reference.
+repeated row gets the same result each time; a null doc_id is neither judged nor a reference; texts of any length
+are read whole; an empty table has no rows.
 """
 
 from __future__ import annotations

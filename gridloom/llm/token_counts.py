@@ -16,7 +16,7 @@ texts and the count between them. Two maps compose into one, associatively; the
 by a parallel scan, level by level, all neighbouring pairs of a level at once, and a text's count is read from its last map.
 
 Defined results: null and empty texts have no tokens; the special token's string counts as one token, as the
-library does by default; texts are never truncated.
+library does by default; texts are never truncated; repeated rows count each; an empty table has no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ weighing as much more as they were drawn more thinly. For scoring, vectors and s
 Bounds: `FIT_ROWS` ids of each label, in the order of a hash of doc_id, whole texts of any length; of an id that stands
 on several rows the least text is taken. Scoring reads every whole text. Defined results: null and empty texts have no
 window and get the score of an empty bag; rows without labels are scored alike; without labels of both kinds every score
-is next to 0 (1e-13); a score equal to the threshold counts as toxic; repeated rows score alike.
+is next to 0 (1e-13); a score equal to the threshold counts as toxic; repeated rows score alike; an empty table has no rows.
 """
 
 from __future__ import annotations
