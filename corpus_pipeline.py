@@ -1,4 +1,10 @@
-"""A training corpus from `documents`: toxic texts go, then copies, near copies and benchmark leaks; the rest is packed."""
+"""A training corpus from `documents`: toxic texts go, then copies, near copies and benchmark leaks; the rest is packed.
+
+Defined results: null and empty texts score as an empty bag, are copies of each other (the row of the largest doc_id stays),
+have no near copies and no leaks, and end as one piece of one id; of rows that repeat doc_id and text one stays; ties in a
+group go to the largest doc_id among copies, the smallest among near copies; texts of any length pass whole; extra columns
+stay through all stages but the last; no documents, no pieces.
+"""
 
 from __future__ import annotations
 
