@@ -47,7 +47,7 @@ def rollouts(lists: Lists, answers: DataFrame, draws: int, opener: str, policy:
     words = lists.legal.select(F.col("gid").alias("id"), F.col("guess").alias("word"))
     targets = lists.targets.select(F.col("aid").alias("id"), F.col("answer").alias("word"))
     start = root.select(set_key(F.col("c")).alias("cset"), set_key(F.col("a")).alias("aset"))
-    games = answers.select("answer", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).crossJoin(F.broadcast(start)).withColumn("state", F.lit(""))  # one row
+    games = answers.select("answer", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))).alias("draw")).crossJoin(F.broadcast(start)).withColumn("state", F.lit(""))  # one row
     out = None
     for turn in range(1, policy.turns + 1):
         if turn == 1:

@@ -77,7 +77,7 @@ def share(limit: int) -> Column:
 # -- policies side by side ------------------------------------------------------------------------------------------
 
 
-@query(f"""{sweep_oracle(COMPARED)} SELECT setting AS policy, count(*) AS games, round(avg(score), 6) AS mean, median(score) AS median, round(stddev_samp(score), 6) AS std, min(score) AS best, max(score) AS worst, count(*) FILTER (WHERE score = 7) AS failed,
+@query(f"""{sweep_oracle(COMPARED)} SELECT setting AS policy, count(*) AS games, round(avg(score), 6) AS mean, median(score) AS median, round(stddev_samp(score), 6) AS std, min(score)::BIGINT AS best, max(score)::BIGINT AS worst, count(*) FILTER (WHERE score = 7) AS failed,
     {", ".join(f"round(100.0 * count(*) FILTER (WHERE score <= {k}) / count(*), 6) AS within_{k}" for k in (3, 4, 5, 6))}, sum(score)::BIGINT AS total FROM scored GROUP BY setting""")
 def policy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means, spread and cumulative shares of games won, for each policy over two lists."""
