@@ -46,14 +46,18 @@ def scratch_table(df: DataFrame, name: str, fold: int = 1) -> DataFrame:
     return session.scratch_table(df, name)
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """Bytes of df as its plan says; 0 if the plan doesn't know (a local table, a join): it then says an absurdly large size."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 50 else 0
+
+
 def shuffle_width(df: DataFrame, bytes_each: int = 16 << 20) -> int:
     """Buckets of a packed exchange: they grow with the input's bytes, and with the session's shuffle partitions.
 
-    Plans that don't know their size say an absurdly large one (a local table, a join); then the partitions decide.
+    Of plans that don't know their size the partitions decide.
     """
-    spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    size = size if size < 1 << 50 else 0
+    spark, size = df.sparkSession, plan_bytes(df)
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // bytes_each, 1 << 20), 1)
 
 

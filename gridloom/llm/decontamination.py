@@ -1,34 +1,36 @@
 """Benchmark decontamination by latent semantic retrieval, then subsequence and answer checks.
 
-Passages are the benchmark's items and the runs of `PASSAGE` words of a documented sample of documents, as TF-IDF vectors
-over `terms`: all words of the benchmark and the `OTHERS` words that most documents of the sample hold; document
-frequencies are counted over all documents. A randomised SVD of these passages is made over partitions: a range finder
-with one power iteration (each partition multiplies its passages with the same matrix, and only sums of terms times rank
-meet), then the small Gram matrix of the projected passages, whose eigenvectors give the leading right singular vectors.
-The rank is `RANK` at most and below the number of items, so words that occur together share directions: a window that
-says an item in the words of the documents' other passages lies near it.
+Passages are the benchmark's items and all runs of `PASSAGE` words of all documents, as TF-IDF vectors over `terms`: all
+words of the benchmark and the `OTHERS` words that most documents hold, two at least. Document frequencies of all words are
+counted over all documents; words meet in buckets of their hashes. One pass over all passages multiplies their Gram matrix
+(terms by terms, never made) with a random matrix: only sums of terms times rank meet, and they give a low-rank factor of
+the documents' share (Nystroem). The SVD of that factor and the items' passages is found by a range finder with one power
+iteration; its leading right singular vectors are the latent space. The rank is `RANK` at most and below the number of
+items, so words that occur together share directions: a window that says an item in the words of the documents' other
+passages lies near it.
 
 Every window of every document is searched. Windows are half as long again as the item. A window is a candidate for an
-item if the cosine of their latent vectors reaches the item's bound, which is calibrated: the least cosine of `TRIALS`
-written leaks (the item, `1 - PARAPHRASED` of its words gone, amid words of the sample), less a margin. Windows that no
+item if the cosine of their latent vectors reaches the item's bound: the least cosine of `TRIALS` written leaks, less a
+margin. A written leak is the item, `1 - PARAPHRASED` of its words gone, amid surroundings drawn by the mean and the
+covariance that all passages of all documents have in the latent space. Windows that no
 accepted leak can lie in are not projected: an accepted leak holds `PARAPHRASED` of the item in order, so it holds some
 of the item's rarest words (`need` of the rarest `1 - PARAPHRASED` and `need` more), whichever are missing.
 Candidates are checked on words: the longest common subsequence of the item and the surroundings of the window must
 cover `COPIED` of the item, or `PARAPHRASED` of it and `ANSWERED` of its answer (its last sentence). Items of fewer than
 `LEAST` words have no latent vector worth a name; they are leaks where they stand verbatim.
 
-Index bound: the SVD is fitted on the benchmark and on `FIT_ROWS` documents (the least hashes of doc_id; rows without
-one aren't drawn); all rows are searched. Every task reads the whole index; its bytes are checked
+No part of the index comes from a sample of the documents. Every task reads the whole index; its bytes are checked
 (`MAX_INDEX_BYTES`), and so is the benchmark before it is collected (`MAX_BENCHMARK_BYTES`).
 
 Defined results: null and empty texts and items match nothing; repeated rows get the same result each; of items that are
 matched equally well the least item_id is named, items without one last; an empty benchmark rejects nothing; texts of any length
-are searched whole; an empty table of documents has no rows. Bounds are calibrated on a sample: written leaks in the first 2,000
-characters of 200 rows; they choose what is compared, and every comparison is of whole words of whole texts.
+are searched whole; an empty table of documents has no rows. Bounds choose what is compared, and every comparison is of whole
+words of whole texts.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,14 +42,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import kernels as K
-from gridloom.llm.common import keep_rows, scratch_table, text_rows
+from gridloom.llm.common import drop_scratch, keep_rows, plan_bytes, scratch_table, shuffle_width, text_rows
 from gridloom.llm.vectors import summed
 
 CELL, RANK, OVERSAMPLE, OTHERS, PASSAGE = 8, 96, 16, 8192, 48
-FIT_ROWS, FIT_PARTS, TRIALS, MARGIN = 2000, 4, 24, 0.9
+TRIALS, MARGIN = 512, 0.9
 COPIED, PARAPHRASED, ANSWERED, LEAST = 0.75, 0.6, 0.6, 6
 MAX_BENCHMARK_BYTES, MAX_INDEX_BYTES = 16 << 20, 256 << 20
-SLICE = 1 << 18
+HEAD, SLICE, MERGED, PAIR_WORDS, PART_BYTES = 512, 1 << 18, 1 << 20, 1 << 18, 16 << 20
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -128,9 +130,11 @@ class Terms:
 @dataclass
 class Index:
     """Items by window length: ids, hashes of words and answers (one after another, and where each begins), numbers by
-    ids (place); terms; weight (idf of each term, last 0); basis [terms + 1, rank]; latent [items, rank] of length one;
+    ids (place); terms; weight (idf of each term, last 0); basis [terms + 1, rank]; weighted: basis times weight; latent [items, rank] of length one;
     bound (least cosine); cells (of a window); keys [lengths, terms + 1]: rarest words of the items of a length;
-    need: how many of them a window holds; short: by number of words, sorted hashes of runs and their items."""
+    need: how many of them a window holds; short: by number of words, sorted hashes of runs and their items; word_keys and
+    word_bits: of items of at most 64 words, item * (terms + 1) + term, ascending, and the bits of the term's places; named: which
+    terms (terms + 1) are words of items."""
 
     ids: list[int | None]
     place: np.ndarray
@@ -141,15 +145,19 @@ class Index:
     terms: Terms
     weight: np.ndarray
     basis: np.ndarray
+    weighted: np.ndarray
     latent: np.ndarray
     bound: np.ndarray
     cells: np.ndarray
     keys: np.ndarray
     need: np.ndarray
     short: dict[int, tuple[np.ndarray, np.ndarray]]
+    word_keys: np.ndarray
+    word_bits: np.ndarray
+    named: np.ndarray
 
     def bytes(self) -> int:
-        return sum(x.nbytes for x in (self.words, self.answers, self.weight, self.basis, self.latent, self.keys, *self.terms.tables))
+        return sum(x.nbytes for x in (self.words, self.answers, self.weight, self.basis, self.weighted, self.latent, self.keys, self.word_keys, self.word_bits, *self.terms.tables))
 
     def item(self, k: int) -> list[int]:
         return self.words[self.first[k] : self.first[k + 1]].tolist()
@@ -174,48 +182,75 @@ def grid(first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return base[row] + (np.arange(first[-1]) - first[row]) // CELL, base
 
 
-def cell_sums(t: np.ndarray, weight: np.ndarray, cell: np.ndarray, n: int, matrix: np.ndarray) -> np.ndarray:
-    """Of each cell the TF-IDF sum of its words' rows of the matrix; cells ascend."""
-    out = np.zeros((n, matrix.shape[1]), np.float32)
-    for a in range(0, len(t), 2048):
-        at, some = cell[a : a + 2048], t[a : a + 2048]
-        heads = K.group_starts(at)
-        out[at[heads]] += np.add.reduceat(matrix[some] * weight[some, None], heads)
+def run_sums(t: np.ndarray, run: np.ndarray, step: np.ndarray, n: int, size: int, matrix: np.ndarray) -> np.ndarray:
+    """Of each of n runs of at most `size` words the sum of their rows of the matrix, whose last row is zero; step: place in
+    the run. A few runs at a time, so that sums stay in the cache."""
+    at = np.full((-(-n // 256), size, 256), len(matrix) - 1, np.int64)
+    at[run >> 8, step, run & 255] = t
+    out = np.empty((n, matrix.shape[1]), matrix.dtype)
+    for k, places in enumerate(at):
+        total = matrix[places[0]]
+        for some in places[1:]:
+            total += matrix[some]
+        out[k << 8 : (k + 1) << 8] = total[: n - (k << 8)]
     return out
 
 
-def frequencies(rows: DataFrame, terms: Terms) -> tuple[np.ndarray, int]:
-    """Documents that hold each term, over all documents, and how many documents there are."""
+def merged(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words, ascending, and the sums of their counts."""
+    order = np.argsort(words)
+    heads = K.group_starts(words[order])
+    return words[order][heads], np.add.reduceat(counts[order], heads) if len(heads) else counts[:0]
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total = np.zeros(terms.n + 1)
-        for batch in batches:
-            for part in K.slices(batch, "text", SLICE):
-                words, first = words_of(*K.buffers(part.column(1)))
-                t = terms.numbers(words)
-                hit = np.flatnonzero(t >= 0)
-                row = np.repeat(np.arange(part.num_rows) * terms.n, np.diff(first))
-                pairs = np.sort(row[hit] + t[hit])
-                total[:-1] += np.bincount(pairs[K.group_starts(pairs)] % terms.n, minlength=terms.n)
-                total[-1] += part.num_rows
-        return total
-
-    total = summed(rows, partial, terms.n + 1)
-    return total[:-1], int(total[-1])
 
+def frequencies(rows: DataFrame, wanted: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, of the wanted words and of the words that most documents hold (two at least), and how many
+    documents hold each. All words of all documents are counted: partial counts meet in buckets of hashes."""
+    wanted, buckets = np.unique(wanted), shuffle_width(rows)
 
-def common_words(sample: DataFrame, most: int) -> np.ndarray:
-    """Hashes of the words that most documents of the sample hold, two at least."""
+    def packed(words: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        bucket = (words >> U64(32)) * U64(buckets) >> U64(32)  # ascends with the words
+        heads = K.group_starts(bucket)
+        cuts = list(itertools.pairwise([*heads.tolist(), len(words)]))
+        cells = [[x[a:b].tobytes() for a, b in cuts] for x in (words, counts)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[heads].astype(np.int64)), *(pa.array(c, pa.binary()) for c in cells)], names=["bucket", "words", "counts"])
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [(np.zeros(0, U64), np.zeros(0, np.int64))], 0
         for batch in batches:
             for part in K.slices(batch, "text", SLICE):
                 words, first = words_of(*K.buffers(part.column(1)))
-                seen = [np.unique(words[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(seen).view(np.int64))], names=["word"])
-
-    counts = sample.mapInArrow(distinct, "word long").groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
-    return np.array([r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()], np.int64).view(U64)
+                order = np.argsort(words, kind="stable")  # of equal words the rows ascend
+                row = np.repeat(np.arange(part.num_rows), np.diff(first))[order]
+                words = words[order]
+                new = np.ones(len(words), bool)
+                new[1:] = (words[1:] != words[:-1]) | (row[1:] != row[:-1])
+                words = words[new]
+                heads = K.group_starts(words)
+                held.append((words[heads], np.diff(np.append(heads, len(words)))))
+                size += len(heads)
+                if size > MERGED:
+                    held = [merged(*map(np.concatenate, zip(*held, strict=True)))]
+                    size = len(held[0][0])
+                    if size > MERGED // 2:
+                        yield packed(*held[0])
+                        held, size = [(np.zeros(0, U64), np.zeros(0, np.int64))], 0
+        yield packed(*merged(*map(np.concatenate, zip(*held, strict=True))))
+
+    def meet(table: pa.Table) -> pa.Table:
+        words, counts = merged(*(np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("words", U64), ("counts", np.int64))))
+        own = wanted[np.minimum(np.searchsorted(wanted, words), len(wanted) - 1)] == words
+        many = np.flatnonzero((counts > 1) & ~own)
+        many = many[np.lexsort((words[many].view(np.int64), -counts[many]))[:most]]
+        some = np.concatenate((np.flatnonzero(own), many))
+        return pa.table({"word": pa.array(words[some].view(np.int64)), "n": pa.array(counts[some]), "own": pa.array(own[some])})
+
+    found = rows.mapInArrow(count, "bucket long, words binary, counts binary").groupBy("bucket").applyInArrow(meet, "word long, n long, own boolean")
+    found = scratch_table(found, "word-counts")
+    seen = [*found.where("own").collect(), *found.where("not own").orderBy(F.desc("n"), "word").limit(most).collect()]
+    drop_scratch(found)
+    words, counts = np.array([r["word"] for r in seen], np.int64).view(U64), np.array([r["n"] for r in seen], np.int64)
+    return merged(np.concatenate((words, wanted)), np.concatenate((counts, np.zeros(len(wanted), np.int64))))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -259,63 +294,83 @@ class Passages:
         return out
 
 
-def singular_vectors(sample: DataFrame, items: Passages, terms: Terms, weight: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
-    """Leading right singular vectors [terms, rank] and singular values of the items' and the sample's passages."""
-    n, wide = terms.n, min(terms.n, rank + OVERSAMPLE)
+def document_factor(rows: DataFrame, terms: Terms, weight: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Of all passages of all documents, as rows of length one: F with F F' the low-rank part of their Gram matrix of
+    terms, their sum, how many have terms, and the sum of their lengths before they were made one."""
+    n = terms.n
+    start = lambda: np.random.Generator(np.random.PCG64(5)).standard_normal((n, wide), np.float32)
 
-    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[Passages]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        omega, total, rest = np.vstack((start() * weight[:, None], np.zeros((1, wide)))).astype(np.float32), np.zeros((n, wide + 1)), np.zeros(2)
+        # the commonest terms are multiplied as a dense matrix
+        head, place = np.argsort(weight, kind="stable")[:HEAD], np.full(n, -1)
+        place[head] = np.arange(len(head))
         for batch in batches:
-            for part in K.slices(batch, "text", SLICE):
+            for part in K.slices(batch, "text", 4 * SLICE):
                 words, first = words_of(*K.buffers(part.column(1)))
                 t = terms.numbers(words)
-                row = np.repeat(np.arange(part.num_rows), np.diff(first))
-                run = (np.arange(len(t)) - first[row]) // PASSAGE + (row << 32)
-                hit = np.flatnonzero(t >= 0)
-                if len(hit):
-                    yield Passages.of(t[hit], run[hit], weight)
-
-    def product(q: np.ndarray) -> np.ndarray:
-        def partial(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-            total = np.zeros((n, wide))
-            for p in passages(batches):
-                total += p.back(p.times(q), n)
-            return total.ravel()
-
-        return summed(sample, partial, n * wide).reshape(n, wide) + items.back(items.times(q), n)
-
-    def gram(q: np.ndarray) -> np.ndarray:
-        def partial(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-            total = np.zeros((wide, wide))
-            for p in passages(batches):
-                y = p.times(q)
-                total += y.T @ y
-            return total.ravel()
-
-        y = items.times(q)
-        return summed(sample, partial, wide * wide).reshape(wide, wide) + y.T @ y
-
+                count = np.diff(first)
+                base = np.cumsum(-(-count // PASSAGE)) + (-count // PASSAGE)
+                row = np.repeat(np.arange(part.num_rows), count)
+                step = np.arange(len(t)) - first[row]
+                hit = t >= 0
+                run, step, t = (base[row] + step // PASSAGE)[hit], step[hit] % PASSAGE, t[hit]
+                if not len(t):
+                    continue
+                own = K.group_starts(run)
+                run = np.repeat(np.arange(len(own)), np.diff(np.append(own, len(run))))
+                y = np.ones((len(own), wide + 1), np.float32)  # the last column sums the passages
+                y[:, :-1] = run_sums(t, run, step, len(own), PASSAGE, omega)
+                key = np.sort(run * n + t)
+                heads = K.group_starts(key)
+                run, t = np.divmod(key[heads], n)
+                value = np.diff(np.append(heads, len(key))) * weight[t]
+                length = np.sqrt(np.bincount(run, value**2))
+                y[:, :-1] /= length[:, None]
+                value = (value / length[run]).astype(np.float32)
+                rest += len(own), length.sum()
+                common = place[t] >= 0
+                dense = np.zeros((len(own), len(head)), np.float32)
+                dense[run[common], place[t[common]]] = value[common]
+                total[head] += dense.T @ y
+                run, t, value = run[~common], t[~common], value[~common]
+                order = np.argsort(t, kind="stable")
+                for a in range(0, len(order), 2048):
+                    some = order[a : a + 2048]
+                    heads = K.group_starts(t[some])
+                    total[t[some[heads]]] += np.add.reduceat(y[run[some]] * value[some, None], heads)
+        return np.concatenate((total.ravel(), rest))
+
+    # each part sends one dense sum, so small files go together
+    parts = rows.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, plan_bytes(rows) // PART_BYTES))
+    total = summed(parts, partial, n * (wide + 1) + 2)
+    product = total[:-2].reshape(n, wide + 1)
+    values, vectors = np.linalg.eigh(start().astype(float).T @ product[:, :-1])
+    good = values > 1e-6 * max(values[-1], 1e-12)
+    return product[:, :-1] @ (vectors[:, good] / np.sqrt(values[good])), product[:, -1], float(total[-2]), float(total[-1])
+
+
+def singular_vectors(factor: np.ndarray, items: Passages, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """Leading right singular vectors [terms, rank] and singular values of the items' passages and those of the factor."""
+    n, wide = len(factor), min(len(factor), rank + OVERSAMPLE)
     q = np.random.Generator(np.random.PCG64(5)).normal(size=(n, wide))
     for _ in range(2):  # the range finder and one power iteration
-        q, _ = np.linalg.qr(product(q))
-    values, vectors = np.linalg.eigh(gram(q))
+        q, _ = np.linalg.qr(factor @ (factor.T @ q) + items.back(items.times(q), n))
+    x, y = factor.T @ q, items.times(q)
+    values, vectors = np.linalg.eigh(x.T @ x + y.T @ y)
     order = np.argsort(-values)[:rank]
     return q @ vectors[:, order], np.sqrt(np.maximum(values[order], 0))
 
 
-def trials(item: np.ndarray, words: int, stream: np.ndarray, share: float, n: int, seed: int) -> np.ndarray:
-    """Terms of n written leaks in windows of `words`: a share of the item's words amid words of the stream."""
+def trials(item: np.ndarray, words: int, mean: np.ndarray, root: np.ndarray, share: float, n: int, seed: int) -> np.ndarray:
+    """Latent vectors of n written leaks in windows of `words`: a share of the item's words (their latent vectors) amid
+    surroundings by the mean of passages and a root of their covariance, which counts as if the words of a passage, and
+    passages that follow each other, went together or apart, whichever spreads more."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    out = np.full((n, words), -1, np.int64)
-    for k in range(n):
-        at = int(rng.integers(0, max(1, len(stream) - words)))
-        around = stream[at : at + words]
-        out[k, : len(around)] = around
-        own = item.copy()
-        gone = rng.choice(len(item), len(item) - int(np.ceil(share * len(item) - 1e-9)), replace=False)
-        at = int(rng.integers(0, max(1, words - len(item) + 1)))
-        own[gone] = out[k, at : at + len(own)][gone]
-        out[k, at : at + len(own)] = own
-    return out
+    kept = int(np.ceil(share * len(item) - 1e-9))
+    part = max(0, words - kept) / PASSAGE
+    around = part * mean + np.sqrt(max(part, part * part)) * (rng.standard_normal((n, len(root))) @ root)
+    return around + np.array([item[rng.choice(len(item), kept, replace=False)].sum(0) for _ in range(n)])
 
 
 def cosines(t: np.ndarray, weight: np.ndarray, basis: np.ndarray, latent: np.ndarray) -> np.ndarray:
@@ -341,20 +396,22 @@ def build_index(rows: DataFrame, benchmark: list[tuple[int | None, str]]) -> Ind
         runs = np.array([K.grams(hashes[order[j]], size)[0] for j in own.tolist()], U64)
         by = np.lexsort((own, runs))
         short[size] = runs[by], own[by]
-    # ids are chosen first, so that only the chosen texts move
-    chosen = {r["doc_id"] for r in rows.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).collect()}
-    ids = F.broadcast(rows.sparkSession.createDataFrame([(i,) for i in sorted(chosen)], "doc_id long"))  # at most FIT_ROWS ids
-    sample = scratch_table(rows.join(ids, "doc_id", "left_semi").repartition(FIT_PARTS, "doc_id"), "fit")  # each part sends one dense sum
-    terms = Terms(np.unique(np.concatenate([words, common_words(sample, OTHERS)])))
-    df, n = frequencies(rows, terms)
+    hashes_of, df = frequencies(rows, words, OTHERS)
+    terms, n = Terms(hashes_of), rows.count()
     weight = np.log((n + 1) / (df + 1)) + 1
     own = terms.numbers(words)[: first[len(good)]]
     owner = np.repeat(np.arange(len(good)), np.diff(first[: len(good) + 1]))
-    rank = max(1, min(RANK, len(good) * 3 // 4))
+    rank = max(1, min(RANK, len(good) * 3 // 4, terms.n))
+    mean, root = np.zeros(rank), np.zeros((rank, rank))
     if good:
-        # items weigh as much as the sample, or its passages would leave them no directions
-        passages = Passages.of(own, owner, weight, float(np.sqrt(max(1.0, FIT_ROWS * 8 / len(good)))))
-        basis, _ = singular_vectors(sample, passages, terms, weight, rank)
+        factor, total, passages, lengths = document_factor(rows, terms, weight, min(terms.n, rank + OVERSAMPLE))
+        # items weigh as much as the documents, or their passages would leave them no directions
+        basis, _ = singular_vectors(factor, Passages.of(own, owner, weight, float(np.sqrt(max(1.0, passages / len(good))))), rank)
+        if passages:
+            mean, x = total @ basis / passages, factor.T @ basis
+            spread, turn = np.linalg.eigh(x.T @ x / passages - np.outer(mean, mean))
+            root = (turn * np.sqrt(np.maximum(spread, 0))).T * lengths / passages
+            mean = mean * lengths / passages
     else:
         basis = np.zeros((terms.n, rank))
     basis = np.vstack((basis, np.zeros((1, rank)))).astype(np.float32)
@@ -362,9 +419,8 @@ def build_index(rows: DataFrame, benchmark: list[tuple[int | None, str]]) -> Ind
     cells = np.array([window_cells(len(hashes[k])) for k in good], np.int64)
     items = [own[first[k] : first[k + 1]] for k in range(len(good))]
     latent = unit(np.array([(weight[i][:, None] * basis[i]).sum(0) for i in items]).reshape(len(good), rank)).astype(np.float32)
-    texts = [r["text"] for r in sample.select(F.substring("text", 1, 2000).alias("text")).orderBy(F.xxhash64("doc_id")).limit(200).collect()] if good else []
-    stream = terms.numbers(np.concatenate([np.zeros(0, U64), *hashed(texts)])).astype(np.int64)
-    bound = np.array([max(0.0, MARGIN * cosines(trials(i.astype(np.int64), int(c) * CELL, stream, PARAPHRASED, TRIALS, k), weight, basis, latent[k]).min()) for k, (i, c) in enumerate(zip(items, cells.tolist(), strict=True))], np.float32)
+    written = [trials(weight[i][:, None] * basis[i], int(c) * CELL, mean, root, PARAPHRASED, TRIALS, k) for k, (i, c) in enumerate(zip(items, cells.tolist(), strict=True))]
+    bound = np.array([max(0.0, MARGIN * (unit(w) @ latent[k]).min()) for k, w in enumerate(written)], np.float32)
     sizes = [int(c) for c in cells[K.group_starts(cells)]]
     keys, need = np.zeros((len(sizes), terms.n + 1), bool), np.full(len(sizes), 1 << 30)
     for k, i in enumerate(items):
@@ -373,17 +429,24 @@ def build_index(rows: DataFrame, benchmark: list[tuple[int | None, str]]) -> Ind
         rare = i[np.argsort(-weight[i], kind="stable")][: len(i) - int(np.ceil(PARAPHRASED * len(i) - 1e-9)) + least]
         keys[c, rare] = True
         need[c] = min(need[c], least)
-    index = Index([benchmark[k][0] for k in order], np.array(order), words, first, *flat(answers), terms, weight, basis, latent, bound, cells, keys, need, short)
+    small = np.diff(first[: len(good) + 1])[owner] <= 64
+    word = owner[small] * (terms.n + 1) + own[small]
+    by = np.argsort(word, kind="stable")
+    heads = K.group_starts(word[by])
+    bits = np.left_shift(U64(1), (np.arange(len(own)) - first[owner])[small][by].astype(U64))
+    bits = np.bitwise_or.reduceat(bits, heads) if len(heads) else bits
+    named = np.zeros(terms.n + 1, bool)
+    named[own] = True
+    index = Index([benchmark[k][0] for k in order], np.array(order), words, first, *flat(answers), terms, weight, basis, weight[:, None] * basis, latent, bound, cells, keys, need, short, word[by][heads], bits, named)
     if index.bytes() > MAX_INDEX_BYTES:
         raise ValueError(f"an index of {index.bytes()} bytes is over {MAX_INDEX_BYTES}; search the benchmark in parts")
     return index
 
 
-def candidates(words: np.ndarray, first: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, list[int]]]:
-    """Row, item, words a window and first words of the windows whose cosine with the item reaches its bound."""
+def candidates(t: np.ndarray, first: np.ndarray, index: Index) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Words a window, and of each window whose cosine with an item reaches its bound row, item and first word; t: terms."""
     if not len(index.cells):
         return
-    t = index.terms.numbers(words)
     cuts = [*K.group_starts(index.cells).tolist(), len(index.cells)]
     sizes = [int(index.cells[c]) for c in cuts[:-1]]
     cell, base = grid(first, sizes[-1])
@@ -400,7 +463,8 @@ def candidates(words: np.ndarray, first: np.ndarray, index: Index) -> Iterator[t
         return
     number = np.cumsum(used) - 1
     use = np.flatnonzero(used[cell] & (t >= 0))
-    y = cell_sums(t[use], index.weight, number[cell[use]], int(number[-1]) + 1, index.basis)
+    step = (np.arange(len(t)) - np.repeat(first[:-1], np.diff(first))) % CELL
+    y = run_sums(t[use], number[cell[use]], step[use], int(number[-1]) + 1, CELL, index.weighted)
     sums = np.zeros((len(y) + 1, y.shape[1]))
     np.cumsum(y, axis=0, out=sums[1:])
     for c, (lo, hi, size) in enumerate(zip(cuts[:-1], cuts[1:], sizes, strict=True)):
@@ -409,51 +473,88 @@ def candidates(words: np.ndarray, first: np.ndarray, index: Index) -> Iterator[t
             at = number[begin]
             x = (sums[at + size] - sums[at]).astype(np.float32)
             near = x @ index.latent[lo:hi].T
-            w, k = np.nonzero(near >= index.bound[lo:hi] * np.maximum(np.linalg.norm(x, axis=1), 1e-9)[:, None])
+            w, k = np.nonzero(near >= index.bound[lo:hi] * np.maximum(np.sqrt(np.einsum("wr,wr->w", x, x)), 1e-9)[:, None])
             row = np.searchsorted(base, begin[w], "right") - 1
-            place = np.minimum(first[row] + CELL * (begin[w] - base[row]), first[row + 1] - 1)
-            pairs: dict[tuple[int, int], list[int]] = {}
-            for r, i, p in zip(row.tolist(), k.tolist(), place.tolist(), strict=True):
-                pairs.setdefault((r, i), []).append(p)
-            for (r, i), found in pairs.items():
-                yield r, lo + i, size * CELL, found
+            yield size * CELL, row, lo + k, np.minimum(first[row] + CELL * (begin[w] - base[row]), first[row + 1] - 1)
+
+
+def places(t: np.ndarray, first: np.ndarray, index: Index) -> Iterator[tuple[np.ndarray, ...]]:
+    """Row, item, and the first and the last word of what is compared: windows of a row and an item that begin within the
+    item's length of one are one place; the first place of a pair is marked."""
+    length = np.diff(index.first)
+    for reach, found in itertools.groupby(candidates(t, first, index), lambda x: x[0]):
+        row, item, at = (np.concatenate(x) for x in list(zip(*found, strict=True))[1:])
+        pair = row * len(length) + item
+        order = np.lexsort((at, pair))
+        row, item, at, pair = row[order], item[order], at[order], pair[order]
+        heads = K.group_starts(pair)
+        number = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(pair)))) * (len(t) + int(length.max()) + 1)
+        after = np.searchsorted(number + at, number + at + length[item], "right")
+        some, mark = heads, np.zeros(len(pair), bool)
+        while len(some):
+            mark[some] = True
+            nxt = after[some]
+            some = nxt[(nxt < len(pair)) & (pair[np.minimum(nxt, len(pair) - 1)] == pair[some])]
+        head = np.zeros(len(pair), bool)
+        head[heads] = True
+        row, item, at, long = row[mark], item[mark], at[mark], length[item[mark]]
+        yield row, item, np.maximum(first[row], at - long), np.minimum(first[row + 1], at + 2 * long + reach), head[mark]
+
+
+def common_lengths(item: np.ndarray, lo: np.ndarray, hi: np.ndarray, t: np.ndarray, words: np.ndarray, index: Index) -> np.ndarray:
+    """Longest common subsequence of each item with the words from lo to hi: bit-parallel, all pairs at once."""
+    out, length = np.zeros(len(item), np.int64), np.diff(index.first)[item]
+    short = np.flatnonzero(length <= 64)
+    some = np.cumsum((hi - lo)[short]) // PAIR_WORDS
+    for a, b in itertools.pairwise([*K.group_starts(some).tolist(), len(short)]):
+        own = short[a:b]
+        width = (hi - lo)[own]
+        pair = np.repeat(np.arange(len(own)), width)
+        near = t[np.arange(len(pair)) + np.repeat(lo[own] - np.cumsum(width) + width, width)]
+        hit = np.flatnonzero(index.named[near])
+        pair = pair[hit]
+        key = item[own][pair] * (index.terms.n + 1) + near[hit]
+        at = np.minimum(np.searchsorted(index.word_keys, key), len(index.word_keys) - 1)
+        hit = np.flatnonzero(index.word_keys[at] == key)
+        count = np.bincount(pair[hit], minlength=len(own))
+        step = np.arange(len(hit)) - np.repeat(np.cumsum(count) - count, count)
+        bits = np.zeros((int(count.max(initial=0)), len(own)), U64)
+        bits[step, pair[hit]] = index.word_bits[at[hit]]
+        full = np.full(len(own), ~U64(0)) >> (64 - length[own]).astype(U64)
+        row = full.copy()
+        for mask in bits:
+            both = row & mask
+            row = (row + both) | (row - both)
+        out[own] = length[own] - np.bitwise_count(row & full)
+    for k in np.flatnonzero(length > 64).tolist():
+        out[k] = common_length(positions(index.item(int(item[k]))), int(length[k]), words[lo[k] : hi[k]].tolist())
+    return out
 
 
 def search(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
-    wants = lru_cache(4096)(lambda k: positions(index.item(k)))
     replies = lru_cache(4096)(lambda k: positions(index.answer(k)))
     length = np.diff(index.first)
     for batch in batches:
         for part in K.slices(batch, "text", SLICE):
             words, first = words_of(*K.buffers(part.column(1)))
-            n = part.num_rows
+            t, n = index.terms.numbers(words), part.num_rows
             tried, best, item, answered, bad = np.zeros(n, np.int64), np.zeros(n), np.full(n, -1, np.int64), np.zeros(n), np.zeros(n, bool)
 
             def better(r: int, k: int, ratio: float) -> bool:
                 return ratio > best[r] or ratio == best[r] > 0 and index.place[k] < index.place[item[r]]  # noqa: B023
 
-            for r, k, size, at in candidates(words, first, index):
-                want, long = wants(k), int(length[k])
-                tried[r] += 1
-                # windows of a pair that lie near each other are one place
-                places = [at[0]]
-                for x in at[1:]:
-                    if x - places[-1] > long:
-                        places.append(x)
-                for x in places:
-                    lo, hi = max(int(first[r]), x - long), min(int(first[r + 1]), x + 2 * long + size)
-                    near = words[lo:hi].tolist()
-                    text = [w for w in near if w in want]
-                    if len(text) < PARAPHRASED * long and len(text) < best[r] * long:
-                        continue  # can't change the result
-                    ratio = common_length(want, long, text) / long
-                    if better(r, k, ratio):
-                        best[r], item[r] = ratio, k
-                    if ratio >= PARAPHRASED:
-                        reply = index.answer(k)
-                        hit = common_length(replies(k), len(reply), near) / len(reply)
-                        answered[r] = max(answered[r], hit)
-                        bad[r] |= ratio >= COPIED or hit >= ANSWERED
+            for row, k, lo, hi, head in places(t, first, index):
+                tried += np.bincount(row[head], minlength=n)
+                ratio = common_lengths(k, lo, hi, t, words, index) / length[k]
+                order = np.lexsort((index.place[k], -ratio, row))
+                for j in order[K.group_starts(row[order])].tolist():
+                    if better(int(row[j]), int(k[j]), ratio[j]):
+                        best[row[j]], item[row[j]] = ratio[j], k[j]
+                for j in np.flatnonzero(ratio >= PARAPHRASED).tolist():
+                    r, reply = int(row[j]), index.answer(int(k[j]))
+                    hit = common_length(replies(int(k[j])), len(reply), words[lo[j] : hi[j]].tolist()) / len(reply)
+                    answered[r] = max(answered[r], hit)
+                    bad[r] |= ratio[j] >= COPIED or hit >= ANSWERED
             for size, (runs, items) in index.short.items():
                 if len(words) < size:
                     continue

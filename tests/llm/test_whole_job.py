@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from gridloom.llm import decontamination as leaks
 from gridloom.llm import kernels as K
@@ -192,6 +194,43 @@ def test_decontamination_recall_against_brute_force(spark):
     assert all(got[k].contaminated for k in found if true[k] >= leaks.COPIED)
 
 
+def test_decontamination_fits_on_all_documents(spark, monkeypatch):
+    """Words that only the 400 rows of greatest id hashes and rows without an id hold count like all others, in vocabulary,
+    weights and passages."""
+    draw = random.Random(31)
+    ids = [r.id for r in spark.range(2400).orderBy(F.xxhash64("id")).collect()]
+    late = {k: [f"late{draw.randrange(20)}" for _ in range(60)] for k in ids[2000:]}
+    rows = [(k, " ".join([draw.choice(WORDS[:300]) for _ in range(30)] + late.get(k, []))) for k in range(2400)] + [(None, "unnamed " * 50)] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(leaks, "MERGED", 1 << 8)  # partial counts leave a task more than once
+    index = leaks.build_index(docs, [(k, prose(20)) for k in range(12)])
+    counts = Counter(w for _, t in rows for w in set(t.split()))
+    assert {f"late{j}" for j in range(20)} | {"unnamed"} <= {w for w, n in counts.items() if n > 1}
+    for w, n in counts.items():
+        number = index.terms.numbers(leaks.hashed([w])[0])[0]
+        assert (number >= 0) or n == 1
+        assert number < 0 or abs(index.weight[number] - (np.log(2431 / (n + 1)) + 1)) < 1e-5
+    passages = [np.bincount(t[a : a + 48], index.weight[t[a : a + 48]], index.terms.n) for t in (index.terms.numbers(leaks.hashed([x])[0]) for _, x in rows) for a in range(0, len(t), 48)]
+    unit = leaks.unit(np.array(passages))
+    total = unit.T @ unit
+    factor, sums, n, lengths = leaks.document_factor(docs, index.terms, index.weight[:-1].astype(float), index.terms.n)
+    assert n == len(passages) and np.allclose(sums, unit.sum(0), atol=1e-2) and abs(lengths / np.linalg.norm(passages, axis=1).sum() - 1) < 1e-5
+    assert np.abs(factor @ factor.T - total).max() < 1e-3 * total.max()
+
+
+def test_decontamination_compares_pairs_at_once_like_plain_python(spark):
+    draw = random.Random(32)
+    items = [[draw.choice(WORDS[:60]) for _ in range(n)] for n in (6, 25, 63, 64, 65, 130)]
+    index = leaks.build_index(spark.createDataFrame([(1, " ".join(WORDS[:60]))], "doc_id long, text string"), [(k, " ".join(i)) for k, i in enumerate(items)])
+    text = [draw.choice(WORDS[:80]) for _ in range(600)]
+    words = leaks.hashed([" ".join(text)])[0]
+    item = np.array([k for k in range(6) for _ in range(20)])
+    lo = np.array([draw.randrange(500) for _ in item])
+    hi = lo + np.array([draw.randrange(100) for _ in item])
+    got = leaks.common_lengths(item, lo, hi, index.terms.numbers(words), words, index)
+    assert got.tolist() == [subsequence(items[index.ids[k]], text[a:b]) for k, a, b in zip(item.tolist(), lo.tolist(), hi.tolist(), strict=True)]
+
+
 def test_decontamination_short_and_unnamed_items_and_ties(spark):
     docs = spark.createDataFrame([(1, "we say yes indeed here"), (2, "nothing at all"), (3, prose(30)), (4, None)], "doc_id long, text string")
     item = docs.where("doc_id = 3").first().text
