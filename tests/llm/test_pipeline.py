@@ -10,6 +10,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline as C
+from gridloom.llm import decontamination as leaks
 from gridloom.llm.toxicity import THRESHOLD, toxicity
 
 rng = random.Random(41)
@@ -154,3 +155,15 @@ def test_stages_with_no_rows_and_with_clashing_columns(spark, folder):
         out = stage(spark, extra, folder)
         assert out.columns == extra.columns and {(r.row, r.row_id, r.row_key, r.key, r.kept, r.once) for r in out.collect()} <= {(1, "a", 2, "k", True, 3)}, name
     assert C.STAGES[-1][1](spark, docs.limit(0), folder).collect() == []
+
+
+def test_decontamination_stage_fits_on_rows_without_ids_too(spark, monkeypatch, tmp_path):
+    """The stage's index holds the words of all its rows, and a leak in any of them goes."""
+    item = " ".join(f"item{k}" for k in range(20))
+    spark.createDataFrame([(1, item), (2, " ".join(f"other{k}" for k in range(20)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = spark.createDataFrame([(None, f"common{k % 4} plain words {item if k == 7 else ''}") for k in range(40)], "doc_id long, text string")
+    build, seen = leaks.build_index, []
+    monkeypatch.setattr(leaks, "build_index", lambda *a: seen.append(build(*a)) or seen[-1])
+    left = dict(C.STAGES)["decontamination"](spark, rows, str(tmp_path))
+    assert left.count() == 39 and left.where("text like '%item%'").count() == 0
+    assert (seen[0].terms.numbers(leaks.hashed(["common0 common1 common2 common3 plain words"])[0]) >= 0).all()
