@@ -10,16 +10,18 @@ items, so words that occur together share directions: a window that says an item
 passages lies near it.
 
 Every window of every document is searched. Windows are half as long again as the item. A window is a candidate for an
-item if the cosine of their latent vectors reaches the item's bound: the least cosine of `TRIALS` written leaks, less a
-margin. A written leak is the item, `1 - PARAPHRASED` of its words gone, amid surroundings drawn by the mean and the
-covariance that all passages of all documents have in the latent space. Windows that no
+item if the cosine of their latent vectors reaches the item's bound: the cosine that leaks reach, all but those further
+than `DEVIATIONS` below their mean, less a margin. A leak is the item, `1 - PARAPHRASED` of its words gone, amid
+surroundings by the mean and the covariance that the passages of all documents have in the latent space (the covariance
+as far as the low-rank factor holds it). The bound follows from both moments over all choices of words and all passages;
+none are drawn, so items that read alike have one bound, wherever they stand in the benchmark. Windows that no
 accepted leak can lie in are not projected: an accepted leak holds `PARAPHRASED` of the item in order, so it holds some
 of the item's rarest words (`need` of the rarest `1 - PARAPHRASED` and `need` more), whichever are missing.
 Candidates are checked on words: the longest common subsequence of the item and the surroundings of the window must
 cover `COPIED` of the item, or `PARAPHRASED` of it and `ANSWERED` of its answer (its last sentence). Items of fewer than
 `LEAST` words have no latent vector worth a name; they are leaks where they stand verbatim.
 
-No part of the index comes from a sample of the documents. Every task reads the whole index; its bytes are checked
+No part of the index comes from a sample, of documents or of leaks. Every task reads the whole index; its bytes are checked
 (`MAX_INDEX_BYTES`), and so is the benchmark before it is collected (`MAX_BENCHMARK_BYTES`).
 
 Defined results: null and empty texts and items match nothing; repeated rows get the same result each; of items that are
@@ -46,7 +48,7 @@ from gridloom.llm.common import drop_scratch, keep_rows, plan_bytes, scratch_tab
 from gridloom.llm.vectors import summed
 
 CELL, RANK, OVERSAMPLE, OTHERS, PASSAGE = 8, 96, 16, 8192, 48
-TRIALS, MARGIN = 512, 0.9
+DEVIATIONS, MARGIN = 4, 0.9
 COPIED, PARAPHRASED, ANSWERED, LEAST = 0.75, 0.6, 0.6, 6
 MAX_BENCHMARK_BYTES, MAX_INDEX_BYTES = 16 << 20, 256 << 20
 HEAD, SLICE, MERGED, PAIR_WORDS, PART_BYTES = 512, 1 << 18, 1 << 20, 1 << 18, 16 << 20
@@ -362,15 +364,36 @@ def singular_vectors(factor: np.ndarray, items: Passages, rank: int) -> tuple[np
     return q @ vectors[:, order], np.sqrt(np.maximum(values[order], 0))
 
 
-def trials(item: np.ndarray, words: int, mean: np.ndarray, root: np.ndarray, share: float, n: int, seed: int) -> np.ndarray:
-    """Latent vectors of n written leaks in windows of `words`: a share of the item's words (their latent vectors) amid
-    surroundings by the mean of passages and a root of their covariance, which counts as if the words of a passage, and
-    passages that follow each other, went together or apart, whichever spreads more."""
-    rng = np.random.Generator(np.random.PCG64(seed))
-    kept = int(np.ceil(share * len(item) - 1e-9))
+def leak_bound(item: np.ndarray, words: int, mean: np.ndarray, spread: np.ndarray, latent: np.ndarray) -> float:
+    """The cosine with the item (latent, of length one) that leaks in windows of `words` keep, all but those further than
+    `DEVIATIONS` below their mean. item: latent vectors of its words; a leak keeps `PARAPHRASED` of them, each choice alike,
+    amid surroundings by the mean and the covariance of passages, which counts as if the words of a passage, and passages
+    that follow each other, went together or apart, whichever spreads more. Nothing is drawn: along the item and across it
+    the first two moments of the sum are those of all choices and all passages; lengths across it are taken as of normal
+    sums, and their root mean square as their mean, which is never less, so the bound errs low."""
+    item, n, kept = item.astype(float), len(item), int(np.ceil(PARAPHRASED * len(item) - 1e-9))
     part = max(0, words - kept) / PASSAGE
-    around = part * mean + np.sqrt(max(part, part * part)) * (rng.standard_normal((n, len(root))) @ root)
-    return around + np.array([item[rng.choice(len(item), kept, replace=False)].sum(0) for _ in range(n)])
+    off = item - item.mean(0)
+    mu = kept * item.mean(0) + part * mean
+    cov = kept * (n - kept) / (n * (n - 1)) * off.T @ off + max(part, part * part) * spread
+    along, turn = float(mu @ latent), cov @ latent
+    var = float(turn @ latent)
+    across = mu - along * latent
+    turn = turn - var * latent  # the covariance of what is along and what is across
+    rest = cov - np.outer(latent, turn) - np.outer(turn, latent) - var * np.outer(latent, latent)
+    square = float(across @ across + np.trace(rest))
+    if along <= DEVIATIONS * np.sqrt(max(var, 0.0)):
+        return 0.0
+    if square <= 1e-12 * along**2:
+        return 1.0
+    # of the length across: its root mean square, its variance and its covariance with what is along, to first order
+    length = np.sqrt(square)
+    var_across, both = float(np.sum(rest**2) / 2 + across @ rest @ across) / square, float(turn @ across) / length
+    # the least tangent t with along - t * length = DEVIATIONS standard deviations of it
+    z = DEVIATIONS**2
+    a, b, c = square - z * var_across, along * length - z * both, along**2 - z * var
+    t = c / (b + np.sqrt(max(0.0, b * b - a * c)))
+    return float(1 / np.sqrt(1 + t**-2))
 
 
 def cosines(t: np.ndarray, weight: np.ndarray, basis: np.ndarray, latent: np.ndarray) -> np.ndarray:
@@ -402,15 +425,15 @@ def build_index(rows: DataFrame, benchmark: list[tuple[int | None, str]]) -> Ind
     own = terms.numbers(words)[: first[len(good)]]
     owner = np.repeat(np.arange(len(good)), np.diff(first[: len(good) + 1]))
     rank = max(1, min(RANK, len(good) * 3 // 4, terms.n))
-    mean, root = np.zeros(rank), np.zeros((rank, rank))
+    mean, spread = np.zeros(rank), np.zeros((rank, rank))
     if good:
         factor, total, passages, lengths = document_factor(rows, terms, weight, min(terms.n, rank + OVERSAMPLE))
         # items weigh as much as the documents, or their passages would leave them no directions
         basis, _ = singular_vectors(factor, Passages.of(own, owner, weight, float(np.sqrt(max(1.0, passages / len(good))))), rank)
         if passages:
             mean, x = total @ basis / passages, factor.T @ basis
-            spread, turn = np.linalg.eigh(x.T @ x / passages - np.outer(mean, mean))
-            root = (turn * np.sqrt(np.maximum(spread, 0))).T * lengths / passages
+            values, turn = np.linalg.eigh(x.T @ x / passages - np.outer(mean, mean))
+            spread = (turn * np.maximum(values, 0)) @ turn.T * (lengths / passages) ** 2
             mean = mean * lengths / passages
     else:
         basis = np.zeros((terms.n, rank))
@@ -419,8 +442,7 @@ def build_index(rows: DataFrame, benchmark: list[tuple[int | None, str]]) -> Ind
     cells = np.array([window_cells(len(hashes[k])) for k in good], np.int64)
     items = [own[first[k] : first[k + 1]] for k in range(len(good))]
     latent = unit(np.array([(weight[i][:, None] * basis[i]).sum(0) for i in items]).reshape(len(good), rank)).astype(np.float32)
-    written = [trials(weight[i][:, None] * basis[i], int(c) * CELL, mean, root, PARAPHRASED, TRIALS, k) for k, (i, c) in enumerate(zip(items, cells.tolist(), strict=True))]
-    bound = np.array([max(0.0, MARGIN * (unit(w) @ latent[k]).min()) for k, w in enumerate(written)], np.float32)
+    bound = np.array([MARGIN * leak_bound(weight[i][:, None] * basis[i], int(c) * CELL, mean, spread, latent[k]) for k, (i, c) in enumerate(zip(items, cells.tolist(), strict=True))], np.float32)
     sizes = [int(c) for c in cells[K.group_starts(cells)]]
     keys, need = np.zeros((len(sizes), terms.n + 1), bool), np.full(len(sizes), 1 << 30)
     for k, i in enumerate(items):

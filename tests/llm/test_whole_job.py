@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 from collections import Counter
 
@@ -218,6 +219,34 @@ def test_decontamination_fits_on_all_documents(spark, monkeypatch):
     assert np.abs(factor @ factor.T - total).max() < 1e-3 * total.max()
 
 
+def test_decontamination_bounds_are_not_drawn(spark):
+    """Items that read alike have one bound, whatever their place, and the bound is that of all choices of words."""
+    draw = random.Random(33)
+    items = [prose(n) for n in (8, 20, 31, 44) for _ in range(4)]
+    docs = spark.createDataFrame([(k, prose(120)) for k in range(200)] + [(1000 + k, t) for k, t in enumerate(items)], "doc_id long, text string")
+    index = leaks.build_index(docs, [*enumerate(items), *((100 + k, t) for k, t in enumerate(items))])
+    bounds = dict(zip(index.ids, index.bound.tolist(), strict=True))
+    assert all(abs(bounds[k] - bounds[100 + k]) < 1e-5 for k in range(len(items))), [(bounds[k], bounds[100 + k]) for k in range(len(items))]
+    # without surroundings: all choices of 6 of 9 words, written out
+    item = np.array([[draw.gauss(1, 0.3), *(draw.gauss(0, 0.3) for _ in range(4))] for _ in range(9)])
+    latent = leaks.unit(item.sum(0))
+    bound = leaks.leak_bound(item, 6, np.zeros(5), np.zeros((5, 5)), latent)
+    leak = np.array([item[list(c)].sum(0) for c in itertools.combinations(range(9), 6)])
+    along = leak @ latent
+    across = np.linalg.norm(leak - along[:, None] * latent, axis=1)
+    short = along - bound / np.sqrt(1 - bound**2) * across
+    # the root mean square of the length across is over its mean, so the bound errs low
+    assert (short > 0).all() and leaks.DEVIATIONS < short.mean() / short.std() < leaks.DEVIATIONS + 1.5
+    # with surroundings: hardly any of many leaks lies below
+    root = np.array([[draw.gauss(0, 0.5) for _ in range(5)] for _ in range(5)])
+    mean = np.array([draw.gauss(0, 0.3) for _ in range(5)])
+    bound = leaks.leak_bound(item, 30, mean, root.T @ root, latent)
+    rng = np.random.Generator(np.random.PCG64(7))
+    part = 24 / leaks.PASSAGE
+    leak = leak[rng.integers(0, len(leak), 20000)] + part * mean + np.sqrt(part) * rng.standard_normal((20000, 5)) @ root
+    assert bound > 0.2 and (leaks.unit(leak) @ latent < bound).mean() < 1e-3
+
+
 def test_decontamination_compares_pairs_at_once_like_plain_python(spark):
     draw = random.Random(32)
     items = [[draw.choice(WORDS[:60]) for _ in range(n)] for n in (6, 25, 63, 64, 65, 130)]
